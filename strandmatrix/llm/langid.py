@@ -136,12 +136,11 @@ def train(rows: list[tuple[str, str]], s: Settings = Settings()) -> Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1, s: Settings = Settings()) -> Model:
     """Learns from a bounded sample outside the held-out fold: max_docs rows a language, in the order of a hash of the id.
 
-    Rows are ranked within a language's hash class first, so a language of a third of all rows does not meet in one task.
+    A hash threshold for each language draws about 1.5 times as many rows where they lie, without a sort or shuffle of texts.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     d = d.where("_lang is not null and _text is not null").where(F.length("_text") <= s.max_chars).where(F.pmod(crc32_text(F.col("_id")), F.lit(folds)) != held_out)
-    keys = d.select("_lang", F.xxhash64("_id", F.lit(s.seed)).alias("_h")).groupBy("_lang", F.pmod("_h", F.lit(64)).alias("_c")).agg(F.slice(F.sort_array(F.collect_set("_h")), 1, 1).alias("_x"), F.count("*").alias("_n"))
-    sizes = {r["_lang"]: r["n"] for r in keys.groupBy("_lang").agg(F.sum("_n").alias("n")).collect()}  # a row a language
+    sizes = {r["_lang"]: r["count"] for r in d.groupBy("_lang").count().collect()}  # a row a language
     if not sizes:
         return train([], s)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.5 * s.max_docs / n))])

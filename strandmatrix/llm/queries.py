@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmatrix.llm import bpe, exact_dedup, html_extract, langid, packing, quality
+from strandmatrix.llm import bpe, exact_dedup, html_extract, langid, packing, quality, rlz_dedup, suffix_dedup
 from strandmatrix.llm.common import ship
 
 
@@ -22,6 +22,10 @@ def op2_html_extraction(spark, d):
     return html_extract.extract_pages(_table(spark, d, "pages"))
 
 
+def op3_substring_dedup(spark, d):
+    return rlz_dedup.substring_dedup(_table(spark, d, "documents"))
+
+
 def op4_byte_bpe(spark, d):
     return bpe.digests(_table(spark, d, "documents"))
 
@@ -40,13 +44,19 @@ def op8_language_id(spark, d):
     return langid.predict(docs, langid.fit(docs))
 
 
+def op9_suffix_dedup(spark, d):
+    return suffix_dedup.suffix_dedup(_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
