@@ -11,10 +11,12 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandmatrix.llm.common import WordCache, plain_lines, texts
+from strandmatrix.llm.common import WordCache, keep_caches, plain_lines, texts
 
 _BITS = 8  # bits of a rank within a word of the bitmap
 _LOW = (1 << _BITS) - 1
+#: Pre-tokens of up to so many bytes keep a bucket's positions in one machine-sized integer.
+SHORT = 60
 
 
 class RankQueue:
@@ -68,25 +70,31 @@ class BytePairs:
         if (whole := get(piece)) is not None:
             return [whole]
         n, queue = len(piece), self.queue
-        push = queue.push
+        if n <= SHORT:
+            return self._merge_short(piece)
+        push, pop = queue.push, queue.pop
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        pair = [get(piece[i : i + 2]) for i in range(n)]
-        pair[-1] = None
+        pair = [get(piece[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
         for i, r in enumerate(pair):
             if r is not None:
                 push(r, i)
         while queue.summary:
-            rank, i = queue.pop()
+            rank, i = pop()
             if pair[i] != rank:
                 continue
             j = after[i]
             k = after[i] = after[j]
             pair[j] = None
-            before[k] = i
-            pair[i] = r = get(piece[i : after[k]]) if k < n else None
-            if r is not None:
-                push(r, i)
-            if (p := before[i]) >= 0:
+            if k < n:
+                before[k] = i
+                pair[i] = r = get(piece[i : after[k]])
+                if r is not None:
+                    push(r, i)
+            else:
+                pair[i] = None
+            if i:
+                p = before[i]
                 pair[p] = r = get(piece[p:k])
                 if r is not None:
                     push(r, p)
@@ -96,6 +104,71 @@ class BytePairs:
             i = after[i]
         return out
 
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """merge() with the same queue, written out in place: a bucket's positions are the bits of one integer."""
+        get, ranks, n = self.ranks.get, self.ranks, len(piece)
+        words, summary, buckets = self.queue.words, 0, {}
+        after, before, pair = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
+        for i in range(n - 1):
+            r = get(piece[i : i + 2])
+            if r is not None:
+                pair[i] = r
+                if r in buckets:
+                    buckets[r] |= 1 << i
+                else:
+                    buckets[r] = 1 << i
+                    words[r >> _BITS] |= 1 << (r & _LOW)
+                    summary |= 1 << (r >> _BITS)
+        while summary:
+            hi = (summary & -summary).bit_length() - 1
+            word = words[hi]
+            rank = hi << _BITS | (word & -word).bit_length() - 1
+            bits = buckets[rank]
+            i = (bits & -bits).bit_length() - 1
+            bits &= bits - 1
+            if bits:
+                buckets[rank] = bits
+            else:
+                del buckets[rank]
+                words[hi] = word = word & (word - 1)
+                if not word:
+                    summary &= summary - 1
+            if pair[i] != rank:
+                continue
+            j = after[i]
+            k = after[i] = after[j]
+            pair[j] = pair[i] = -1
+            if k < n:
+                before[k] = i
+                r = get(piece[i : after[k]])
+                if r is not None:
+                    pair[i] = r
+                    if r in buckets:
+                        buckets[r] |= 1 << i
+                    else:
+                        buckets[r] = 1 << i
+                        words[r >> _BITS] |= 1 << (r & _LOW)
+                        summary |= 1 << (r >> _BITS)
+            if i:
+                p = before[i]
+                r = get(piece[p:k])
+                if r is None:
+                    pair[p] = -1
+                else:
+                    pair[p] = r
+                    if r in buckets:
+                        buckets[r] |= 1 << p
+                    else:
+                        buckets[r] = 1 << p
+                        words[r >> _BITS] |= 1 << (r & _LOW)
+                        summary |= 1 << (r >> _BITS)
+        out, i = [], 0
+        while i < n:
+            k = after[i]
+            out.append(ranks[piece[i:k]])
+            i = k
+        return out
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.merge(p.encode()) for p in self.pattern.findall(text)))
 
@@ -114,15 +187,17 @@ class TextEncoder:
 
     def __init__(self, pairs: BytePairs):
         self.pairs = pairs
-        word = lambda w: tuple(pairs.encode(w))
-        self.first, self.next = WordCache(word), WordCache(lambda w: tuple(pairs.encode(" " + w)))
-        self.piece = WordCache(lambda p: tuple(pairs.merge(p.encode())))
-        self.newline = word("\n")
+        self.piece = WordCache(lambda p: tuple(pairs.merge(p.encode())), 500_000)
+        self.first, self.next = WordCache(self.pieces), WordCache(lambda w: self.pieces(" " + w), 300_000)
+        self.newline = self.pieces("\n")
+
+    def pieces(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.piece.__getitem__, self.pairs.pattern.findall(text))))
 
     def __call__(self, text: str) -> list[int]:
         lines = plain_lines(text) if text else []
         if lines is None:
-            return list(chain.from_iterable(map(self.piece.__getitem__, self.pairs.pattern.findall(text))))
+            return list(self.pieces(text))
         parts, get = [], self.next.__getitem__
         for words in lines:
             if parts:
@@ -154,6 +229,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
 
     def rows(batches):
+        keep_caches()
         enc = _encoder(path, pattern)
         for b in batches:
             for i in range(b.num_rows):
@@ -168,6 +244,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
 
     def rows(batches):
+        keep_caches()
         enc = _encoder(path, pattern)
         names = [str(i) for i in range(len(enc.pairs.tokens))]
         for b in batches:

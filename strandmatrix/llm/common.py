@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pathlib
 import tempfile
 import uuid
@@ -100,6 +101,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def keep_caches() -> None:
+    """Turns the cyclic collector off in a worker with large caches: nothing in them is cyclic, and it would walk them again and again."""
+    gc.disable()
+
+
 class WordCache(dict):
     """Results by word, filled on demand by make(word).
 

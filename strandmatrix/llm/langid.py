@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import WordCache, texts
+from strandmatrix.llm.common import WordCache, keep_caches, texts
 from strandmatrix.llm.quality import crc32_text
 
 UNKNOWN = "und"
@@ -163,6 +163,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def rows(batches):
+        keep_caches()
         one = sent.value.predictor()
         for b in batches:
             got = [one(t) for t in b[1].to_pylist()]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import plain_lines, texts
+from strandmatrix.llm.common import keep_caches, plain_lines, texts
 
 WINDOW = 1024
 #: Rows that one task packs together: so many that few of its windows stay open.
@@ -172,6 +172,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end: int, windo
     """(doc_id, start, length, ids_crc32, doc_tokens, ids binary): each document's ids and the end id, cut into full windows and a rest."""
 
     def rows(batches):
+        keep_caches()
         hub, tail = _hub(path), np.array([end], "<u4").tobytes()
         for b in batches:
             out = [], [], [], [], []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import WordCache, texts
+from strandmatrix.llm.common import WordCache, keep_caches, texts
 
 
 @dataclass(frozen=True)
@@ -147,6 +147,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def rows(batches):
+        keep_caches()
         one = sent.value.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b[0], pa.array([one(t) for t in b[1].to_pylist()], pa.float64())], ["doc_id", "score"])
@@ -161,6 +162,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     at = docs.columns.index(text_col)
 
     def rows(batches):
+        keep_caches()
         one = sent.value.scorer()
         for b in batches:
             yield b.filter(pa.array([one(t or "") >= threshold for t in b[at].to_pylist()], pa.bool_()))

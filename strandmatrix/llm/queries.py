@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmatrix.llm import bpe, exact_dedup, html_extract, langid, packing, quality, rlz_dedup, suffix_dedup
+from strandmatrix.llm import bpe, exact_dedup, html_extract, jaccard_join, langid, packing, quality, rlz_dedup, suffix_dedup
 from strandmatrix.llm.common import ship
 
 
@@ -48,6 +48,10 @@ def op9_suffix_dedup(spark, d):
     return suffix_dedup.suffix_dedup(_table(spark, d, "documents"))
 
 
+def op10_jaccard_join(spark, d):
+    return jaccard_join.near_duplicates(_table(spark, d, "documents"), shingle=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {
