@@ -86,7 +86,7 @@ class HubEncoder:
     special token go to it whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,44 +119,42 @@ class HubEncoder:
         return out
 
     def _fill(self, mark: str, words: set[str]) -> dict[str, bytes]:
-        """What the words of one batch give. Tables keep all but very long words; a full one becomes the old one."""
+        """The table of a mark, holding all the words. A full one becomes the old one, from which words still in use move up."""
         now, old = self.tables[mark]
-        got = {w: v for w in words if (v := now.get(w)) is not None or (v := old.get(w)) is not None}
-        new = [w for w in words if w not in got]
-        got.update(zip(new, self._words(new, mark)))
-        if len(now) + len(got) > self.most:
-            self.tables[mark] = [{}, now]
-            now = self.tables[mark][0]
-        now.update((w, v) for w, v in got.items() if len(w) <= self.longest)
-        return got
+        new = words.difference(now)
+        if len(now) + len(new) > self.most:
+            self.tables[mark] = now, old = [{}, now]
+            new = words
+        again = [w for w in new if w in old]
+        now.update((w, old[w]) for w in again)
+        new = list(new.difference(again))
+        now.update(zip(new, self._words(new, mark)))
+        return now
 
     def batch(self, batch: list[str]) -> list[bytes]:
         split = [None if not t or SPECIAL in t else plain_lines(t) for t in batch]
-        out: list = [None] * len(batch)
-        late, firsts, nexts = [], set(), set()
-        first, get = self.tables["\n"][0].get, self.tables[" "][0].get
-        for i, lines in enumerate(split):
+        firsts, nexts = set(), set()
+        for lines in split:
+            for words in lines or ():
+                firsts.add(words[0])
+                nexts.update(words)
+        tables = self._fill("\n", firsts), self._fill(" ", nexts)
+        first, get = tables[0].__getitem__, tables[1].__getitem__
+        out = []
+        for text, lines in zip(batch, split):
             if lines is None:
-                out[i] = self._whole(batch[i]) if batch[i] else b""
+                out.append(self._whole(text) if text else b"")
                 continue
             parts = []
             for words in lines:
-                parts += [self.newline, first(words[0])]
-                parts.extend(map(get, words[1:]))
-            if None in parts:
-                late.append(i)
-                firsts.update(w[0] for w in lines)
-                nexts.update(*(w[1:] for w in lines))
-            else:
-                out[i] = b"".join(parts[1:])
-        if late:
-            first, get = self._fill("\n", firsts).__getitem__, self._fill(" ", nexts).__getitem__
-            for i in late:
-                parts = []
-                for words in split[i]:
-                    parts += [self.newline, first(words[0])]
-                    parts.extend(map(get, words[1:]))
-                out[i] = b"".join(parts[1:])
+                parts.append(self.newline)
+                at = len(parts)
+                parts.extend(map(get, words))
+                parts[at] = first(words[0])
+            out.append(b"".join(parts[1:]))
+        for table, words in zip(tables, (firsts, nexts)):
+            for w in [w for w in words if len(w) > self.longest]:
+                del table[w]
         return out
 
 
