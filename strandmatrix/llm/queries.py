@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandmatrix.llm import bpe, exact_dedup, html_extract, jaccard_join, langid, packing, quality, rlz_dedup, suffix_dedup
+from strandmatrix.llm import bpe, chroma, exact_dedup, html_extract, jaccard_join, langid, packing, quality, rlz_dedup, suffix_dedup
 from strandmatrix.llm.common import ship
 
 
@@ -30,6 +31,13 @@ def op4_byte_bpe(spark, d):
     return bpe.digests(_table(spark, d, "documents"))
 
 
+def op5_chroma_prints(spark, d):
+    """Every turn of every conversation is a recording, rendered from its text, as no table holds audio; turns of conversations with an id divisible by 50 are the queries."""
+    turns = _table(spark, d, "conversations").select((F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("rec_id"), "text")
+    query = (F.shiftright("rec_id", 32) % 50) == 0
+    return chroma.summary(*chroma.match(turns, "rec_id", "text", query, samples=chroma.sonify(chroma.Settings())))
+
+
 def op6_quality(spark, d):
     docs = _table(spark, d, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, d, "labels")))
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_chroma_prints": op5_chroma_prints,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
