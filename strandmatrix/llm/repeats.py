@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from strandmatrix.llm.common import expand, mix, text_bytes, utf8
 
 BLOCK_BYTES = 8 << 20
-#: Anchor hashes (8 bytes and a count) and segment bytes that one task takes, about.
-RANGE_BYTES = 24 << 20
+#: Bytes of text whose anchors one range takes; bounds the windows that a task sorts at a time.
+RANGE_BYTES = 6 << 20
 CHUNK = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 _POSITION = np.uint64(CHUNK * 2 - 1)

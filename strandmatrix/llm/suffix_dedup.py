@@ -23,7 +23,11 @@ SHALLOW = 24
 
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 8 bytes at each position as a big-endian number: one character of the quicksort."""
-    return text[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), 1 << 16):
+        part = at[i : i + (1 << 16)]
+        out[i : i + (1 << 16)] = text[part[:, None] + np.arange(8)].view(">u8").ravel()
+    return out
 
 
 def shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
