@@ -158,7 +158,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of df that stay, with all their columns. Of rows that repeat identifier and text one stays."""
-    names = df.columns
     verdict = exact_dedup(df, id_col, text_col, keep).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_none"), F.col("fp").alias("_fp"))
-    keyed = df.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull(), "_fp": fingerprint(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    return keyed.join(verdict, ["_key", "_none", "_fp"], "left_semi").dropDuplicates(["_key", "_none", "_fp"]).select(*names)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_key"), F.col(id_col).isNull().alias("_none"), fingerprint(text).alias("_fp"))
+    return keyed.join(verdict, ["_key", "_none", "_fp"], "left_semi").dropDuplicates(["_key", "_none", "_fp"]).select("_row.*")

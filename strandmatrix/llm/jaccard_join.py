@@ -263,7 +263,7 @@ def _verify(s: Settings):
     def rows(key, t: pa.Table, got: pa.Table) -> pa.Table:
         u, v = [], []
         if len(t) and len(got):
-            is_set = got["set"].is_valid().to_numpy(zero_copy_only=False) if hasattr(got["set"], "is_valid") else None
+            is_set = got["set"].is_valid().to_numpy()
             sets = {a: np.frombuffer(x, np.uint64) for a, x, ok in zip(got["a"].to_pylist(), got["set"].to_pylist(), is_set.tolist()) if ok}
             asks = [(a, bi, b) for a, bi, b, ok in zip(got["a"].to_pylist(), got["bi"].to_pylist(), got["b"].to_pylist(), is_set.tolist()) if not ok]
             if asks:
@@ -310,9 +310,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     keys = by_block.applyInArrow(lambda t: emit(t, None), _KEYS)
     star = settle(keys.groupBy("rng").applyInArrow(_pairs(s, 1, False), _PAIRS).dropDuplicates(["a", "b"]), "pairs")
-    one = W.partitionBy("b").orderBy(F.desc("n"), "a")
+    one = W.partitionBy("b").orderBy("a")
     places = settle(star.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ag").alias("_g"), F.col("ai").alias("i")), F.struct(F.col("b").alias("node"), F.col("bg").alias("_g"), F.col("bi").alias("i")))).alias("x")).select("x.*").distinct(), "places")
-    tried = star.where("ok").withColumn("n", F.lit(1)).withColumn("_k", F.row_number().over(one)).where("_k <= 2").drop("_k", "n")
+    tried = star.where("ok").withColumn("_k", F.row_number().over(one)).where("_k <= 2").drop("_k")
     tried = settle(tried, "tried")
     links = settle(verified(tried), "verified")
     labels = components(links)
@@ -346,6 +346,6 @@ def _named(found: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df that are their component's smallest id, those without an id, and those without words, with all columns."""
     keep = near_duplicates(df, id_col, text_col, shingle, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    keyed = df.withColumn("_key", F.col(id_col).cast("long"))
-    kept = keyed.join(keep, "_key", "left_semi").select(*df.columns)
+    keyed = df.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_key"))
+    kept = keyed.join(keep, "_key", "left_semi").select("_row.*")
     return kept.unionAll(df.where(F.col(id_col).isNull()))
