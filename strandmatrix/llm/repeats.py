@@ -162,7 +162,7 @@ def runs(tokens: np.ndarray, at: np.ndarray, s: Scheme) -> tuple[np.ndarray, np.
         f, e = np.flatnonzero(first & valid), np.flatnonzero(last & valid)
         starts.append(f + c)
         sizes.append(e - f + 1)
-        anchors.append(g[where[f].astype(np.int64)])
+        anchors.append(mix(g[where[f].astype(np.int64)] ^ _LETTER[0]))  # minima crowd at 0; ranges need them spread
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors)
