@@ -14,8 +14,12 @@ PREFIX = 6
 
 
 def count_per_genome(records: DataFrame, params: MatrixParams, genome: str = "genome") -> DataFrame:
-    """(genome, kmer, freq) of all windows of all records, unfiltered: one shuffle, combined map-side."""
-    runs = acgt_runs(records.select(genome, "seq"))
+    """(genome, kmer, freq) of all windows of all records, unfiltered: one shuffle, combined map-side.
+
+    A record without a genome is on no row and not counted. Said here, the condition stands in every use of the counts,
+    where joins would infer it for some only and keep the uses from sharing the shuffle.
+    """
+    runs = acgt_runs(records.where(F.col(genome).isNotNull()).select(genome, "seq"))
     return kmers(runs, params.k, params.canonical, params.chunk).groupBy(genome, "kmer").agg(F.count("*").alias("freq"))
 
 
