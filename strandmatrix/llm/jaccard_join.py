@@ -1,15 +1,15 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set of word shingles is XOR-hashed into a sketch of m words: each shingle goes to one word and toggles
-its bits there. A word differs between two documents only if a shingle of their symmetric difference went there, so the
-number of differing words is at most that difference's size. For each band of set sizes m exceeds the largest difference that two
-similar sets may have; hence (pigeonhole) similar sets agree in a word, and documents are joined on their words. Candidates
-are verified on whole sets.
+A document's set of word shingles is XOR-hashed into sketches: each shingle goes to one place and toggles
+its bits there. A place differs between two documents only if a shingle of their symmetric difference went there, so the
+Hamming distance of sketches is at most that difference's size. The sketch that is joined on has m words; for each band of set sizes m exceeds the largest
+difference that two similar sets may have, hence (pigeonhole) similar sets agree in a word. Of documents that agree in one, those stay
+candidates whose longer sketches of single parity bits are near enough for their sizes; these are verified on whole sets.
 
 Words that are zero say little and are not joined on; a sketch with too many zeros for the pigeonhole is joined by a further
 sketch with another seed as well, until one has few enough.
 Links between candidates of one component are not needed: each round verifies pairs across components only, first
-each document with one other of a word, then with a few, at last all pairs left, so that groups of copies
+each document with one other of a word, then with its nearest few by parity bits, at last all candidates left, so that groups of copies
 take about a verification for each document.
 """
 
@@ -31,8 +31,10 @@ from strandmatrix.llm.repeats import _range, word_tokens
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose sketch words one task takes.
 RANGE_BYTES = 32 << 20
-#: Partners that a document tries in each round before the last, which has no limit.
-BUDGETS = (1, 6)
+#: Partners that a document outside its words' main component tries in each round between the first and the last, which has no limit.
+BUDGETS = (2,)
+#: Parity bits for each unit of the largest difference: at 8, sets just short of similar mostly differ in too many bits.
+SPREAD = 8
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,39 @@ def sketch_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parity_bits(s: np.ndarray, percent: int) -> tuple[int, bytes]:
+    """(log2 of the length, bits): bit i is the parity of the shingles hashed to i. Halves XORed give the sketch of half the length."""
+    n = len(s)
+    d = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
+    log = max(6, (SPREAD * d - 1).bit_length() if d else 0)
+    at = (mix(s ^ np.uint64(0xA0761D6478BD642F)) & np.uint64((1 << log) - 1)).astype(np.int64)
+    return log, np.packbits((np.bincount(at, minlength=1 << log) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class ParityTable:
+    """Parity sketches of one range's sets, folded to the length that a group has in common when asked."""
+
+    def __init__(self, logs: np.ndarray, bits: list[bytes]):
+        self.logs, self.bits = logs, bits
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        log = int(self.logs[which].min())
+        if log not in self.tables:
+            has = np.flatnonzero(self.logs >= log)
+            at = np.full(len(self.logs), -1)
+            at[has] = np.arange(len(has))
+            out = np.empty((len(has), 1 << log - 6), np.uint64)
+            for j, i in enumerate(has.tolist()):
+                x = np.frombuffer(self.bits[i], np.uint64)
+                while len(x) > out.shape[1]:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                out[j] = x
+            self.tables[log] = at, out
+        at, out = self.tables[log]
+        return out[at[which]]
+
+
 def _node(s: np.ndarray) -> int:
     import xxhash
 
@@ -138,7 +173,7 @@ def _documents(s: Settings):
     return rows
 
 
-_KEYS = "rng int, _g int, docs binary, nodes binary, labels binary, sizes binary, counts binary, keys binary"
+_KEYS = "rng int, _g int, docs binary, nodes binary, labels binary, sizes binary, counts binary, keys binary, logs binary, parity binary"
 
 
 def _keys(s: Settings, ranges: int):
@@ -148,7 +183,7 @@ def _keys(s: Settings, ranges: int):
         only = None if labels is None else np.array(sorted(labels), np.int64)
         sets = Sets(t, s, only).sets if only is None or len(only) else []
         g, seen = t["_g"][0].as_py() if len(t) else 0, set()
-        doc, node, label, size, many, keys = [], [], [], [], [], []
+        doc, node, label, size, many, keys, logs, parity = [], [], [], [], [], [], [], []
         for j, x in enumerate(sets):
             i = j if only is None else int(only[j])
             if not len(x) or (n := _node(x)) in seen:
@@ -162,7 +197,10 @@ def _keys(s: Settings, ranges: int):
                 size.append(len(x))
                 many.append(len(k))
                 keys.append(k)
-        names = ["rng", "_g", "docs", "nodes", "labels", "sizes", "counts", "keys"]
+                log, bits = parity_bits(x, s.percent) if labels is not None else (0, b"")
+                logs.append(log)
+                parity.append(bits)
+        names = ["rng", "_g", "docs", "nodes", "labels", "sizes", "counts", "keys", "logs", "parity"]
         out = [[] for _ in names]
         if keys:
             flat, of = np.concatenate(keys), np.repeat(np.arange(len(keys)), many)
@@ -170,10 +208,10 @@ def _keys(s: Settings, ranges: int):
             order = np.argsort(r, kind="stable")
             flat, of, r = flat[order], of[order], r[order]
             cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1], [True])))
-            doc, node, label, size = np.array(doc, np.uint32), np.array(node, np.int64), np.array(label, np.int64), np.array(size, np.uint32)
+            doc, node, label, size, logs = np.array(doc, np.uint32), np.array(node, np.int64), np.array(label, np.int64), np.array(size, np.uint32), np.array(logs, np.uint8)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 u, c = np.unique(of[a:b], return_counts=True)
-                for col, v in zip(out, (int(r[a]), g, doc[u].tobytes(), node[u].tobytes(), label[u].tobytes() if labels is not None else b"", size[u].tobytes(), c.astype(np.uint32).tobytes(), flat[a:b].tobytes())):
+                for col, v in zip(out, (int(r[a]), g, doc[u].tobytes(), node[u].tobytes(), label[u].tobytes() if labels is not None else b"", size[u].tobytes(), c.astype(np.uint32).tobytes(), flat[a:b].tobytes(), logs[u].tobytes(), b"".join(parity[x] for x in u.tolist()))):
                     col.append(v)
         return pa.table([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(out)], names=names)
 
@@ -183,11 +221,33 @@ def _keys(s: Settings, ranges: int):
 _PAIRS = "a long, ag int, ai int, b long, bg int, bi int, ok boolean"
 
 
+def _near(s: Settings, sketch: np.ndarray, size: np.ndarray, label: np.ndarray, budget: int | None):
+    """(i, j) of one word's sets, i outside the main label and j of another label than i, whose sketches are near enough; the nearest `budget` of each i, or all."""
+    names, of, many = np.unique(label, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(of != int(np.argmax(many)))
+    step = max(1, (1 << 21) // sketch.size)
+    for a in range(0, len(outside), step):
+        x = outside[a : a + step]
+        far = np.bitwise_count(sketch[x][:, None, :] ^ sketch[None]).sum(2, dtype=np.int64)
+        small, large = np.minimum(size[x][:, None], size[None]), np.maximum(size[x][:, None], size[None])
+        ok = (far * (100 + s.percent) <= (small + large) * (100 - s.percent)) & (100 * small >= s.percent * large) & (of[x][:, None] != of[None])
+        if budget and ok.shape[1] > budget:
+            far[~ok] = 1 << 40
+            best = np.argpartition(far, budget - 1, axis=1)[:, :budget]
+            i, j = np.repeat(x, budget), best.ravel()
+            take = np.take_along_axis(ok, best, 1).ravel()
+            yield i[take], j[take]
+        else:
+            i, j = np.nonzero(ok)
+            yield x[i], j
+
+
 def _pairs(s: Settings, budget: int | None, labelled: bool):
-    """Candidate pairs of a range of keys, across labels: each set of a key with `budget` others, or all."""
+    """Candidate pairs of a range of words: without labels each set with the first of its word, else pairs across labels as _near has them."""
 
     def find(t: pa.Table) -> pa.Table:
-        cols = {c: [] for c in ("key", "node", "label", "size", "g", "i")}
+        cols = {c: [] for c in ("key", "node", "label", "size", "g", "i", "u")}
+        logs, bits = [], []
         for r in t.to_pylist():
             many = np.frombuffer(r["counts"], np.uint32)
             rep = lambda raw, kind: np.repeat(np.frombuffer(raw, kind).astype(np.int64), many)
@@ -197,49 +257,60 @@ def _pairs(s: Settings, budget: int | None, labelled: bool):
             cols["size"].append(rep(r["sizes"], np.uint32))
             cols["g"].append(np.full(int(many.sum()), r["_g"], np.int64))
             cols["i"].append(rep(r["docs"], np.uint32))
+            cols["u"].append(np.repeat(len(bits) + np.arange(len(many)), many))
+            if labelled:
+                own = np.frombuffer(r["logs"], np.uint8).astype(np.int64)
+                ends = np.cumsum(1 << own - 3)
+                logs.append(own)
+                bits += [r["parity"][x - (1 << k - 3) : x] for x, k in zip(ends.tolist(), own.tolist())]
+            else:
+                bits += [b""] * len(many)
         c = {k: np.concatenate(v) for k, v in cols.items()}
+        parity = ParityTable(np.concatenate(logs), bits) if labelled else None
         _, inv, n = np.unique(c["key"], return_inverse=True, return_counts=True)
         c = {k: v[n[inv] > 1] for k, v in c.items()}
         order = np.lexsort((c["i"], c["g"], c["node"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
         new = np.ones(len(order), bool)
         new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["node"][1:] != c["node"][:-1])
-        c = {k: v[new] for k, v in c.items()}  # a set once a key, by its first copy
+        c = {k: v[new] for k, v in c.items()}  # a set once a word, by its first copy
         heads = np.flatnonzero(np.concatenate(([True], c["key"][1:] != c["key"][:-1]))) if len(c["key"]) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(heads, len(c["key"])))
-        left, right = [], []
-        if not labelled:  # each with the first of its key
+        left, right, done = [], [], 0
+        if not labelled:
             first = np.repeat(heads, sizes)
             at = np.arange(len(c["key"]))
             left, right = [first[at != first]], [at[at != first]]
         else:
             for h, n in zip(heads[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                lab = c["label"][h : h + n]
-                names, of, many = np.unique(lab, return_inverse=True, return_counts=True)
-                if len(names) < 2:
+                label = c["label"][h : h + n]
+                if (label == label[0]).all():
                     continue
-                main = int(np.argmax(many))
-                inside, outside = np.flatnonzero(of == main), np.flatnonzero(of != main)
-                for x in outside.tolist():
-                    if budget:
-                        mates = inside[(np.arange(budget) * 7919 + x) % len(inside)]
-                    else:
-                        mates = np.concatenate((inside, outside[(outside < x) & (of[outside] != of[x])]))
-                    left.append(h + mates)
-                    right.append(np.full(len(mates), h + x))
-        l, r = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
-        swap = c["node"][l] > c["node"][r]
-        l, r = np.where(swap, r, l), np.where(swap, l, r)
-        _, once = np.unique(np.stack((c["node"][l], c["node"][r])), axis=1, return_index=True)
-        l, r = l[once], r[once]
+                for i, j in _near(s, parity.rows(c["u"][h : h + n]), c["size"][h : h + n], label, budget):
+                    left.append(h + i)
+                    right.append(h + j)
+                    done += len(i)
+                if done > 1 << 20:  # the same pair comes with many words
+                    left, right = ([x] for x in _once(c["node"], np.concatenate(left), np.concatenate(right)))
+                    done = len(left[0])
+        l, r = _once(c["node"], *(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right)))
         ok = 100 * np.minimum(c["size"][l], c["size"][r]) >= s.percent * np.maximum(c["size"][l], c["size"][r])
-        if labelled:
-            l, r, ok = l[ok], r[ok], ok[ok]
         return pa.table({"a": c["node"][l], "ag": c["g"][l].astype(np.int32), "ai": c["i"][l].astype(np.int32), "b": c["node"][r], "bg": c["g"][r].astype(np.int32), "bi": c["i"][r].astype(np.int32), "ok": ok})
 
     return find
 
 
+def _once(node: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, the smaller node first."""
+    swap = node[l] > node[r]
+    l, r = np.where(swap, r, l), np.where(swap, l, r)
+    order = np.lexsort((node[r], node[l]))
+    l, r = l[order], r[order]
+    new = np.ones(len(l), bool)
+    new[1:] = (node[l][1:] != node[l][:-1]) | (node[r][1:] != node[r][:-1])
+    return l[new], r[new]
+
+
 def _send(s: Settings):
     """The sets that other blocks ask for, one row for each asking block."""
 
@@ -316,7 +387,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = settle(tried, "tried")
     links = settle(verified(tried), "verified")
     labels = components(links)
-    for budget in (*BUDGETS[1:], None):
+    for budget in (*BUDGETS, None):
         labels = settle(labels, "labels")
         known = places.join(labels, "node", "left").select("_g", "i", "node", F.coalesce("root", "node").alias("label"))
 
@@ -325,10 +396,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         keys = by_block.cogroup(known.groupBy("_g")).applyInArrow(again, _KEYS)
         pairs = keys.groupBy("rng").applyInArrow(_pairs(s, budget, True), _PAIRS).dropDuplicates(["a", "b"])
-        pairs = settle(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if budget:
-            few = W.partitionBy("b").orderBy(F.xxhash64("a", "b"))
-            pairs = settle(pairs.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= budget).drop("_k"), "pairs")
+        pairs = settle(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*tried.columns), "pairs")
         links = settle(verified(pairs), "verified")
         tried = tried.union(pairs)
         labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").union(links))

@@ -103,3 +103,30 @@ def test_drop_and_empty(spark):
     got = J.drop_near_duplicates(df)
     assert got.columns == df.columns and sorted(r.a for r in got.collect()) == [2, 3, 4, 5]
     assert J.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for n in (3, 40, 300, 4000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate((a[n // 9 :], rng.integers(0, 1 << 64, n // 3, np.uint64))))
+        logs, bits = zip(J.parity_bits(a, 80), J.parity_bits(b, 80))
+        rows = J.ParityTable(np.array(logs), list(bits)).rows(np.array([0, 1]))
+        assert int(np.bitwise_count(rows[0] ^ rows[1]).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_hot_word_without_links_makes_few_pairs():
+    """Sets that share a word but are not similar are turned down by their sketches, not listed."""
+    rng = np.random.default_rng(8)
+    s = J.Settings(3, 90)
+    base = rng.integers(0, 1 << 64, 200, np.uint64)
+    sets = [np.unique(np.concatenate((base, rng.integers(0, 1 << 64, 100, np.uint64)))) for _ in range(400)]
+    logs, bits = zip(*(J.parity_bits(x, 90) for x in sets))
+    rows = J.ParityTable(np.array(logs), list(bits)).rows(np.arange(400))
+    size, label = np.array([len(x) for x in sets]), np.arange(400)
+    assert sum(len(i) for i, _ in J._near(s, rows, size, label, None)) == 0
+    near = [np.unique(np.concatenate((base[i:], rng.integers(0, 1 << 64, 1, np.uint64)))) for i in range(6)]
+    logs, bits = zip(*(J.parity_bits(x, 90) for x in near))
+    got = {(int(i), int(j)) for x, y in J._near(s, J.ParityTable(np.array(logs), list(bits)).rows(np.arange(6)), np.array([len(x) for x in near]), np.arange(6), None) for i, j in zip(x, y)}
+    for i in range(1, 6):
+        assert all((i, j) in got for j in range(6) if j != i)
