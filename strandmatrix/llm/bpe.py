@@ -187,8 +187,8 @@ class TextEncoder:
 
     def __init__(self, pairs: BytePairs):
         self.pairs = pairs
-        self.piece = WordCache(lambda p: tuple(pairs.merge(p.encode())), 500_000)
-        self.first, self.next = WordCache(self.pieces), WordCache(lambda w: self.pieces(" " + w), 300_000)
+        self.piece = WordCache(lambda p: tuple(pairs.merge(p.encode())), 800_000)
+        self.first, self.next = WordCache(self.pieces), WordCache(lambda w: self.pieces(" " + w), 400_000)
         self.newline = self.pieces("\n")
 
     def pieces(self, text: str) -> tuple[int, ...]:
