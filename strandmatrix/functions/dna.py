@@ -27,18 +27,21 @@ def acgt_runs(records: DataFrame, seq: str = "seq") -> DataFrame:
     return records.select(*keep, F.explode(F.split(seq, "[^ACGT]+")).alias("run")).where("run <> ''")
 
 
-def kmers(runs: DataFrame, k: int, fold: bool = True, chunk: int = 1024) -> DataFrame:
-    """One row per window of k bases (column kmer) of each run.
+def pieces(runs: DataFrame, k: int, chunk: int = 1024) -> DataFrame:
+    """Runs cut into pieces (column piece) of `chunk` window starts that overlap by k-1 bases.
 
-    Runs are first cut into pieces of `chunk` window starts that overlap by k-1
-    bases: substring of a short piece is cheap, while on a whole chromosome each
-    window would scan from the start. Every start is emitted exactly once. The
-    length guard matters: sequence(1, 0) counts downwards in Spark.
+    Substring of a short piece is cheap, while on a whole chromosome each window would scan from the start.
+    The length guard matters: sequence(1, 0) counts downwards in Spark.
     """
     keep = [c for c in runs.columns if c != "run"]
     starts = F.expr(f"sequence(0L, (length(run) - {k}) div {chunk})")
-    pieces = runs.where(F.length("run") >= k).select(*keep, "run", F.explode(starts).alias("_c"))
-    pieces = pieces.select(*keep, F.expr(f"substring(run, cast(_c * {chunk} + 1 as int), {chunk + k - 1})").alias("_piece"))
-    windows = pieces.select(*keep, "_piece", F.explode(F.expr(f"sequence(1, length(_piece) - {k - 1})")).alias("_p"))
-    kmer = F.expr(f"substring(_piece, _p, {k})")
-    return windows.select(*keep, (canonical(kmer) if fold else kmer).alias("kmer"))
+    cut = runs.where(F.length("run") >= k).select(*keep, "run", F.explode(starts).alias("_c"))
+    return cut.select(*keep, F.expr(f"substring(run, cast(_c * {chunk} + 1 as int), {chunk + k - 1})").alias("piece"))
+
+
+def windows(cut: DataFrame, k: int, fold: bool = True) -> DataFrame:
+    """One row per window of k bases (column kmer) of each piece; every start of a run is emitted exactly once."""
+    keep = [c for c in cut.columns if c != "piece"]
+    at = cut.select(*keep, "piece", F.explode(F.expr(f"sequence(1, length(piece) - {k - 1})")).alias("_p"))
+    kmer = F.expr(f"substring(piece, _p, {k})")
+    return at.select(*keep, (canonical(kmer) if fold else kmer).alias("kmer"))

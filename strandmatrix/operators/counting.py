@@ -6,21 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandmatrix.functions.dna import acgt_runs, kmers
+from strandmatrix.functions.dna import acgt_runs, pieces, windows
 from strandmatrix.params import MatrixParams
 
 #: Leading bases that deal the vocabulary into ordered buckets: 4**6 = 4096 at most.
 PREFIX = 6
 
 
+def spread(pieces: DataFrame) -> DataFrame:
+    """Pieces dealt out anew if their scan has fewer partitions than there are cores.
+
+    Windows take far more work than the text they come from, so input that a scan cannot split (one row
+    group, gzip, a whole chromosome in one record) would keep one core busy. Well-partitioned input stays where it is.
+    """
+    cores = pieces.sparkSession.sparkContext.defaultParallelism
+    return pieces.repartition(cores) if pieces.rdd.getNumPartitions() < cores else pieces
+
+
+def all_kmers(records: DataFrame, params: MatrixParams, genome: str = "genome") -> DataFrame:
+    """(genome, kmer) of every window. A record without a genome is on no row and left out."""
+    runs = acgt_runs(records.where(F.col(genome).isNotNull()).select(genome, "seq"))
+    return windows(spread(pieces(runs, params.k, params.chunk)), params.k, params.canonical)
+
+
 def count_per_genome(records: DataFrame, params: MatrixParams, genome: str = "genome") -> DataFrame:
     """(genome, kmer, freq) of all windows of all records, unfiltered: one shuffle, combined map-side.
 
-    A record without a genome is on no row and not counted. Said here, the condition stands in every use of the counts,
-    where joins would infer it for some only and keep the uses from sharing the shuffle.
+    Records without a genome are left out here, not by the joins further on: a condition that these infer for some
+    uses of the counts only would keep the uses from sharing the shuffle.
     """
-    runs = acgt_runs(records.where(F.col(genome).isNotNull()).select(genome, "seq"))
-    return kmers(runs, params.k, params.canonical, params.chunk).groupBy(genome, "kmer").agg(F.count("*").alias("freq"))
+    return all_kmers(records, params, genome).groupBy(genome, "kmer").agg(F.count("*").alias("freq"))
 
 
 def count_global(counts: DataFrame) -> DataFrame:

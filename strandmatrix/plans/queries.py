@@ -73,7 +73,7 @@ def dna_runs(spark, d):
 
 
 def kmer_extract(spark, d):
-    return dna.kmers(dna.acgt_runs(_records(spark, d).select("genome", "seq")), 12, False).groupBy("genome").agg(F.count("*").alias("n_kmers"))
+    return counting.all_kmers(_records(spark, d), STRANDED).groupBy("genome").agg(F.count("*").alias("n_kmers"))
 
 
 def reverse_complement(spark, d):
