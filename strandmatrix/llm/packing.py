@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import functools
+import json
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import keep_caches, plain_lines, texts
+from strandmatrix.llm.common import texts
 
 WINDOW = 1024
 #: Rows that one task packs together: so many that few of its windows stay open.
 GROUP_ROWS = 40_000
-SPECIAL = "<|endoftext|>"
 
 
 class CapacityTree:
@@ -78,111 +77,81 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return which, offset
 
 
+#: How the byte-level pre-tokenizer of `tokenizers` files splits text, and the printable stand-ins of its other bytes (fixed values of that format).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
+
+
 class HubEncoder:
-    """Little-endian uint32 ids of whole texts by a `tokenizers` file, words encoded once.
+    """Ids of whole texts by a `tokenizers` file.
 
-    A word goes to the tokenizer with the space before it, or bare at the start of a line, which for
-    its byte-level pattern gives the same ids as in place. Texts with other white space or the
-    special token go to it whole.
+    A plain byte-level BPE file, whose ids follow the order of its merges, is the rank table that tiktoken merges by, with the
+    same ids several times as fast; that is checked when the file is loaded. Any other file goes to `tokenizers` itself.
     """
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.newline = self._whole("\n")
-        ends = {"\u0120": " ", "\u010a": "\n"}  # the byte-level forms of the two separators
-        self.lead = np.zeros(self.tokenizer.get_vocab_size(), "U1")
-        for token, i in self.tokenizer.get_vocab().items():
-            self.lead[i] = ends.get(token[:1], "")
-        self.tables: dict[str, list[dict[str, bytes]]] = {"\n": [{}, {}], " ": [{}, {}]}
-        self.most, self.longest = most, longest
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _words(self, words: list[str], mark: str) -> list[bytes]:
-        """Ids of each word after a mark: many go as one text, and a token that starts with the mark starts a word.
-
-        After a space the token is part of the word; a newline is a token of its own and is cut off.
-        """
-        out: list[bytes] = []
-        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast([mark + mark.join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            starts = np.flatnonzero(self.lead[ids] == mark)
-            if len(starts) != len(part):
-                raise ValueError("a token joins two words")
-            raw, skip = ids.tobytes(), 4 * (mark == "\n")
-            at = [*(4 * starts).tolist(), len(raw)]
-            out += [raw[a + skip : b] for a, b in zip(at[:-1], at[1:])]
-        return out
-
-    def _fill(self, mark: str, words: set[str]) -> dict[str, bytes]:
-        """The table of a mark, holding all the words. A full one becomes the old one, from which words still in use move up."""
-        now, old = self.tables[mark]
-        new = words.difference(now)
-        if len(now) + len(new) > self.most:
-            self.tables[mark] = now, old = [{}, now]
-            new = words
-        again = [w for w in new if w in old]
-        now.update((w, old[w]) for w in again)
-        new = list(new.difference(again))
-        now.update(zip(new, self._words(new, mark)))
-        return now
-
-    def batch(self, batch: list[str]) -> list[bytes]:
-        split = [None if not t or SPECIAL in t else plain_lines(t) for t in batch]
-        firsts, nexts = set(), set()
-        for lines in split:
-            for words in lines or ():
-                firsts.add(words[0])
-                nexts.update(words)
-        tables = self._fill("\n", firsts), self._fill(" ", nexts)
-        first, get = tables[0].__getitem__, tables[1].__getitem__
-        out = []
-        for text, lines in zip(batch, split):
-            if lines is None:
-                out.append(self._whole(text) if text else b"")
-                continue
-            parts = []
-            for words in lines:
-                parts.append(self.newline)
-                at = len(parts)
-                parts.extend(map(get, words))
-                parts[at] = first(words[0])
-            out.append(b"".join(parts[1:]))
-        for table, words in zip(tables, (firsts, nexts)):
-            for w in [w for w in words if len(w) > self.longest]:
-                del table[w]
-        return out
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.ranked = self._ranked(spec)
+        if self.ranked is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+
+    @staticmethod
+    def _ranked(spec: dict):
+        import tiktoken
+
+        model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain &= pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
+        plain &= all(x["special"] and not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in added)
+        if not plain:
+            return None
+        others = [b for b in range(256) if b not in PRINTABLE]
+        of = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(others)}
+        special = {x["content"]: x["id"] for x in added}
+        try:
+            ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        except KeyError:
+            return None
+        merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])) or len(merged) + 256 != len(ranks) or any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if self.ranked is not None:
+            return self.ranked.encode_to_numpy(text, allowed_special="all")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian uint32 ids of each text."""
+        return [self(t).astype("<u4", copy=False).tobytes() for t in texts]
 
 
 @functools.lru_cache(2)
 def _hub(path: str) -> HubEncoder:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return HubEncoder(path)
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end: int, window: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, ids binary): each document's ids and the end id, cut into full windows and a rest."""
+    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and the end id, cut into full windows and a rest."""
 
     def rows(batches):
-        keep_caches()
         hub, tail = _hub(path), np.array([end], "<u4").tobytes()
         for b in batches:
             out = [], [], [], [], []
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                for doc, ids in zip(part[0].to_pylist(), hub.batch(part[1].to_pylist())):
-                    ids += tail
-                    n = len(ids) // 4
-                    for s in range(0, n, window):
-                        piece = ids[4 * s : 4 * (s + window)]
-                        for c, v in zip(out, (doc, s, len(piece) // 4, zlib.crc32(piece), n)):
-                            c.append(v)
+            for doc, ids in zip(b[0].to_pylist(), hub.batch(b[1].to_pylist())):
+                ids += tail
+                n = len(ids) // 4
+                for s in range(0, n, window):
+                    piece = ids[4 * s : 4 * (s + window)]
+                    for c, v in zip(out, (doc, s, len(piece) // 4, zlib.crc32(piece), n)):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return texts(df, id_col, text_col).mapInArrow(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

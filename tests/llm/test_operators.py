@@ -134,13 +134,23 @@ def test_best_fit_is_tightest():
     assert len(free) == which.max() + 1
 
 
-def test_tables_that_fill_up():
+def test_ids_equal_the_library(tmp_path):
+    import json
+
     import public_tokenizers as P
+    from tokenizers import Tokenizer
 
-    small, large = packing.HubEncoder(P.path("byte_bpe_50k.json"), most=20), packing.HubEncoder(P.path("byte_bpe_50k.json"))
-    rng = random.Random(8)
-    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(30)) + "\nnext line" for _ in range(40)] + TRICKY
-    assert [x for i in range(0, len(texts), 7) for x in small.batch(texts[i : i + 7])] == large.batch(texts)
+    path = P.path("byte_bpe_50k.json")
+    lib, hub, rng = Tokenizer.from_file(path), packing.HubEncoder(path), random.Random(8)
+    assert hub.ranked is not None
+    texts = TRICKY + ["".join(rng.choice("abc é\n'.,1 ß\t\u2028ǅ٣") for _ in range(rng.randrange(200))) for _ in range(400)] + ["<|endoftext|>", " \n<|endoftext|>  x"]
+    for t in texts:
+        assert hub(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+    spec = json.load(open(path))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other, lib = packing.HubEncoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert other.ranked is None and all(other(t).tolist() == lib.encode(t, add_special_tokens=False).ids for t in texts if t)
 
 
 # learned models
