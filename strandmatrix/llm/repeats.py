@@ -204,15 +204,18 @@ def _repeats(s: Scheme):
     return resolve
 
 
-_SEGMENTS = "rng int, _g int, anchors binary, sizes binary, data binary, places binary, owners binary"
+_SEGMENTS = "rng int, _g int, anchors binary, sizes binary, data binary, places binary, owners binary, done binary"
 
 
 def _segments(s: Scheme, ranges: int):
-    """Each distinct run once: its anchor, number of windows, tokens; and the (document id, document, start) of its places."""
+    """Each distinct run once: its anchor, number of windows, tokens, and the (document id, document, start) of its first place
+    (all places in the first document, if its own earlier text does not count). Later places repeat the first whatever
+    other blocks hold; they are done, and their spans ride along with any range, so that a hot run meets in none.
+    """
 
     def cut(key, t: pa.Table, rep: pa.Table) -> pa.Table:
-        names = ["rng", "_g", "anchors", "sizes", "data", "places", "owners"]
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+        names = ["rng", "_g", "anchors", "sizes", "data", "places", "owners", "done"]
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 6
         if not len(t) or not len(rep):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         known = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rep["hashes"]])
@@ -236,15 +239,24 @@ def _segments(s: Scheme, ranges: int):
         for i, (x, n) in enumerate(zip(start.tolist(), (size + s.length - 1).tolist())):
             seen.setdefault(data[x * item : (x + n) * item], []).append(i)
         parts: dict[int, list] = {}
-        where = _range(anchor, ranges).tolist()
-        for text, places in seen.items():
-            parts.setdefault(where[places[0]], []).append((text, places))
+        where, of, later = _range(anchor, ranges).tolist(), b.ids[doc].tolist(), []
+        for text, places in seen.items():  # places are in the order of document, then start
+            n = 1
+            while n < len(places) and not s.within and of[places[n]] == of[places[0]]:
+                n += 1
+            later += places[n:]
+            parts.setdefault(where[places[0]], []).append((text, places[:n]))
         rows = [[] for _ in names]
         for r, found in parts.items():
             lead = np.array([p[0] for _, p in found])
             flat = np.array([i for _, p in found for i in p])
             place = np.stack([b.ids[doc[flat]], doc[flat], start[flat] - b.at[doc[flat]]])
-            for c, v in zip(rows, (r, key[0].as_py(), anchor[lead].tobytes(), size[lead].astype(np.uint32).tobytes(), b"".join(x for x, _ in found), place.astype(np.int64).tobytes(), np.array([len(p) for _, p in found], np.uint32).tobytes())):
+            for c, v in zip(rows, (r, key[0].as_py(), anchor[lead].tobytes(), size[lead].astype(np.uint32).tobytes(), b"".join(x for x, _ in found), place.astype(np.int64).tobytes(), np.array([len(p) for _, p in found], np.uint32).tobytes(), b"")):
+                c.append(v)
+        if later:
+            done = np.stack([doc[later], start[later] - b.at[doc[later]], size[later] + s.length - 1])
+            g = key[0].as_py()
+            for c, v in zip(rows, (g % ranges, g, b"", b"", b"", b"", b"", done.astype(np.uint32).tobytes())):
                 c.append(v)
         return pa.table([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
@@ -261,7 +273,8 @@ def _resolve(s: Scheme, method):
     """method(tokens, starts, sizes, keys, length) -> the smallest key of every window of the given runs, concatenated."""
 
     def meet(t: pa.Table) -> pa.Table:
-        empty = pa.table({"_g": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
+        ready = [x.as_py() for x in t["done"]]
+        ready = pa.table({"_g": pa.array([g for g, x in zip(t["_g"].to_pylist(), ready) if x], pa.int32()), "spans": pa.array([x for x in ready if x], pa.binary())})
         kind = np.uint64 if s.words else np.uint8
         item = np.dtype(kind).itemsize
         runs_of: dict[bytes, int] = {}
@@ -286,7 +299,7 @@ def _resolve(s: Scheme, method):
             block.append(np.full(p.shape[1], row["_g"], np.int64))
             owner_entry.append(np.repeat(np.array(mine, np.int64), owners))
         if not entry:
-            return empty
+            return ready
         del runs_of
         p, g, e = np.concatenate(places, 1), np.concatenate(block), np.concatenate(owner_entry)
         if s.within:  # places in the order of document, then start
@@ -322,11 +335,11 @@ def _resolve(s: Scheme, method):
             out.append(np.array(partial, np.int64).T)
         spans = np.concatenate(out, 1)
         if not spans.shape[1]:
-            return empty
+            return ready
         spans = spans[:, np.argsort(spans[0], kind="stable")]
         cuts = np.flatnonzero(np.concatenate(([True], spans[0][1:] != spans[0][:-1], [True])))
         pairs = list(zip(cuts[:-1], cuts[1:]))
-        return pa.table({"_g": pa.array([spans[0][x] for x, _ in pairs], pa.int32()), "spans": pa.array([spans[1:, x:y].astype(np.uint32).tobytes() for x, y in pairs], pa.binary())})
+        return pa.concat_tables([ready, pa.table({"_g": pa.array([spans[0][x] for x, _ in pairs], pa.int32()), "spans": pa.array([spans[1:, x:y].astype(np.uint32).tobytes() for x, y in pairs], pa.binary())})])
 
     return meet
 
