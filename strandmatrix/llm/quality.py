@@ -131,9 +131,9 @@ def crc32_text(column: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Trains on a bounded sample of labelled rows outside the held-out fold. Null labels and ids do not take part."""
+    """Trains on a bounded sample of labelled rows outside the held-out fold. Null labels and ids do not take part; of an id's several labels the lowest counts."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").where(F.pmod(crc32_text(F.col("_id")), F.lit(folds)) != held_out)
-    picked = known.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id", F.lit(s.seed)), "_id").limit(s.max_docs)
+    picked = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id", F.lit(s.seed)), "_id").limit(s.max_docs)
     d = texts(docs, id_col, text_col).where(F.col("_id").isNotNull() & (F.length("_text") <= s.max_chars))
     rows = d.join(F.broadcast(picked), "_id").select("_id", "_text", "_y").collect()  # at most max_docs rows of max_chars
     return train([(r._text, r._y) for r in sorted(rows, key=lambda r: (r._id, r._text))], s)
