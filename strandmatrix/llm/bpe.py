@@ -229,12 +229,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
 
     def rows(batches):
-        keep_caches()
-        enc = _encoder(path, pattern)
-        for b in batches:
-            for i in range(b.num_rows):
-                ids = enc(b[1][i].as_py())
-                yield pa.RecordBatch.from_arrays([b[0][i : i + 1], pa.array([ids], pa.list_(pa.int32())), pa.array([enc.pairs.decode(ids)], pa.binary())], ["doc_id", "ids", "decoded"])
+        with keep_caches():
+            enc = _encoder(path, pattern)
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids = enc(b[1][i].as_py())
+                    yield pa.RecordBatch.from_arrays([b[0][i : i + 1], pa.array([ids], pa.list_(pa.int32())), pa.array([enc.pairs.decode(ids)], pa.binary())], ["doc_id", "ids", "decoded"])
 
     return texts(df, id_col, text_col).mapInArrow(rows, "doc_id long, ids array<int>, decoded binary")
 
@@ -244,16 +244,16 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
 
     def rows(batches):
-        keep_caches()
-        enc = _encoder(path, pattern)
-        names = [str(i) for i in range(len(enc.pairs.tokens))]
-        for b in batches:
-            n, a, d = [], [], []
-            for text in b[1].to_pylist():
-                ids = enc(text)
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                d.append(hashlib.sha256(enc.pairs.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with keep_caches():
+            enc = _encoder(path, pattern)
+            names = [str(i) for i in range(len(enc.pairs.tokens))]
+            for b in batches:
+                n, a, d = [], [], []
+                for text in b[1].to_pylist():
+                    ids = enc(text)
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                    d.append(hashlib.sha256(enc.pairs.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([b[0], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(df, id_col, text_col).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

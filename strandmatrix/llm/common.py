@@ -7,6 +7,7 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -101,9 +102,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def keep_caches() -> None:
-    """Turns the cyclic collector off in a worker with large caches: nothing in them is cyclic, and it would walk them again and again."""
+@contextmanager
+def keep_caches():
+    """Turns the cyclic collector off while a task fills large caches: nothing in them is cyclic, and it would walk them again and again."""
     gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 class WordCache(dict):

@@ -11,6 +11,10 @@ sketch with another seed as well, until one has few enough.
 Links between candidates of one component are not needed: each round verifies pairs across components only, first
 each document with one other of a word, then with its nearest few by parity bits, at last all candidates left, so that groups of copies
 take about a verification for each document.
+
+No word gathers a hot group. In the first round a block pairs its sets that share a word with the first of them, and
+only that one travels. Later a set of a giant component stays in its block: one of each block stands for it
+at the word, and sets of other components that share the word go to those blocks to be compared there.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ from strandmatrix.llm.repeats import _range, word_tokens
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose sketch words one task takes.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 #: Partners that a document outside its words' main component tries in each round between the first and the last, which has no limit.
 BUDGETS = (2,)
+#: Sets of a component from which a block sends only one for a word; the others are compared where they are.
+GIANT = 2048
 #: Parity bits for each unit of the largest difference: at 8, sets just short of similar mostly differ in too many bits.
 SPREAD = 8
 
@@ -173,13 +179,17 @@ def _documents(s: Settings):
     return rows
 
 
-_KEYS = "rng int, _g int, docs binary, nodes binary, labels binary, sizes binary, counts binary, keys binary, logs binary, parity binary"
+_KEYS = "rng int, _g int, docs binary, nodes binary, labels binary, sizes binary, counts binary, keys binary, logs binary, parity binary, hidden binary, stars binary"
 
 
 def _keys(s: Settings, ranges: int):
-    """Each distinct set's keys, dealt by key; with labels (of earlier rounds), only of the sets that have one."""
+    """Each distinct set's keys, dealt by key: of a block's sets with a key only the first, the others paired with it as `stars`.
+
+    With labels, document -> (node, label, whether its component is giant), only of the sets that have one; of giant
+    components the first of each label and key, of others all.
+    """
 
-    def emit(t: pa.Table, labels: dict[int, tuple[int, int]] | None) -> pa.Table:
+    def emit(t: pa.Table, labels: dict[int, tuple[int, int, bool]] | None) -> pa.Table:
         only = None if labels is None else np.array(sorted(labels), np.int64)
         sets = Sets(t, s, only).sets if only is None or len(only) else []
         g, seen = t["_g"][0].as_py() if len(t) else 0, set()
@@ -200,10 +210,25 @@ def _keys(s: Settings, ranges: int):
                 log, bits = parity_bits(x, s.percent) if labels is not None else (0, b"")
                 logs.append(log)
                 parity.append(bits)
-        names = ["rng", "_g", "docs", "nodes", "labels", "sizes", "counts", "keys", "logs", "parity"]
+        names = ["rng", "_g", "docs", "nodes", "labels", "sizes", "counts", "keys", "logs", "parity", "hidden", "stars"]
         out = [[] for _ in names]
         if keys:
             flat, of = np.concatenate(keys), np.repeat(np.arange(len(keys)), many)
+            hidden = np.array([labels is not None and labels[i][2] for i in doc])
+            stars = b""
+            if labels is None:
+                _, first, inv = np.unique(flat, return_index=True, return_inverse=True)
+                star = np.unique(np.stack((of[first][inv], of)), axis=1)
+                star = star[:, star[0] != star[1]]
+                stars = np.stack([np.array(x, np.int64)[y] for y in star for x in (node, doc, size)]).tobytes() if star.size else b""
+                first.sort()  # a row lists keys by document
+                flat, of = flat[first], of[first]
+            elif hidden.any():
+                stay = np.flatnonzero(hidden[of])
+                pair = np.stack((flat[stay].view(np.int64), np.array(label, np.int64)[of[stay]]))
+                _, first = np.unique(pair, axis=1, return_index=True)
+                take = np.sort(np.concatenate((np.flatnonzero(~hidden[of]), stay[first])))
+                flat, of = flat[take], of[take]
             r = _range(flat, ranges)
             order = np.argsort(r, kind="stable")
             flat, of, r = flat[order], of[order], r[order]
@@ -211,7 +236,10 @@ def _keys(s: Settings, ranges: int):
             doc, node, label, size, logs = np.array(doc, np.uint32), np.array(node, np.int64), np.array(label, np.int64), np.array(size, np.uint32), np.array(logs, np.uint8)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 u, c = np.unique(of[a:b], return_counts=True)
-                for col, v in zip(out, (int(r[a]), g, doc[u].tobytes(), node[u].tobytes(), label[u].tobytes() if labels is not None else b"", size[u].tobytes(), c.astype(np.uint32).tobytes(), flat[a:b].tobytes(), logs[u].tobytes(), b"".join(parity[x] for x in u.tolist()))):
+                for col, v in zip(out, (int(r[a]), g, doc[u].tobytes(), node[u].tobytes(), label[u].tobytes() if labels is not None else b"", size[u].tobytes(), c.astype(np.uint32).tobytes(), flat[a:b].tobytes(), logs[u].tobytes(), b"".join(parity[x] for x in u.tolist()), hidden[u].astype(np.uint8).tobytes(), b"")):
+                    col.append(v)
+            if stars:
+                for col, v in zip(out, (g % ranges, g, *[b""] * 9, stars)):
                     col.append(v)
         return pa.table([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(out)], names=names)
 
@@ -219,6 +247,12 @@ def _keys(s: Settings, ranges: int):
 
 
 _PAIRS = "a long, ag int, ai int, b long, bg int, bi int, ok boolean"
+_FOUND = f"{_PAIRS}, _g int, label long, sets binary"
+
+
+def _pair_table(a, ag, ai, b, bg, bi, ok) -> pa.Table:
+    cols = [pa.array(np.asarray(x), k) for x, k in zip((a, ag, ai, b, bg, bi), (pa.int64(), pa.int32(), pa.int32()) * 2)]
+    return pa.table([*cols, pa.array(np.asarray(ok, bool))], names=["a", "ag", "ai", "b", "bg", "bi", "ok"])
 
 
 def _near(s: Settings, sketch: np.ndarray, size: np.ndarray, label: np.ndarray, budget: int | None):
@@ -243,12 +277,19 @@ def _near(s: Settings, sketch: np.ndarray, size: np.ndarray, label: np.ndarray,
 
 
 def _pairs(s: Settings, budget: int | None, labelled: bool):
-    """Candidate pairs of a range of words: without labels each set with the first of its word, else pairs across labels as _near has them."""
+    """Candidate pairs of a range of words: without labels each set with the first of its word, else pairs across labels as _near has them.
+
+    With labels come also, for blocks that hold more of a giant component, the sets to compare there (_g, label, sets), and
+    pairs of giant components that share a word (a, b as labels, ag -1).
+    """
 
     def find(t: pa.Table) -> pa.Table:
-        cols = {c: [] for c in ("key", "node", "label", "size", "g", "i", "u")}
-        logs, bits = [], []
+        cols = {c: [] for c in ("key", "node", "label", "size", "g", "i", "u", "hid")}
+        logs, bits, stars = [], [], []
         for r in t.to_pylist():
+            if r["stars"]:
+                stars.append(np.concatenate((np.frombuffer(r["stars"], np.int64).reshape(6, -1), [np.full(len(r["stars"]) // 48, r["_g"])])))
+                continue
             many = np.frombuffer(r["counts"], np.uint32)
             rep = lambda raw, kind: np.repeat(np.frombuffer(raw, kind).astype(np.int64), many)
             cols["key"].append(np.frombuffer(r["keys"], np.uint64))
@@ -257,6 +298,7 @@ def _pairs(s: Settings, budget: int | None, labelled: bool):
             cols["size"].append(rep(r["sizes"], np.uint32))
             cols["g"].append(np.full(int(many.sum()), r["_g"], np.int64))
             cols["i"].append(rep(r["docs"], np.uint32))
+            cols["hid"].append(rep(r["hidden"], np.uint8))
             cols["u"].append(np.repeat(len(bits) + np.arange(len(many)), many))
             if labelled:
                 own = np.frombuffer(r["logs"], np.uint8).astype(np.int64)
@@ -265,18 +307,20 @@ def _pairs(s: Settings, budget: int | None, labelled: bool):
                 bits += [r["parity"][x - (1 << k - 3) : x] for x, k in zip(ends.tolist(), own.tolist())]
             else:
                 bits += [b""] * len(many)
-        c = {k: np.concatenate(v) for k, v in cols.items()}
-        parity = ParityTable(np.concatenate(logs), bits) if labelled else None
+        c = {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k == "key" else np.int64) for k, v in cols.items()}
+        parity = ParityTable(np.concatenate(logs), bits) if labelled and logs else None
         _, inv, n = np.unique(c["key"], return_inverse=True, return_counts=True)
         c = {k: v[n[inv] > 1] for k, v in c.items()}
         order = np.lexsort((c["i"], c["g"], c["node"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
         new = np.ones(len(order), bool)
-        new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["node"][1:] != c["node"][:-1])
-        c = {k: v[new] for k, v in c.items()}  # a set once a word, by its first copy
+        new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["node"][1:] != c["node"][:-1]) | (c["hid"][1:] > 0) & (c["g"][1:] != c["g"][:-1])
+        c = {k: v[new] for k, v in c.items()}  # a set once a word, by its first copy; one that stands for others, once a block
         heads = np.flatnonzero(np.concatenate(([True], c["key"][1:] != c["key"][:-1]))) if len(c["key"]) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(heads, len(c["key"])))
         left, right, done = [], [], 0
+        sent: dict[tuple[int, int], set[int]] = {}
+        clash: set[tuple[int, int]] = set()
         if not labelled:
             first = np.repeat(heads, sizes)
             at = np.arange(len(c["key"]))
@@ -286,16 +330,111 @@ def _pairs(s: Settings, budget: int | None, labelled: bool):
                 label = c["label"][h : h + n]
                 if (label == label[0]).all():
                     continue
-                for i, j in _near(s, parity.rows(c["u"][h : h + n]), c["size"][h : h + n], label, budget):
-                    left.append(h + i)
-                    right.append(h + j)
+                stay, g = c["hid"][h : h + n] > 0, c["g"][h : h + n]
+                full = h + np.flatnonzero(~stay)
+                giants = np.unique(label[stay]).tolist()
+                clash.update((x, y) for x in giants for y in giants if x < y)
+                for x in giants:
+                    others = full[c["label"][full] != x].tolist()
+                    for at in np.unique(g[stay & (label == x)]).tolist() if others else ():
+                        sent.setdefault((at, x), set()).update(others)
+                if len(full) < 2 or (c["label"][full] == c["label"][full[0]]).all():
+                    continue
+                for i, j in _near(s, parity.rows(c["u"][full]), c["size"][full], c["label"][full], budget):
+                    left.append(full[i])
+                    right.append(full[j])
                     done += len(i)
                 if done > 1 << 20:  # the same pair comes with many words
                     left, right = ([x] for x in _once(c["node"], np.concatenate(left), np.concatenate(right)))
                     done = len(left[0])
         l, r = _once(c["node"], *(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right)))
         ok = 100 * np.minimum(c["size"][l], c["size"][r]) >= s.percent * np.maximum(c["size"][l], c["size"][r])
-        return pa.table({"a": c["node"][l], "ag": c["g"][l].astype(np.int32), "ai": c["i"][l].astype(np.int32), "b": c["node"][r], "bg": c["g"][r].astype(np.int32), "bi": c["i"][r].astype(np.int32), "ok": ok})
+        out = _pair_table(c["node"][l], c["g"][l], c["i"][l], c["node"][r], c["g"][r], c["i"][r], ok)
+        if not labelled:
+            for x in stars:
+                a, ai, na, b, bi, nb, g = np.where(x[0] <= x[3], x, x[[3, 4, 5, 0, 1, 2, 6]])
+                near = 100 * np.minimum(na, nb) >= s.percent * np.maximum(na, nb)
+                out = pa.concat_tables([out, _pair_table(a, g, ai, b, g, bi, near)])
+            return out
+        x = np.array(sorted(clash), np.int64).reshape(-1, 2)
+        none = np.full(len(x), -1)
+        out = pa.concat_tables([out, _pair_table(x[:, 0], none, none, x[:, 1], none, none, none > 0)])
+        n = len(out)
+        rows = {"_g": [], "label": [], "sets": []}
+        for (g, label), which in sent.items():
+            _, first = np.unique(c["node"][np.array(sorted(which))], return_index=True)
+            at = np.array(sorted(which))[first]
+            rows["_g"].append(g)
+            rows["label"].append(label)
+            rows["sets"].append(_pack(c["node"][at], c["label"][at], c["size"][at], c["g"][at], c["i"][at], parity, c["u"][at]))
+        m = len(rows["_g"])
+        ends = [pa.array([None] * n + rows["_g"], pa.int32()), pa.array([None] * n + rows["label"], pa.int64()), pa.array([None] * n + rows["sets"], pa.binary())]
+        cols = [pa.concat_arrays([out[k].combine_chunks() if not isinstance(out[k].combine_chunks(), pa.ChunkedArray) else pa.concat_arrays(out[k].chunks), pa.nulls(m, out[k].type)]) for k in out.column_names]
+        return pa.table([*cols, *ends], names=[*out.column_names, "_g", "label", "sets"])
+
+    return find
+
+
+def _pack(node, label, size, g, i, parity: ParityTable, u) -> bytes:
+    """Sets as bytes: their number, six arrays, then their parity bits."""
+    head = np.stack([node, label, size, g, i, parity.logs[u]]).astype(np.int64)
+    return np.int64(len(node)).tobytes() + head.tobytes() + b"".join(parity.bits[x] for x in u.tolist())
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    head = np.frombuffer(raw[8 : 8 + 48 * n], np.int64).reshape(6, n)
+    ends = 8 + 48 * n + np.cumsum(1 << head[5] - 3)
+    return head, [raw[x - (1 << k - 3) : x] for x, k in zip(ends.tolist(), head[5].tolist())]
+
+
+def _at_home(s: Settings, budget: int | None):
+    """Candidate pairs of sets sent to a block with the sets of a giant component that stayed there."""
+
+    def find(key, t: pa.Table, got: pa.Table) -> pa.Table:
+        empty = _pair_table([], [], [], [], [], [], [])
+        if not len(t) or not len(got):
+            return empty
+        g, asked, own = key[0].as_py(), {}, {}
+        for r in got.to_pylist():
+            if r["sets"] is not None:
+                asked.setdefault(r["label"], []).append(_unpack(r["sets"]))
+            elif r["hidden"]:
+                own.setdefault(r["label"], []).append((r["i"], r["node"]))
+        tables = [empty]
+        for label, parts in asked.items():
+            head = np.concatenate([h for h, _ in parts], 1)
+            bits = [b for _, x in parts for b in x]
+            _, first = np.unique(head[0], return_index=True)
+            head, bits = head[:, first], [bits[j] for j in first.tolist()]
+            mine = sorted({n: i for i, n in reversed(sorted(own.get(label, [])))}.items(), key=lambda x: x[1])
+            for at in range(0, len(mine), 4096):
+                part = mine[at : at + 4096]
+                sets = Sets(t, s, np.array([i for _, i in part], np.int64)).sets
+                logs, par = zip(*(parity_bits(x, s.percent) for x in sets))
+                table = ParityTable(np.concatenate((head[5], logs)), bits + list(par))
+                # sizes differ by more than similar sets may: folded to the shortest in common with each sent set
+                size = np.concatenate((head[2], [len(x) for x in sets]))
+                k = head.shape[1]
+                for j in range(k):
+                    fit = k + np.flatnonzero((100 * np.minimum(size[k:], size[j]) >= s.percent * np.maximum(size[k:], size[j])))
+                    if not len(fit):
+                        continue
+                    sketch = table.rows(np.concatenate(([j], fit)))
+                    far = np.bitwise_count(sketch[1:] ^ sketch[0]).sum(1, dtype=np.int64)
+                    near = np.flatnonzero(far * (100 + s.percent) <= (size[fit] + size[j]) * (100 - s.percent))
+                    if budget:
+                        near = near[np.argsort(far[near], kind="stable")[:budget]]
+                    m = len(near)
+                    b = [part[x] for x in (fit[near] - k).tolist()]
+                    tables.append(_pair_table(np.full(m, head[0, j]), np.full(m, head[3, j]), np.full(m, head[4, j]), [n for n, _ in b], np.full(m, g), [i for _, i in b], np.ones(m, bool)))
+        out = pa.concat_tables(tables)
+        a, b = out["a"].to_numpy(), out["b"].to_numpy()
+        swap = a > b
+        cols = {c: out[c].to_numpy() for c in out.column_names}
+        two = lambda x, y: (np.where(swap, cols[y], cols[x]), np.where(swap, cols[x], cols[y]))
+        (a, b), (ag, bg), (ai, bi) = two("a", "b"), two("ag", "bg"), two("ai", "bi")
+        return _pair_table(a, ag, ai, b, bg, bi, np.ones(len(a), bool))
 
     return find
 
@@ -387,19 +526,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = settle(tried, "tried")
     links = settle(verified(tried), "verified")
     labels = components(links)
-    for budget in (*BUDGETS, None):
+    opened = None  # labels of giant components that are to travel whole, as they share words with other giant ones
+    rounds = [*BUDGETS, None]
+    while rounds:
+        budget = rounds.pop(0)
         labels = settle(labels, "labels")
+        giants = labels.groupBy(F.col("root").alias("label")).count().where(F.col("count") > GIANT).select("label", F.lit(True).alias("hidden"))
+        giants = giants if opened is None else giants.join(opened, "label", "left_anti")
         known = places.join(labels, "node", "left").select("_g", "i", "node", F.coalesce("root", "node").alias("label"))
+        known = settle(known.join(giants, "label", "left").select("_g", "i", "node", "label", F.coalesce("hidden", F.lit(False)).alias("hidden")), "known")
 
         def again(key, t: pa.Table, lab: pa.Table) -> pa.Table:
-            return emit(t, {i: (n, x) for i, n, x in zip(lab["i"].to_pylist(), lab["node"].to_pylist(), lab["label"].to_pylist())})
+            cols = [lab[c].to_pylist() for c in ("i", "node", "label", "hidden")]
+            return emit(t, {i: (n, x, h) for i, n, x, h in zip(*cols)})
 
         keys = by_block.cogroup(known.groupBy("_g")).applyInArrow(again, _KEYS)
-        pairs = keys.groupBy("rng").applyInArrow(_pairs(s, budget, True), _PAIRS).dropDuplicates(["a", "b"])
-        pairs = settle(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*tried.columns), "pairs")
+        out = settle(keys.groupBy("rng").applyInArrow(_pairs(s, budget, True), _FOUND), "found")
+        sent = out.where("sets is not null").select("_g", F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("node"), "label", F.lit(None).cast("boolean").alias("hidden"), "sets")
+        stayed = known.where("hidden").select("*", F.lit(None).cast("binary").alias("sets"))
+        home = by_block.cogroup(stayed.union(sent).groupBy("_g")).applyInArrow(_at_home(s, budget), _PAIRS)
+        pairs = out.where("sets is null and ag >= 0").select(*tried.columns)
+        if not giants.isEmpty():
+            pairs = pairs.union(home.select(*tried.columns))
+        pairs = settle(pairs.dropDuplicates(["a", "b"]).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*tried.columns), "pairs")
         links = settle(verified(pairs), "verified")
         tried = tried.union(pairs)
         labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").union(links))
+        if budget is None:
+            clash = out.where("ag = -1").select(F.col("a").alias("label")).distinct()
+            if not clash.isEmpty():
+                opened = settle(clash if opened is None else clash.union(opened), "opened")
+                rounds = [None]
     return _named(found, settle(labels, "labels"))
 
 

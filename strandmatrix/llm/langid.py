@@ -163,11 +163,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def rows(batches):
-        keep_caches()
-        one = sent.value.predictor()
-        for b in batches:
-            got = [one(t) for t in b[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b[0], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+        with keep_caches():
+            one = sent.value.predictor()
+            for b in batches:
+                got = [one(t) for t in b[1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([b[0], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (F.pmod(crc32_text(F.col("doc_id")), F.lit(folds)) == held_out).alias("held_out"), "lang_pred", "score")

@@ -147,10 +147,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def rows(batches):
-        keep_caches()
-        one = sent.value.scorer()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b[0], pa.array([one(t) for t in b[1].to_pylist()], pa.float64())], ["doc_id", "score"])
+        with keep_caches():
+            one = sent.value.scorer()
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b[0], pa.array([one(t) for t in b[1].to_pylist()], pa.float64())], ["doc_id", "score"])
 
     got = texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, score double")
     return got.select("doc_id", (F.pmod(crc32_text(F.col("doc_id")), F.lit(folds)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -162,9 +162,9 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     at = docs.columns.index(text_col)
 
     def rows(batches):
-        keep_caches()
-        one = sent.value.scorer()
-        for b in batches:
-            yield b.filter(pa.array([one(t or "") >= threshold for t in b[at].to_pylist()], pa.bool_()))
+        with keep_caches():
+            one = sent.value.scorer()
+            for b in batches:
+                yield b.filter(pa.array([one(t or "") >= threshold for t in b[at].to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(rows, schema)

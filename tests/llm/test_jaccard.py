@@ -60,8 +60,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, size, percent", [(1, 3, 90), (2, 5, 80), (3, 1, 50)])
-def test_components(spark, monkeypatch, seed, size, percent):
+@pytest.mark.parametrize("seed, size, percent, giant", [(1, 3, 90, 2048), (2, 5, 80, 4), (3, 1, 50, 3), (4, 3, 90, 2)])
+def test_components(spark, monkeypatch, seed, size, percent, giant):
+    monkeypatch.setattr(J, "GIANT", giant)
     monkeypatch.setattr(J, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(J, "RANGE_BYTES", 9000)
     rows = corpus(seed)
