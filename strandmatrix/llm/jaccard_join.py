@@ -19,6 +19,7 @@ at the word, and sets of other components that share the word go to those blocks
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -49,8 +50,8 @@ class Settings:
     percent: int = 80
 
     def __post_init__(self) -> None:
-        if self.shingle < 1 or not 1 <= self.percent <= 100:
-            raise ValueError("shingle must be positive and percent from 1 to 100")
+        if self.shingle < 1 or not 70 <= self.percent <= 100:  # below, sketches cannot have fewer zero words than equal ones
+            raise ValueError("shingle must be positive and percent from 70 to 100")
 
 
 @lru_cache(8)
@@ -64,10 +65,16 @@ def edges(percent: int, most: int = 1 << 40) -> np.ndarray:
 
 @lru_cache(100_000)
 def sketch_size(band: int, percent: int) -> tuple[int, int]:
-    """(words, largest difference) for pairs whose smaller set is in a band. The spare words outweigh expected zeros."""
-    a = int(edges(percent)[band + 1]) - 1
+    """(words, largest difference) for pairs whose smaller set is in a band.
+
+    Words in excess of the difference outweigh the zero words that the band's smallest set leaves by chance, by three deviations.
+    """
+    n, a = int(edges(percent)[band]), int(edges(percent)[band + 1]) - 1
     d = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-    return d + 1 + d // 128, d
+    words = d + 1
+    while words - d < (z := words * math.exp(-n / words)) + 3 * math.sqrt(z) + 1 and words < 4 * a + 64:
+        words += 1 + words // 64
+    return words, d
 
 
 def shingles(tokens: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -84,10 +91,10 @@ def shingles(tokens: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
             s = np.sort(h[x : y - size + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif y > x:
-            short = np.uint64(y - x)
-            for t in tokens[x:y]:
-                short = mix(np.array([short]))[0] + t
-            out.append(mix(np.array([short ^ np.uint64(0x5851F42D4C957F2D)])))
+            short = np.array([y - x], np.uint64)
+            for i in range(x, y):
+                short = mix(short) + tokens[i : i + 1]
+            out.append(mix(short ^ np.uint64(0x5851F42D4C957F2D)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
