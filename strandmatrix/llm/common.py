@@ -50,6 +50,8 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # else shuffle files of what was settled before stay until the driver happens to collect its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 

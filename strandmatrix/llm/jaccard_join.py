@@ -518,6 +518,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_block = docs.groupBy("_g")
     found = settle(by_block.applyInArrow(_documents(s), "doc_id long, n_shingles long, node long"), "sets")
     emit = _keys(s, ranges)
+    emit_again = _keys(s, 1 + ranges // 4)  # fewer sets take part, and each sends its parity bits to every range it has a word in
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select("ag", "a", "ai", "bg").distinct()
@@ -545,7 +546,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def again(key, t: pa.Table, lab: pa.Table) -> pa.Table:
             cols = [lab[c].to_pylist() for c in ("i", "node", "label", "hidden")]
-            return emit(t, {i: (n, x, h) for i, n, x, h in zip(*cols)})
+            return emit_again(t, {i: (n, x, h) for i, n, x, h in zip(*cols)})
 
         keys = by_block.cogroup(known.groupBy("_g")).applyInArrow(again, _KEYS)
         out = settle(keys.groupBy("rng").applyInArrow(_pairs(s, budget, True), _FOUND), "found")
