@@ -2,8 +2,9 @@
 
 Text nodes are gathered by their root-to-leaf tag path. A path's text ratio is its characters per node, its
 punctuation ratio its sentence marks per node; both are smoothed over neighbouring paths in page order and fused as
-their geometric mean. Paths pool their weight in the container that holds them; containers that reach a share of
-the best one's fused weight are content, and within them all paths that are not links or page furniture.
+their geometric mean. Paths whose weight, fused ratio x length, reaches a share of the heaviest one's are content; <article>
+and <main> only count their paths' weights more. If all content lies in those tags, the text outside them goes. What shares the content's
+place is kept, except link lists and, beside content, plain boxes whose own ratio is poor.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ FURNITURE = frozenset("nav aside footer form button menu dialog head fieldset la
 IMPLIED = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 STOPS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+GROUPS = frozenset("ul ol dl menu table div section article main body center".split())
+SIDE = frozenset("div center".split())
+WHOLE = frozenset("article main div center body html".split())
+#: A box with one of these is more than a plain one.
+FORMED = TITLES | frozenset("table blockquote pre figure ul ol dl section".split())
 #: Words of class, id and role names that mark page furniture.
 MARKS = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments discussion respond replies reply disqus widget toolbar search form complementary contentinfo dialog hidden".split())
 
@@ -35,19 +42,37 @@ _SENTENCE = re.compile(r"[.,;:!?。，،]")
 
 @dataclass
 class Settings:
-    """share: of the best container's fused weight that another needs. links: share of link text from which a path is a menu."""
+    """share: of the heaviest path's weight that another content path needs, and of its ratio that a plain box outside the content's
+    common ancestor needs (half of it within). links: share of link text from which a path in a list is a menu. prior: what an article
+    or main element divides a weight by."""
 
     share: float = 0.3
     links: float = 0.6
     smooth: float = 0.5
+    prior: float = 0.25
 
 
-@dataclass
+@dataclass(slots=True)
+class Element:
+    """Numbers of its parent, its path, the innermost article or main element and the list or box that hold it; mark: of furniture."""
+
+    tag: str
+    parent: int = 0
+    path: int = 0
+    main: int = 0
+    group: int = 0
+    title: bool = False
+    mark: bool = False
+
+
+@dataclass(slots=True)
 class Node:
-    path: tuple[str, ...]
-    box: int
+    at: int
+    path: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    text: str = ""
+    marks: int = 0
 
 
 def _marked(tag: str, attrs: str) -> bool:
@@ -67,14 +92,16 @@ def _marked(tag: str, attrs: str) -> bool:
     return False
 
 
-def blocks(html: str) -> tuple[list[Node], bool]:
-    """Text nodes outside page furniture, one a block, in page order; whether an article or main element holds some.
+def blocks(html: str) -> tuple[list[Node], list[Element]]:
+    """Text nodes, one a block, in page order, and the elements, parents first; number 0 is the page.
 
     Unclosed elements end with their parent, end tags without a start are skipped, a paragraph ends where a block begins.
     """
-    stack: list[tuple[str, str, bool, int]] = []  # tag, label, furniture, container number
+    stack: list[tuple[str, int]] = []  # tag, number
+    tree = [Element("")]
+    paths: dict[tuple[int, str], int] = {}
     out: list[Node] = []
-    node, boxes, at, anchors, size = None, 0, 0, 0, len(html)
+    node, at, anchors, size = None, 0, 0, len(html)
     low = None
 
     def pop_to(i: int) -> None:
@@ -84,12 +111,11 @@ def blocks(html: str) -> tuple[list[Node], bool]:
 
     def put(raw: str) -> None:
         nonlocal node
-        if stack and stack[-1][2]:
-            return
         if node is None:
             if not raw.strip():
                 return
-            node = Node(tuple(x[1] for x in stack), stack[-1][3] if stack else 0)
+            e = stack[-1][1] if stack else 0
+            node = Node(e, tree[e].path)
             out.append(node)
         node.parts.append(raw)
         if anchors:
@@ -149,58 +175,124 @@ def blocks(html: str) -> tuple[list[Node], bool]:
                     pop_to(first)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        up = stack[-1] if stack else ("", "", False, 0)
-        inside = any(x[0] in ("article", "main") for x in stack)
-        furniture = up[2] or _marked(tag, m[3]) or tag == "header" and not inside
-        box = up[3]
-        if tag in CONTAINERS:
-            boxes += 1
-            box = boxes
+        up = stack[-1][1] if stack else 0
+        of, e = tree[up], len(tree)
+        mark = _marked(tag, m[3]) or tag == "header" and not of.main
+        tree.append(Element(tag, up, paths.setdefault((of.path, tag), len(paths) + 1), e if tag in ("article", "main") else of.main, e if tag in GROUPS else of.group, tag in TITLES or of.title and tag not in BLOCK, mark))
         anchors += tag == "a"
-        stack.append((tag, tag, furniture, box))
-    main = any("article" in n.path or "main" in n.path for n in out)
-    return out, main
+        stack.append((tag, e))
+    return out, tree
 
 
-def extract(html: str, s: Settings = Settings()) -> str:
-    """The page's main text: blocks joined by two newlines, white space in a block as one space; empty if there is none."""
-    nodes, main = blocks(html)
-    if main:
-        nodes = [n for n in nodes if "article" in n.path or "main" in n.path]
-    kept = []
+@dataclass
+class Ratios:
+    """Of each path the fused ratio as it is and smoothed; of each node whether it is of a menu."""
+
+    raw: dict[int, float]
+    fused: dict[int, float]
+    menus: list[bool]
+
+
+def fuse(chars: float, marks: float, nodes: float) -> float:
+    return (chars / nodes * (marks + 1) / nodes) ** 0.5
+
+
+def ratios(nodes: list[Node], tree: list[Element], s: Settings) -> Ratios:
+    paths: dict[int, list[int]] = {}
+    groups: dict[int, list[int]] = {}
     for n in nodes:
-        text = " ".join(unescape("".join(n.parts)).split())
-        if text:
-            kept.append((n, text))
-    if not kept:
-        return ""
-    paths: dict[tuple, list[float]] = {}
-    for n, text in kept:
-        p = paths.setdefault(n.path, [0, 0, 0, 0])
-        p[0] += len(text)
-        p[1] += len(_SENTENCE.findall(text))
-        p[2] += 1
-        p[3] += min(n.linked, len(text))
-    order = list(paths)
-    ratio = [(p[0] / p[2], (p[1] + 1) / p[2]) for p in paths.values()]
+        size = len(n.text)
+        for p in (paths.setdefault(n.path, [0, 0, 0, 0]), groups.setdefault(tree[n.at].group, [0, 0, 0, 0])):
+            p[0] += size
+            p[1] += n.marks
+            p[2] += 1
+            p[3] += min(n.linked, size)
+    both = [(p[0] / p[2], (p[1] + 1) / p[2]) for p in paths.values()]
     fused = {}
-    for i, path in enumerate(order):
-        near = [ratio[j] for j in (i - 1, i + 1) if 0 <= j < len(ratio)]
-        t, q = ratio[i]
+    for i, path in enumerate(paths):
+        near = [both[j] for j in (i - 1, i + 1) if 0 <= j < len(both)]
+        t, q = both[i]
         if near:
             t = (1 - s.smooth) * t + s.smooth * max(t, sum(x for x, _ in near) / len(near))
             q = (1 - s.smooth) * q + s.smooth * max(q, sum(x for _, x in near) / len(near))
         fused[path] = (t * q) ** 0.5
-    menus = {path for path, p in paths.items() if p[3] > s.links * p[0]}
-    weight: dict[int, float] = {}
-    for n, text in kept:
-        if n.path not in menus:
-            weight[n.box] = weight.get(n.box, 0) + fused[n.path] * len(text)
-    if not weight:
-        return "\n\n".join(text for _, text in kept) if main else ""
-    least = s.share * max(weight.values())
-    good = {box for box, w in weight.items() if main or w >= least}
-    return "\n\n".join(text for n, text in kept if n.box in good and (main or n.path not in menus))
+    linked = [{k for k, p in sums.items() if p[3] > s.links * p[0]} for sums in (paths, groups)]
+    linked[1] -= {k for k, p in groups.items() if tree[k].tag == "table" and p[3] < p[0]}  # a table with other text is no menu
+    menus = [n.linked > s.links * len(n.text) and n.path in linked[0] and tree[n.at].group in linked[1] for n in nodes]
+    for i in range(len(nodes) - 2, -1, -1):  # a linked title of what follows is not of a menu
+        if menus[i] and tree[nodes[i].at].title and not menus[i + 1]:
+            menus[i] = False
+    return Ratios({k: fuse(*p[:3]) for k, p in paths.items()}, fused, menus)
+
+
+def weigh(nodes: list[Node], tree: list[Element], r: Ratios, s: Settings) -> list[float]:
+    return [0.0 if menu else r.fused[n.path] * len(n.text) / (s.prior if tree[n.at].main else 1) for n, menu in zip(nodes, r.menus)]
+
+
+def unmarked(nodes: list[Node], tree: list[Element]) -> list[Node]:
+    furniture = [x.mark for x in tree]
+    for e in range(1, len(tree)):
+        furniture[e] |= furniture[tree[e].parent]
+    return [n for n in nodes if not furniture[n.at]]
+
+
+def beside(nodes: list[Node], tree: list[Element], r: Ratios, seeds: list[Node], best: float, s: Settings) -> set[int]:
+    """Elements that are outermost plain boxes without content paths and of poor ratio, with all that they hold."""
+    count = [0] * len(tree)
+    for n in seeds:
+        count[n.at] += 1
+    for e in range(len(tree) - 1, 0, -1):
+        count[tree[e].parent] += count[e]
+    common = max(e for e, c in enumerate(count) if c == len(seeds))
+    while common and tree[common].tag not in WHOLE:
+        common = tree[common].parent
+    side, formed, outside = [0] * len(tree), [False] * len(tree), [True] * len(tree)
+    outside[0] = common != 0
+    for e in range(1, len(tree)):
+        up = tree[e].parent
+        outside[e] = outside[up] and e != common if count[e] else outside[up]
+        if not count[e]:
+            side[e] = side[up] or (e if tree[e].tag in SIDE else 0)
+            formed[e] = formed[up] or tree[e].tag in FORMED
+    sums: dict[int, list] = {}
+    for n, menu in zip(nodes, r.menus):
+        if side[n.at] and not menu:
+            p = sums.setdefault(side[n.at], [0, 0, 0, False])
+            p[0] += len(n.text)
+            p[1] += n.marks
+            p[2] += 1
+            p[3] |= formed[n.at]
+    poor = {e for e, p in sums.items() if not p[3] and fuse(*p[:3]) < best * s.share / (1 if outside[e] else 2)}
+    return {e for e in range(len(tree)) if side[e] in poor}
+
+
+def extract(html: str, s: Settings = Settings()) -> str:
+    """The page's main text: blocks joined by two newlines, white space in a block as one space; empty if there is none."""
+    nodes, tree = blocks(html)
+    for n in nodes:
+        n.text = " ".join(unescape("".join(n.parts)).split())
+        n.marks = len(_SENTENCE.findall(n.text))
+    nodes = unmarked([n for n in nodes if n.text], tree)
+    r = ratios(nodes, tree, s)
+    w = weigh(nodes, tree, r, s)
+    if not any(w):
+        return ""
+    total: dict[int, float] = {}
+    for n, x in zip(nodes, w):
+        total[n.path] = total.get(n.path, 0) + x
+    top = max(total, key=total.__getitem__)
+    seeds = [n for n, x in zip(nodes, w) if x and total[n.path] >= s.share * total[top]]
+    gone = beside(nodes, tree, r, seeds, r.raw[top], s)
+    main = all(tree[n.at].main for n in seeds)
+    if not any(tree[n.at].main for n in nodes):
+        boxes = [0] * len(tree)
+        for e in range(1, len(tree)):
+            boxes[e] = e if tree[e].tag in CONTAINERS else boxes[tree[e].parent]
+        weight: dict[int, float] = {}
+        for n, x in zip(nodes, w):
+            weight[boxes[n.at]] = weight.get(boxes[n.at], 0) + x
+        gone |= {e for e in range(len(tree)) if weight.get(boxes[e], 0) < s.share * max(weight.values())}
+    return "\n\n".join(n.text for n, menu in zip(nodes, r.menus) if not menu and n.at not in gone and (tree[n.at].main or not main))
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

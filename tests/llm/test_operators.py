@@ -223,6 +223,21 @@ def test_without_article_element():
     assert text.startswith("Title\n\nA long sentence") and "Home" not in text and "Next" not in text
 
 
+LONG = "A long sentence, with marks. " * 11 + "A long sentence, with marks."
+
+
+def extracted(body):
+    return html_extract.extract(f"<html><head><title>T</title></head><body>{body}</body></html>").replace(LONG, "LONG").split("\n\n")
+
+
+def test_ratios_decide_beside_article_and_main():
+    assert extracted(f"<div><article><p>A teaser card.</p></article></div><div><p>{LONG}</p><p>{LONG}</p></div>") == ["LONG", "LONG"]
+    links = "<ul><li><a href=x>One link</a><li><a href=y>Two links</a></ul>"
+    for tag in ("article", "main"):
+        assert extracted(f"<{tag}><h1><a href=t>Title</a></h1><p>{LONG}</p>{links}<p>The end.</p><div>Buy now</div></{tag}>") == ["Title", "LONG", "The end."]
+    assert extracted(f"<article><p>{LONG}</p><table><tr><td><a href=x>a name</a><td>42</table></article>") == ["LONG", "a name", "42"]
+
+
 @pytest.mark.parametrize("page", ["", "plain words", "<", "<p", "<!--", "</p></p>", "<script>x", "<a href='", "<p>İ<script>q</SCRIPT>z</p>", "<div>" * 2000 + "deep" + "</div>" * 2000])
 def test_broken_pages(page):
     text = html_extract.extract(page)
