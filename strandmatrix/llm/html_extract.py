@@ -24,7 +24,6 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 FURNITURE = frozenset("nav aside footer form button menu dialog head fieldset label input search".split())
 IMPLIED = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 STOPS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
-CONTAINERS = frozenset("article main section div td body blockquote center".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 GROUPS = frozenset("ul ol dl menu table div section article main body center".split())
 SIDE = frozenset("div center".split())
@@ -284,14 +283,6 @@ def extract(html: str, s: Settings = Settings()) -> str:
     seeds = [n for n, x in zip(nodes, w) if x and total[n.path] >= s.share * total[top]]
     gone = beside(nodes, tree, r, seeds, r.raw[top], s)
     main = all(tree[n.at].main for n in seeds)
-    if not any(tree[n.at].main for n in nodes):
-        boxes = [0] * len(tree)
-        for e in range(1, len(tree)):
-            boxes[e] = e if tree[e].tag in CONTAINERS else boxes[tree[e].parent]
-        weight: dict[int, float] = {}
-        for n, x in zip(nodes, w):
-            weight[boxes[n.at]] = weight.get(boxes[n.at], 0) + x
-        gone |= {e for e in range(len(tree)) if weight.get(boxes[e], 0) < s.share * max(weight.values())}
     return "\n\n".join(n.text for n, menu in zip(nodes, r.menus) if not menu and n.at not in gone and (tree[n.at].main or not main))
 
 

@@ -238,6 +238,13 @@ def test_ratios_decide_beside_article_and_main():
     assert extracted(f"<article><p>{LONG}</p><table><tr><td><a href=x>a name</a><td>42</table></article>") == ["LONG", "a name", "42"]
 
 
+def test_short_parts_of_the_content_stay():
+    parts = "<blockquote>Quoted words.</blockquote><table><tr><td>42<td>cell</table>"
+    assert extracted(f"<div><section><p>{LONG}</p><p>{LONG}</p></section><section><p>Short one.</p></section>{parts}</div>") == ["LONG", "LONG", "Short one.", "Quoted words.", "42", "cell"]
+    assert extracted(f"<section><p>{LONG}</p></section><section><ul><li>Short</ul></section>") == ["LONG", "Short"]
+    assert extracted(f"<div><p>{LONG}</p></div><div><table><tr><td>42</table></div><div>Buy now</div>") == ["LONG", "42"]
+
+
 @pytest.mark.parametrize("page", ["", "plain words", "<", "<p", "<!--", "</p></p>", "<script>x", "<a href='", "<p>İ<script>q</SCRIPT>z</p>", "<div>" * 2000 + "deep" + "</div>" * 2000])
 def test_broken_pages(page):
     text = html_extract.extract(page)
