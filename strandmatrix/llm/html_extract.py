@@ -5,6 +5,9 @@ punctuation ratio its sentence marks per node; both are smoothed over neighbouri
 their geometric mean. Paths whose weight, fused ratio x length, reaches a share of the heaviest one's are content; <article>
 and <main> only count their paths' weights more. If all content lies in those tags, the text outside them goes. What shares the content's
 place is kept, except link lists and, beside content, plain boxes whose own ratio is poor.
+
+Marks of page furniture (tags, and class, id or role names) are priors too: a marked element's text goes unless it
+outweighs the rest of the page by far.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math canvas object select title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-FURNITURE = frozenset("nav aside footer form button menu dialog head fieldset label input search".split())
+FURNITURE = frozenset("aside form fieldset search".split())
+#: Never the wrapper of a page: their text stays only if it is of an article or main element within.
+HARD = frozenset("nav footer button menu dialog label".split())
 IMPLIED = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 STOPS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -32,6 +37,8 @@ WHOLE = frozenset("article main div center body html".split())
 FORMED = TITLES | frozenset("table blockquote pre figure ul ol dl section".split())
 #: Words of class, id and role names that mark page furniture.
 MARKS = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments discussion respond replies reply disqus widget toolbar search form complementary contentinfo dialog hidden".split())
+#: Words that may stand beside them in one name, as in ad-slot; any other word makes it another name, as in search-results.
+BESIDE = frozenset("site page top bottom left right list item items box bar block slot unit link links button buttons posts icons".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -42,18 +49,19 @@ _SENTENCE = re.compile(r"[.,;:!?。，،]")
 @dataclass
 class Settings:
     """share: of the heaviest path's weight that another content path needs, and of its ratio that a plain box outside the content's
-    common ancestor needs (half of it within). links: share of link text from which a path in a list is a menu. prior: what an article
-    or main element divides a weight by."""
+    common ancestor needs (half of it within). links: share of link text from which a path in a list is a menu. prior: what a mark of furniture
+    multiplies a weight by, and an article or main element divides it by. rival: of the heaviest marked element's weight that another needs to stay."""
 
     share: float = 0.3
     links: float = 0.6
     smooth: float = 0.5
     prior: float = 0.25
+    rival: float = 0.5
 
 
 @dataclass(slots=True)
 class Element:
-    """Numbers of its parent, its path, the innermost article or main element and the list or box that hold it; mark: of furniture."""
+    """Numbers of its parent, its path, the innermost article or main element and the list or box that hold it; mark: 1 of furniture, 2 of a HARD kind."""
 
     tag: str
     parent: int = 0
@@ -61,7 +69,7 @@ class Element:
     main: int = 0
     group: int = 0
     title: bool = False
-    mark: bool = False
+    mark: int = 0
 
 
 @dataclass(slots=True)
@@ -74,27 +82,33 @@ class Node:
     marks: int = 0
 
 
-def _marked(tag: str, attrs: str) -> bool:
+def _marked(tag: str, attrs: str) -> int:
+    if tag in HARD:
+        return 2
     if tag in FURNITURE:
-        return True
+        return 1
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    soft = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
-                return True
-        elif any(w.lower() in MARKS for w in _NAMES.findall(value)):
-            return True
-    return False
+                return 2
+        else:
+            for token in value.split():
+                words = [w.lower() for w in _NAMES.findall(token)]
+                if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+                    soft = 1
+    return soft
 
 
 def blocks(html: str) -> tuple[list[Node], list[Element]]:
     """Text nodes, one a block, in page order, and the elements, parents first; number 0 is the page.
 
-    Unclosed elements end with their parent, end tags without a start are skipped, a paragraph ends where a block begins.
+    Unclosed elements end with their parent, the head where something else begins, end tags without a start are skipped, a paragraph ends where a block begins.
     """
     stack: list[tuple[str, int]] = []  # tag, number
     tree = [Element("")]
@@ -113,6 +127,8 @@ def blocks(html: str) -> tuple[list[Node], list[Element]]:
         if node is None:
             if not raw.strip():
                 return
+            if stack and stack[-1][0] == "head":
+                stack.pop()
             e = stack[-1][1] if stack else 0
             node = Node(e, tree[e].path)
             out.append(node)
@@ -154,6 +170,8 @@ def blocks(html: str) -> tuple[list[Node], list[Element]]:
             if node is not None:
                 node.parts.append(" ")
             continue
+        if stack and stack[-1][0] == "head" and tag not in VOID:
+            stack.pop()
         if tag in BLOCK:
             node = None
             for i in range(len(stack) - 1, -1, -1):
@@ -176,7 +194,7 @@ def blocks(html: str) -> tuple[list[Node], list[Element]]:
             continue
         up = stack[-1][1] if stack else 0
         of, e = tree[up], len(tree)
-        mark = _marked(tag, m[3]) or tag == "header" and not of.main
+        mark = _marked(tag, m[3]) or int(tag == "header" and not of.main)
         tree.append(Element(tag, up, paths.setdefault((of.path, tag), len(paths) + 1), e if tag in ("article", "main") else of.main, e if tag in GROUPS else of.group, tag in TITLES or of.title and tag not in BLOCK, mark))
         anchors += tag == "a"
         stack.append((tag, e))
@@ -228,11 +246,36 @@ def weigh(nodes: list[Node], tree: list[Element], r: Ratios, s: Settings) -> lis
     return [0.0 if menu else r.fused[n.path] * len(n.text) / (s.prior if tree[n.at].main else 1) for n, menu in zip(nodes, r.menus)]
 
 
-def unmarked(nodes: list[Node], tree: list[Element]) -> list[Node]:
-    furniture = [x.mark for x in tree]
+def unmarked(nodes: list[Node], tree: list[Element], s: Settings) -> list[Node]:
+    """The nodes without those of page furniture. A marked element is furniture unless its weight, times s.prior, is over that of all unmarked text."""
+    near = [0] * len(tree)  # the innermost marked element
     for e in range(1, len(tree)):
-        furniture[e] |= furniture[tree[e].parent]
-    return [n for n in nodes if not furniture[n.at]]
+        near[e] = e if tree[e].mark else near[tree[e].parent]
+    if not any(near[n.at] for n in nodes):
+        return nodes
+    clean, own, inner = 0.0, {}, {}
+    for n, x in zip(nodes, weigh(nodes, tree, ratios(nodes, tree, s), s)):
+        m = near[n.at]
+        if not m:
+            clean += x
+        own[m] = own.get(m, 0) + x
+        if tree[n.at].main > m:
+            inner[m] = inner.get(m, 0) + x
+    own.pop(0, 0)
+    marked = [e for e in range(len(tree)) if tree[e].mark]
+    free = {0}
+    for m in reversed(marked):  # inner ones first
+        support = (inner if tree[m].mark == 2 else own).get(m, 0)
+        if support and s.prior * support > clean and support >= s.rival * max(own.values()):
+            free.add(m)
+            up = near[tree[m].parent]
+            if up:
+                own[up] = own.get(up, 0) + own[m]
+                inner[up] = inner.get(up, 0) + inner.get(m, 0)
+    for m in marked:
+        if near[tree[m].parent] not in free:
+            free.discard(m)
+    return [n for n in nodes if near[n.at] in free]
 
 
 def beside(nodes: list[Node], tree: list[Element], r: Ratios, seeds: list[Node], best: float, s: Settings) -> set[int]:
@@ -271,7 +314,7 @@ def extract(html: str, s: Settings = Settings()) -> str:
     for n in nodes:
         n.text = " ".join(unescape("".join(n.parts)).split())
         n.marks = len(_SENTENCE.findall(n.text))
-    nodes = unmarked([n for n in nodes if n.text], tree)
+    nodes = unmarked([n for n in nodes if n.text], tree, s)
     r = ratios(nodes, tree, s)
     w = weigh(nodes, tree, r, s)
     if not any(w):

@@ -245,6 +245,21 @@ def test_short_parts_of_the_content_stay():
     assert extracted(f"<div><p>{LONG}</p></div><div><table><tr><td>42</table></div><div>Buy now</div>") == ["LONG", "42"]
 
 
+@pytest.mark.parametrize("name", ["layout with-sidebar", "overflow-hidden", "search-results", "sidebar", "widget"])
+def test_marks_do_not_empty_a_page(name):
+    assert extracted(f"<div class='{name}'><article><p>{LONG}</p></article></div><div class='sidebar'><p>Side.</p></div>") == ["LONG"]
+    assert extracted(f"<div class='{name}'><div><p>{LONG}</p></div></div><div class='ad-slot'>An advert.</div>") == ["LONG"]
+    assert extracted(f"<form><div class='{name}'><p>{LONG}</p></div><aside><p>Side.</p></aside></form><footer>Owner. Year.</footer>") == ["LONG"]
+
+
+def test_marks_are_heard_and_the_head_ends():
+    assert extracted(f"<article><p>{LONG}</p><div class='comments'><p>{LONG}</p></div></article>") == ["LONG"]
+    assert extracted(f"<aside><article><p>A teaser card.</p></article></aside><div><p>{LONG}</p></div>") == ["LONG"]
+    assert extracted("<nav><a href=x>Home</a></nav><footer>Owner. Year.</footer>") == [""]
+    for page in (f"<html><head><title>T</title><meta x><body><p>{LONG}</p>", f"<head><title>T</title><p>{LONG}</p>", f"<head><title>T</title>{LONG}"):
+        assert html_extract.extract(page) == LONG
+
+
 @pytest.mark.parametrize("page", ["", "plain words", "<", "<p", "<!--", "</p></p>", "<script>x", "<a href='", "<p>İ<script>q</SCRIPT>z</p>", "<div>" * 2000 + "deep" + "</div>" * 2000])
 def test_broken_pages(page):
     text = html_extract.extract(page)
