@@ -148,17 +148,19 @@ def wav_samples(s: Settings) -> Callable:
     return samples
 
 
-NOTE = 96  # samples of a word's note
+NOTE = 96  # samples of a note
+#: Notes of a word of a turn: four words are 4608 samples, 15 frames, and have the 8 prints that a pair needs.
+TURN_NOTES = 12
 
 
-def sonify(s: Settings) -> Callable:
-    """Samples of a text: each word a short note whose pitch is a hash of the word. Stands in for audio where a table has none."""
+def sonify(s: Settings, each: int = 1) -> Callable:
+    """Samples of a text: each word so many short notes whose pitches are hashes of the word. Stands in for audio where a table has none."""
     t = np.arange(NOTE) / s.rate
     pitch = 110.0 * 2 ** (np.arange(36) / 12)
     notes = (np.sin(2 * np.pi * pitch[:, None] * t) * np.hanning(NOTE)).astype(np.float32)
 
     def samples(text):
-        at = [zlib.crc32(w) % 36 for w in (text or "").encode().split()]
+        at = [zlib.crc32(w, i) % 36 for w in (text or "").encode().split() for i in range(each)]
         return notes[at].ravel() if at else np.zeros(0, np.float32)
 
     return samples
@@ -167,7 +169,7 @@ def sonify(s: Settings) -> Callable:
 def fingerprints(df: DataFrame, id_col: str, media_col: str, s: Settings = Settings(), samples: Callable | None = None) -> DataFrame:
     """(rec_id, prints binary, sound binary, fp long): the packed integers of every row's recording, without a shuffle.
 
-    Null, unreadable, silent or too short media have no integers. Identifiers may repeat or be null.
+    Null, unreadable or too short media have no integers; fp is then of the samples, null if there are none. Identifiers may repeat or be null.
     """
     read = samples or wav_samples(s)
 
@@ -175,9 +177,11 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, s: Settings = Setti
         for b in batches:
             out = [], [], []
             for x in b[1].to_pylist():
-                p, sound = prints(chroma(read(x), s))
+                heard = read(x)
+                p, sound = prints(chroma(heard, s))
                 raw = p.astype("<u4").tobytes()
-                for c, v in zip(out, (raw, sound.astype(np.uint8).tobytes(), _digest(raw))):
+                fp = _digest(raw) if raw else _digest(b"samples" + heard.tobytes()) if len(heard) else None
+                for c, v in zip(out, (raw, sound.astype(np.uint8).tobytes(), fp)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b[0], pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["rec_id", "prints", "sound", "fp"])
 
@@ -221,15 +225,15 @@ def match(df: DataFrame, id_col: str, media_col: str, query: F.Column, s: Settin
     """(members, pairs): recordings by class, and query classes aligned with others.
 
     members: (rec_id, n_prints, class_id, is_query), one row for each input row; recordings with equal fingerprints are one class, named by its
-    smallest id (a recording without integers has its own id; null ids come last). pairs: (query_class, class_id, offset, frames, bit_error) for
+    smallest id (one too short for integers is classed by equal samples, one without samples has its own id; null ids come last). pairs: (query_class, class_id, offset, frames, bit_error) for
     each other class that shares at least s.hits integers with a query's class at their fullest offset (the smallest of equals),
     over s.overlap frames, with at most s.errors of the bits differing. `query` is a condition on rec_id. Empty in, empty out.
     """
     raw = settle(fingerprints(df, id_col, media_col, s, samples).withColumn("is_query", F.coalesce(query, F.lit(False))), "prints")
-    has = raw.where(F.octet_length("prints") > 0)
+    has = raw.where("fp is not null")
     classes = settle(has.groupBy("fp").agg(F.min("rec_id").alias("class_id"), F.max("is_query").alias("query"), F.min("prints").alias("prints"), F.min("sound").alias("sound")).where("class_id is not null"), "classes")
     named = raw.join(classes.select("fp", "class_id"), "fp", "left")
-    members = named.select("rec_id", (F.octet_length("prints") / 4).cast("long").alias("n_prints"), F.when(F.octet_length("prints") > 0, F.col("class_id")).otherwise(F.col("rec_id")).alias("class_id"), "is_query")
+    members = named.select("rec_id", (F.octet_length("prints") / 4).cast("long").alias("n_prints"), F.when(F.col("fp").isNotNull(), F.col("class_id")).otherwise(F.col("rec_id")).alias("class_id"), "is_query")
     keys = classes.select("class_id", "prints", "sound", "query").mapInArrow(_keys, "key long, class_id long, at int, query boolean")
     asked = keys.where("query").select("key", F.col("class_id").alias("query_class"), F.col("at").alias("q_at"))
     hits = asked.join(keys.select("key", "class_id", "at"), "key").where("class_id <> query_class")

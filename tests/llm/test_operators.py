@@ -332,6 +332,20 @@ def test_match_against_brute_force(spark):
     assert chroma.summary(members, pairs).count() == len(rows)
 
 
+def test_short_turns_have_prints_and_classes(spark, tmp_path):
+    from strandmatrix.llm import queries
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    turns = {(50, 0): words[:4], (1, 0): words[:4], (50, 1): words[20:30], (2, 0): words[20:29] + ["other"], (3, 0): words[10:50], (4, 0): ["hi", "you"], (5, 0): ["hi", "you"], (6, 0): ["hi", "they"], (7, 0): []}
+    spark.createDataFrame([(c, t, " ".join(w)) for (c, t), w in turns.items()], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.rec_id >> 32, r.rec_id & 7): r for r in queries.op5_chroma_prints(spark, str(tmp_path)).collect()}
+    assert all(got[k].n_prints >= chroma.Settings().overlap for k, w in turns.items() if len(w) >= 4)
+    assert got[50, 0].class_id == got[1, 0].class_id == got[1, 0].rec_id
+    assert got[4, 0].class_id == got[5, 0].class_id == got[4, 0].rec_id != got[6, 0].class_id
+    assert got[2, 0].best_query == got[3, 0].best_query == got[50, 1].rec_id and got[7, 0].class_id == got[7, 0].rec_id
+
+
 def test_integral_image_equals_direct_sums():
     image = np.random.default_rng(1).random((30, 12)).astype(np.float32)
     wide = np.concatenate((image, image), 1)
