@@ -27,7 +27,7 @@ FIELD = 40
 
 @dataclass(frozen=True)
 class Settings:
-    """max_docs a language, each of at most max_chars, bound what is learned from, whatever the table's size."""
+    """max_docs a language, each of at most max_chars, bound what is learned from, whatever the table's size; min_docs of max_docs must hold an n-gram."""
 
     max_docs: int = 800
     max_chars: int = 20_000
@@ -58,10 +58,11 @@ def letters(text: str) -> list[str]:
 
 
 class MaskFilter:
-    """The bit-sliced Bloom filter: slot -> bits of up to 64 languages."""
+    """The bit-sliced Bloom filter: slot -> bits of the languages, in as many 64-bit words as they need."""
 
-    def __init__(self, slots: int, hashes: int):
-        self.table, self.slots, self.hashes = np.zeros(slots, np.uint64), slots, hashes
+    def __init__(self, slots: int, hashes: int, languages: int = 64):
+        self.words = max(1, -(-languages // 64))
+        self.table, self.slots, self.hashes = np.zeros((slots, self.words), np.uint64), slots, hashes
 
     def _at(self, gram: str) -> list[int]:
         raw = gram.encode()
@@ -70,15 +71,17 @@ class MaskFilter:
 
     def add(self, gram: str, language: int) -> None:
         for at in self._at(gram):
-            self.table[at] |= np.uint64(1 << language)
+            self.table[at, language // 64] |= np.uint64(1 << language % 64)
 
     def masks(self, grams: list[str]) -> np.ndarray:
+        """A mask for each n-gram, a row of words if there are several."""
         at = np.array([self._at(g) for g in grams], np.int64)
-        return np.bitwise_and.reduce(self.table[at], axis=1)
+        got = np.bitwise_and.reduce(self.table[at], axis=1)
+        return got[:, 0] if self.words == 1 else got
 
     def false_rate(self, languages: int) -> np.ndarray:
         """Chance, for each language, that an n-gram it lacks shows its bit."""
-        fill = np.array([np.count_nonzero(self.table >> np.uint64(i) & np.uint64(1)) for i in range(languages)]) / self.slots
+        fill = np.array([np.count_nonzero(self.table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(languages)]) / self.slots
         return fill**self.hashes
 
 
@@ -94,7 +97,7 @@ class Model:
         wide, field = [1 << FIELD * (i + 1) for i in range(k)], (1 << FIELD) - 1
 
         def gram(g: str) -> int:
-            mask = int(self.filter.masks([g])[0])
+            mask = int.from_bytes(self.filter.masks([g])[0].astype("<u8").tobytes(), "little")
             return 1 + sum(w for i, w in enumerate(wide) if mask >> i & 1)
 
         grams = WordCache(gram, 200_000)
@@ -116,19 +119,16 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]], s: Settings = Settings()) -> Model:
-    """Puts into the filter each language's n-grams that at least min_docs of its texts hold (1 if it has few texts)."""
+    """Puts into the filter each language's n-grams that a share min_docs / max_docs of its texts hold, whatever their number."""
     languages = sorted({lang for _, lang in rows})
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages")
-    model = Model(s, languages, MaskFilter(s.slots, s.hashes))
+    model = Model(s, languages, MaskFilter(s.slots, s.hashes, len(languages)))
     for i, lang in enumerate(languages):
         seen: Counter = Counter()
         mine = [t for t, x in rows if x == lang]
         for t in mine:
             seen.update({g for w in set(letters(t)) for g in ngrams(w, s.ngrams)})
-        least = s.min_docs if len(mine) >= 10 * s.min_docs else 1
         for g, n in seen.items():
-            if n >= least:
+            if n * s.max_docs >= s.min_docs * len(mine):
                 model.filter.add(g, i)
     return model
 

@@ -190,6 +190,22 @@ def test_language_edges(spark):
     assert langid.predict(df, langid.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_filter_grows_without_a_switch():
+    kept = []
+    for n in (29, 30, 31):
+        model = langid.train([("one rare", "en")] + [("the of", "en")] * (n - 1))
+        kept.append([int(m) for m in model.filter.masks([" ra", "rare", " th"])])
+    assert kept == [[1, 1, 1]] * 3
+
+
+def test_more_than_64_languages():
+    rng = random.Random(9)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(150)}
+    model = langid.train([(" ".join(w), lang) for lang, w in words.items()])
+    one = model.predictor()
+    assert all(one(" ".join(w[:6]))[0] == lang for lang, w in words.items())
+
+
 def test_mask_filter_has_no_misses():
     f = langid.MaskFilter(1 << 12, 3)
     grams = [f"g{i}" for i in range(600)]
