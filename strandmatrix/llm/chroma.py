@@ -2,7 +2,7 @@
 
 Audio becomes frames of twelve pitch-class energies. Filters, differences of rectangles of that image read off its integral image, are
 quantised to two bits each and packed into one 32-bit integer a frame. Two recordings are aligned by the histogram of
-offsets between their equal integers; at the fullest offset the share of differing bits tells whether they are the same.
+offsets between their equal integers; at every offset with enough of them the share of differing bits tells whether they are the same.
 """
 
 from __future__ import annotations
@@ -116,6 +116,12 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return n, int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)
 
 
+def closest(a: np.ndarray, b: np.ndarray, offsets: list[int], s: Settings) -> tuple[int, int, float] | None:
+    """(offset, frames, share of differing bits) of the alignment with the smallest share among those that pass; of equals the longest, then the smallest offset."""
+    tried = ((o, *align(a, b, o)) for o in offsets)
+    return min((x for x in tried if x[1] >= s.overlap and x[2] <= s.errors), key=lambda x: (x[2], -x[1], x[0]), default=None)
+
+
 def decode_wav(raw: bytes | None) -> tuple[np.ndarray, int] | None:
     """(mono samples, rate) of 16-bit PCM in a RIFF container, else None. A cut-off data chunk gives what is there."""
     if not raw or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
@@ -213,10 +219,10 @@ def _keys(batches):
 def _check(s: Settings):
     def rows(batches):
         for b in batches:
-            got = [align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o) for x, y, o in zip(b["qp"].to_pylist(), b["rp"].to_pylist(), b["offset"].to_pylist())]
-            n, e = pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.float64())
-            keep = pa.array([x >= s.overlap and y <= s.errors for x, y in got], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["query_class"], b["class_id"], b["offset"], n, e], ["query_class", "class_id", "offset", "frames", "bit_error"]).filter(keep)
+            got = [closest(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o, s) for x, y, o in zip(b["qp"].to_pylist(), b["rp"].to_pylist(), b["offsets"].to_pylist())]
+            keep = pa.array([x is not None for x in got], pa.bool_())
+            o, n, e = (pa.array([x and x[i] for x in got], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64())))
+            yield pa.RecordBatch.from_arrays([b["query_class"], b["class_id"], o, n, e], ["query_class", "class_id", "offset", "frames", "bit_error"]).filter(keep)
 
     return rows
 
@@ -226,8 +232,8 @@ def match(df: DataFrame, id_col: str, media_col: str, query: F.Column, s: Settin
 
     members: (rec_id, n_prints, class_id, is_query), one row for each input row; recordings with equal fingerprints are one class, named by its
     smallest id (one too short for integers is classed by equal samples, one without samples has its own id; null ids come last). pairs: (query_class, class_id, offset, frames, bit_error) for
-    each other class that shares at least s.hits integers with a query's class at their fullest offset (the smallest of equals),
-    over s.overlap frames, with at most s.errors of the bits differing. `query` is a condition on rec_id. Empty in, empty out.
+    each other class that shares at least s.hits integers with a query's class at an offset, over s.overlap frames, with at most
+    s.errors of the bits differing; of several such offsets the one with the smallest share of them (then the longest, then the smallest). `query` is a condition on rec_id. Empty in, empty out.
     """
     raw = settle(fingerprints(df, id_col, media_col, s, samples).withColumn("is_query", F.coalesce(query, F.lit(False))), "prints")
     has = raw.where("fp is not null")
@@ -238,10 +244,10 @@ def match(df: DataFrame, id_col: str, media_col: str, query: F.Column, s: Settin
     asked = keys.where("query").select("key", F.col("class_id").alias("query_class"), F.col("at").alias("q_at"))
     hits = asked.join(keys.select("key", "class_id", "at"), "key").where("class_id <> query_class")
     counts = hits.groupBy("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n")).where(F.col("n") >= s.hits)
-    best = counts.groupBy("query_class", "class_id").agg(F.min_by("offset", F.struct(-F.col("n"), "offset")).alias("offset"))
+    best = counts.groupBy("query_class", "class_id").agg(F.collect_list("offset").alias("offsets"))
     texts = classes.select("class_id", F.col("prints").alias("rp"))
     both = best.join(texts, "class_id").join(texts.select(F.col("class_id").alias("query_class"), F.col("rp").alias("qp")), "query_class")
-    return members, both.select("query_class", "class_id", "offset", "qp", "rp").mapInArrow(_check(s), "query_class long, class_id long, offset int, frames int, bit_error double")
+    return members, both.select("query_class", "class_id", "offsets", "qp", "rp").mapInArrow(_check(s), "query_class long, class_id long, offset int, frames int, bit_error double")
 
 
 def summary(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -348,6 +348,28 @@ def test_match_against_brute_force(spark):
     assert chroma.summary(members, pairs).count() == len(rows)
 
 
+def test_every_offset_with_hits_is_tried(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    s = chroma.Settings()
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 32, 40, dtype=np.uint64).astype("<u4")
+    # the first four integers also stand where the rest differs, with as many hits as the true place has
+    near = x.copy()
+    near[4:] ^= np.uint32(1)
+    y = np.concatenate((x[:4], rng.integers(0, 1 << 32, 46, dtype=np.uint64).astype("<u4"), near))
+    table = {0.0: x, 1.0: y}
+    df = spark.createDataFrame([(50, 0.0), (1, 1.0)], "rec_id long, media double")
+
+    def rows(df, id_col, media_col, s, samples=None):
+        data = [(k, table[m].tobytes(), b"\1" * len(table[m]), k) for k, m in ((50, 0.0), (1, 1.0))]
+        return df.sparkSession.createDataFrame(data, "rec_id long, prints binary, sound binary, fp long")
+
+    monkeypatch.setattr(chroma, "fingerprints", rows)
+    got = chroma.match(df, "rec_id", "media", F.col("rec_id") % 50 == 0, s)[1].collect()
+    assert [(r.query_class, r.class_id, r.offset, r.frames) for r in got] == [(50, 1, 50, 40)]
+
+
 def test_short_turns_have_prints_and_classes(spark, tmp_path):
     from strandmatrix.llm import queries
 
