@@ -45,6 +45,7 @@ def read_list(path: str) -> list[str]:
 
 
 def parser() -> argparse.ArgumentParser:
+    # fixed values: option names, defaults and exit codes are the command's contract
     p = argparse.ArgumentParser(description="Genome list to a sparse genome by k-mer count matrix.", allow_abbrev=False)
     p.add_argument("-l", "--genome-list", required=True, help="text file with one FASTA path a line; blank and # lines are ignored")
     p.add_argument("-min", "--min", dest="min", type=int, default=5, help="fewest occurrences of a kept k-mer (5)")
@@ -68,27 +69,25 @@ def main(argv: list[str] | None = None) -> int:
     n = len(read_list(a.genome_list))
     most = default_max(n) if a.max is None else a.max
     if most < a.min:
-        p.error(f"--max ({most}) must be equal to or greater than --min ({a.min})")
+        p.error(f"the range from --min {a.min} to --max {most} is empty")
     params = MatrixParams(a.kmer_size, a.min, most, not a.disable_normalization, a.threshold_on)
 
     from pyspark import StorageLevel
     from pyspark.sql import SparkSession
 
-    from strandmatrix.plans.matrix import build_matrix
+    from strandmatrix.plans.matrix import create_csr_matrix
     from strandmatrix.sources import sinks
-    from strandmatrix.sources.genomes import genome_list, read_fasta
 
     began = time.time()
     spark = SparkSession.builder.config("spark.local.dir", a.tmp).getOrCreate()
-    genomes = genome_list(spark, a.genome_list)
-    m = build_matrix(genomes, read_fasta(spark, genomes), params)
+    m = create_csr_matrix(spark, a.genome_list, params.k, params.min_count, params.max_count, not params.canonical, params.threshold_on)
     m.coo.persist(StorageLevel.DISK_ONLY)
     m.vocabulary.persist(StorageLevel.DISK_ONLY)
     s = m.stats.first()
     names = sinks.write_npy(m.entries, m.row_pointer, a.output, params.suffix)
     sinks.write_vocabulary(m.vocabulary, a.output, params.suffix)
-    sinks.write_stats(
-        [("Sparsity", f"{s.sparsity}%"), ("K-mer size", params.k), ("Temporary directory", a.tmp), ("Min value", a.min), ("Max value", most), ("Normalization disabled", a.disable_normalization), ("Shape", f"{s.n_rows} x {s.n_cols}"), ("Non-zero values", s.nnz), ("Spark master", spark.sparkContext.master), ("Processing time", datetime.timedelta(seconds=time.time() - began))],
+    sinks.write_stats(  # fixed values: names and order of the lines
+        [("Sparsity", f"{s.sparsity}%"), ("K-mer size", params.k), ("Temporary directory", a.tmp), ("Min value", a.min), ("Max value", most), ("Normalization disabled", a.disable_normalization), ("Shape", f"{s.n_rows} x {s.n_cols}"), ("Non-zero values", s.nnz), ("Spark master", spark.sparkContext.master), ("Processing time", datetime.timedelta(seconds=time.time() - began)), ("Peak executor memory", f"{sinks.peak_memory(spark) / 1024**3:.2f} GB")],
         a.output,
         params.suffix,
     )

@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandmatrix.functions.dna import acgt_runs, pieces, windows
+from strandmatrix.functions.dna import acgt_runs, packed_windows, pieces, unpack
 from strandmatrix.params import MatrixParams
 
 #: Leading bases that deal the vocabulary into ordered buckets: 4**6 = 4096 at most.
 PREFIX = 6
 
 
-def spread(pieces: DataFrame) -> DataFrame:
-    """Pieces dealt out anew if their scan has fewer partitions than there are cores.
+def _windows(records: DataFrame, params: MatrixParams, genome: str, deal: int | None) -> DataFrame:
+    cut = pieces(acgt_runs(records.where(F.col(genome).isNotNull()).select(genome, "seq")), params.k, params.chunk)
+    return packed_windows(cut.repartition(deal) if deal else cut, params.k, params.canonical)
 
-    Windows take far more work than the text they come from, so input that a scan cannot split (one row
-    group, gzip, a whole chromosome in one record) would keep one core busy. Well-partitioned input stays where it is.
-    """
-    cores = pieces.sparkSession.sparkContext.defaultParallelism
-    return pieces.repartition(cores) if pieces.rdd.getNumPartitions() < cores else pieces
+
+def _unpacked(df: DataFrame, params: MatrixParams) -> Column:
+    return unpack([F.col(c) for c in df.columns if c.startswith("_w")], params.k).alias("kmer")
 
 
-def all_kmers(records: DataFrame, params: MatrixParams, genome: str = "genome") -> DataFrame:
+def all_kmers(records: DataFrame, params: MatrixParams, genome: str = "genome", deal: int | None = None) -> DataFrame:
     """(genome, kmer) of every window. A record without a genome is on no row and left out."""
-    runs = acgt_runs(records.where(F.col(genome).isNotNull()).select(genome, "seq"))
-    return windows(spread(pieces(runs, params.k, params.chunk)), params.k, params.canonical)
+    found = _windows(records, params, genome, deal)
+    return found.select(genome, _unpacked(found, params))
 
 
-def count_per_genome(records: DataFrame, params: MatrixParams, genome: str = "genome") -> DataFrame:
-    """(genome, kmer, freq) of all windows of all records, unfiltered: one shuffle, combined map-side.
+def count_per_genome(records: DataFrame, params: MatrixParams, genome: str = "genome", deal: int | None = None) -> DataFrame:
+    """(genome, kmer, freq) of all windows of all records, unfiltered: one shuffle of packed k-mers, combined map-side.
 
+    deal: into how many tasks the pieces of sequences are dealt anew, where a scan cannot split its input well (sources.genomes.narrow_scan tells).
     Records without a genome are left out here, not by the joins further on: a condition that these infer for some
     uses of the counts only would keep the uses from sharing the shuffle.
     """
-    return all_kmers(records, params, genome).groupBy(genome, "kmer").agg(F.count("*").alias("freq"))
+    found = _windows(records, params, genome, deal)
+    counts = found.groupBy(*found.columns).agg(F.count("*").alias("freq"))
+    return counts.select(genome, _unpacked(found, params), "freq")
 
 
 def count_global(counts: DataFrame) -> DataFrame:

@@ -42,14 +42,19 @@ def row_pointer(nnz: DataFrame, block: int = BLOCK) -> DataFrame:
     return nnz.sparkSession.sql("select 0L as pos, 0L as ptr").unionAll(tail)
 
 
-def csr_entries(coo: DataFrame, pointer: DataFrame) -> DataFrame:
+def csr_entries(coo: DataFrame, pointer: DataFrame, block: int = BLOCK) -> DataFrame:
     """(pos, row, col, value): the CSR position of each entry; value is float32, as the sink stores it.
 
-    An entry's place is its row's pointer plus its rank by column within the row.
+    Two levels, so no task sorts a whole row: an entry's rank within its row's block of columns, plus the row's pointer and
+    the running total of the row's blocks before.
     """
-    starts = pointer.select(F.col("pos").alias("row"), F.col("ptr").alias("_start"))
-    ranked = coo.withColumn("_r", F.row_number().over(W.partitionBy("row").orderBy("col")))
-    return ranked.join(starts, "row").select((F.col("_start") + F.col("_r") - 1).cast("long").alias("pos"), "row", "col", F.col("freq").cast("float").alias("value"))
+    b = coo.withColumn("_b", F.floor(F.col("col") / block))
+    sizes = b.groupBy("row", "_b").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("row").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("row", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    starts = offsets.join(pointer.select(F.col("pos").alias("row"), "ptr"), "row").select("row", "_b", (F.col("ptr") + F.col("_off")).alias("_start"))
+    ranked = b.withColumn("_r", F.row_number().over(W.partitionBy("row", "_b").orderBy("col")))
+    return ranked.join(starts, ["row", "_b"]).select((F.col("_start") + F.col("_r") - 1).cast("long").alias("pos"), "row", "col", F.col("freq").cast("float").alias("value"))
 
 
 def stats(genomes: DataFrame, vocab: DataFrame, coo: DataFrame) -> DataFrame:
@@ -58,10 +63,3 @@ def stats(genomes: DataFrame, vocab: DataFrame, coo: DataFrame) -> DataFrame:
     cells = F.col("n_rows") * F.col("n_cols")
     return n.select("n_rows", "n_cols", "nnz", F.when(cells > 0, (1 - F.col("nnz") / cells) * 100).otherwise(F.lit(0.0)).alias("sparsity"))
 
-
-def sparse_vectors(coo: DataFrame, n_cols: int) -> DataFrame:
-    """(row, features): a pyspark.ml sparse vector per non-empty row (an extension)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    pack = F.udf(lambda e: SparseVector(n_cols, [x.col for x in e], [float(x.freq) for x in e]), VectorUDT())
-    return coo.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "freq"))).alias("e")).select("row", pack("e").alias("features"))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandmatrix.operators import counting, matrix
 from strandmatrix.params import NO_LIMIT, MatrixParams
-from strandmatrix.sources.genomes import genome_list, read_fasta
+from strandmatrix.sources.genomes import fasta_scan, genome_list, narrow_scan, read_fasta
 
 
 @dataclass(frozen=True)
 class KmerMatrix:
-    """Lazy frames of one matrix; nothing runs until one is used."""
+    """Lazy frames of one matrix."""
 
     genomes: DataFrame
     counts: DataFrame
@@ -37,19 +37,20 @@ class KmerMatrix:
         return matrix.stats(self.genomes, self.vocabulary, self.coo)
 
 
-def build_matrix(genomes: DataFrame, records: DataFrame, params: MatrixParams) -> KmerMatrix:
-    """genomes: (row, ...), one per matrix row; records: (row, seq).
+def build_matrix(genomes: DataFrame, records: DataFrame, params: MatrixParams, deal: int | None = None) -> KmerMatrix:
+    """genomes: (row, ...), one per matrix row; records: (row, seq); deal as count_per_genome has it. Nothing runs until a frame is used.
 
     Each genome is counted once: pooled totals are sums of the per-genome counts,
     and both uses of the counts share one shuffle.
     """
-    counts = counting.count_per_genome(records, params, "row")
+    counts = counting.count_per_genome(records, params, "row", deal)
     vocab = counting.vocabulary(counts, params)
     return KmerMatrix(genomes, counts, vocab, matrix.coordinates(counts, vocab))
 
 
 def create_csr_matrix(spark: SparkSession, genome_list_path: str, kmer_size: int, min_val: int = 1, max_val: int = NO_LIMIT, disable_normalization: bool = False, threshold_on: str = "occurrences") -> KmerMatrix:
-    """The matrix of the FASTA files that a genome list names, row order being list order."""
+    """The matrix of the FASTA files that a genome list names, row order being list order. Only the list is read before a frame is used."""
     params = MatrixParams(kmer_size, min_val, max_val, not disable_normalization, threshold_on)
     genomes = genome_list(spark, genome_list_path)
-    return build_matrix(genomes, read_fasta(spark, genomes), params)
+    scan = fasta_scan(spark, genomes)
+    return build_matrix(genomes, read_fasta(spark, genomes, scan=scan), params, narrow_scan(scan))

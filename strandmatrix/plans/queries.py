@@ -1,21 +1,32 @@
 """The registered queries over the driver's `documents` table, each with its DuckDB equivalent.
 
 A genome is a `source` (or a `doc_id` where empty matrix rows are wanted) and a record is a
-document, its DNA derived from the prose by records_from_table(letters=True).
+document, its DNA derived from the prose by records_from_table(letters=True). Queries of sources and sinks write files to the
+shared folder and read them back.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandmatrix.functions import dna
 from strandmatrix.operators import counting, matrix
+from strandmatrix.plans.matrix import create_csr_matrix
+from strandmatrix import params
 from strandmatrix.params import MatrixParams
-from strandmatrix.sources.genomes import records_from_table
+from strandmatrix.sources import genomes as files
+from strandmatrix.sources import sinks
+from strandmatrix.sources.genomes import narrow_scan, records_from_table
+from strandmatrix.sources.shared import fresh
 
 PARAMS = MatrixParams(k=12, min_count=5, max_count=40)
 STRANDED = MatrixParams(k=12, min_count=5, max_count=40, canonical=False)
@@ -32,8 +43,12 @@ def _genomes(spark: SparkSession, d: str, genome: str = "source") -> DataFrame:
     return names.select((F.row_number().over(W.orderBy("genome")) - 1).cast("long").alias("row"), "genome")
 
 
+def _deal(spark: SparkSession, d: str) -> int | None:
+    return narrow_scan(spark.read.parquet(f"{d}/documents.parquet"))
+
+
 def _counts(spark: SparkSession, d: str, params: MatrixParams = PARAMS, genome: str = "source") -> DataFrame:
-    return counting.count_per_genome(_records(spark, d, genome), params)
+    return counting.count_per_genome(_records(spark, d, genome), params, deal=_deal(spark, d))
 
 
 def _by_row(counts: DataFrame, genomes: DataFrame) -> DataFrame:
@@ -52,20 +67,40 @@ def _doc_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return docs, matrix.coordinates(counts, counting.vocabulary(counts, PARAMS), "genome")
 
 
+def _list(spark: SparkSession, d: str) -> str:
+    """A genome list file, in the shared folder, of the genomes' names."""
+    return sinks.write_list(_genomes(spark, d).select("row", F.col("genome").alias("path")), fresh(spark, "list"))
+
+
 def genome_list(spark, d):
-    return _genomes(spark, d)
+    return files.genome_list(spark, _list(spark, d)).select(F.col("row").cast("long").alias("row"), F.col("path").alias("genome"))
 
 
 def genome_count(spark, d):
-    return _genomes(spark, d).agg(F.count("*").alias("n"))
+    return spark.range(1).select(F.lit(files.genome_count(spark, _list(spark, d))).cast("long").alias("n"))
 
 
 def default_max(spark, d):
-    return _genomes(spark, d).agg(F.greatest(F.lit(1), F.expr("count(*) div 2")).cast("long").alias("max_val"))
+    return spark.range(1).select(F.lit(params.default_max(files.genome_count(spark, _list(spark, d)))).cast("long").alias("max_val"))
+
+
+def _fasta(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The documents' DNA as FASTA files of the shared folder: (row, genome), and the path of their list."""
+    genomes = _genomes(spark, d)
+    records = _records(spark, d).join(genomes, "genome").select("row", F.col("record_id").alias("header"), "seq")
+    return genomes, sinks.write_list(sinks.write_fasta(records, fresh(spark, "fasta")), fresh(spark, "list"))
 
 
 def fasta_records(spark, d):
-    return _records(spark, d).select("genome", F.col("record_id").alias("doc_id"), F.length("seq").cast("long").alias("seq_len"))
+    genomes, path = _fasta(spark, d)
+    got = files.read_fasta(spark, files.genome_list(spark, path))
+    return got.join(genomes, "row").select("genome", F.col("header").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("seq_len"))
+
+
+def fasta_matrix(spark, d):
+    """The matrix from files, as the command line makes it."""
+    m = create_csr_matrix(spark, _fasta(spark, d)[1], PARAMS.k, PARAMS.min_count, PARAMS.max_count)
+    return m.coo.select(F.col("row").cast("long").alias("row"), "col", F.col("freq").alias("value"))
 
 
 def dna_runs(spark, d):
@@ -73,7 +108,7 @@ def dna_runs(spark, d):
 
 
 def kmer_extract(spark, d):
-    return counting.all_kmers(_records(spark, d), STRANDED).groupBy("genome").agg(F.count("*").alias("n_kmers"))
+    return counting.all_kmers(_records(spark, d), STRANDED, deal=_deal(spark, d)).groupBy("genome").agg(F.count("*").alias("n_kmers"))
 
 
 def reverse_complement(spark, d):
@@ -81,8 +116,19 @@ def reverse_complement(spark, d):
     return kmers.select("kmer", dna.reverse_complement(F.col("kmer")).alias("rc"))
 
 
-def _kmer_counts(params):
-    return lambda spark, d: counting.count_global(_counts(spark, d, params)).select("kmer", F.col("total").alias("n"))
+def kmer_canonical(spark, d):
+    kmers = counting.distinct_kmers(_counts(spark, d, STRANDED))
+    return kmers.select("kmer", dna.canonical(F.col("kmer")).alias("canonical"))
+
+
+def kmer_stranded(spark, d):
+    return counting.count_global(_counts(spark, d, STRANDED)).select("kmer", F.col("total").alias("n"))
+
+
+def kmer_packed(spark, d):
+    """Every k-mer with its fixed-width form, and with what that unpacks to."""
+    kmers = counting.distinct_kmers(_counts(spark, d)).select("kmer", dna.pack(F.col("kmer"), PARAMS.k)[0].alias("packed"))
+    return kmers.select("kmer", "packed", dna.unpack([F.col("packed")], PARAMS.k).alias("unpacked"))
 
 
 def kmer_count_per_genome(spark, d):
@@ -158,10 +204,59 @@ def kmer_prevalence(spark, d):
     return counting.prevalence(_counts(spark, d))
 
 
-def csv_roundtrip(spark, d):
-    """Counts as rows of CSV text, parsed again under the fixed schema."""
-    lines = _counts(spark, d).groupBy("kmer").agg(F.sum("freq").alias("freq")).select(F.to_csv(F.struct("kmer", "freq")).alias("line"))
-    return lines.select(F.from_csv("line", "kmer string, freq long").alias("r")).select("r.kmer", "r.freq")
+def counts_csv(spark, d):
+    """Pooled counts through a count file of the shared folder."""
+    counts = counting.count_global(_counts(spark, d)).select("kmer", F.col("total").alias("freq"))
+    return files.read_counts_csv(spark, sinks.write_counts_csv(counts, fresh(spark, "counts")))
+
+
+def counts_csv_per_genome(spark, d):
+    """Counts of every genome through a count file of its own."""
+    counts = _by_row(_counts(spark, d), _genomes(spark, d))
+    path = sinks.write_counts_csv(counts, fresh(spark, "counts"), "row")
+    return files.read_counts_csv(spark, path, "row").select(F.col("row").cast("long").alias("row"), "kmer", "freq")
+
+
+def _local(spark: SparkSession, what: str) -> str:
+    """A new folder, on the driver's file system, within the shared one."""
+    path = fresh(spark, what)
+    if not path.startswith("file:") and "://" in path:
+        raise ValueError("the sinks for one machine need a shared folder that is mounted")
+    path = re.sub("^file:/+", "/", path)
+    os.makedirs(path)
+    return path
+
+
+def vocabulary_csv(spark, d):
+    """The vocabulary through its file."""
+    path = sinks.write_vocabulary(vocabulary(spark, d), _local(spark, "vocabulary"), PARAMS.suffix)
+    return files.read_vocabulary_csv(spark, f"file://{path}")
+
+
+def _npy(spark: SparkSession, d: str) -> dict[str, np.ndarray]:
+    """The arrays of the matrix's .npy files; they come back to the driver, which wrote them."""
+    coo = _coo(spark, d).persist(StorageLevel.DISK_ONLY)
+    pointer = matrix.row_pointer(matrix.row_nnz(_genomes(spark, d), coo))
+    names = sinks.write_npy(matrix.csr_entries(coo, pointer), pointer, _local(spark, "npy"), PARAMS.suffix)
+    coo.unpersist()
+    return {k: np.load(p) for k, p in names.items()}
+
+
+def npy_entries(spark, d):
+    a = _npy(spark, d)
+    return spark.createDataFrame(pa.table({"pos": np.arange(len(a["data"])), "col": a["column"].astype(np.int64), "value": a["data"].astype(np.float64)}))
+
+
+def npy_rows(spark, d):
+    a = _npy(spark, d)
+    return spark.createDataFrame(pa.table({"pos": np.arange(len(a["row"])), "ptr": a["row"]}))
+
+
+def stats_text(spark, d):
+    """The statistics through their file."""
+    s = matrix_stats(spark, d).first()
+    path = sinks.write_stats([("Sparsity", f"{s.sparsity}%"), ("Shape", f"{s.n_rows} x {s.n_cols}"), ("Non-zero values", s.nnz)], _local(spark, "stats"), PARAMS.suffix)
+    return spark.createDataFrame(sorted(sinks.read_stats(path).items()), "name string, value string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -172,8 +267,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dna_runs": dna_runs,
     "kmer_extract": kmer_extract,
     "reverse_complement": reverse_complement,
-    "kmer_canonical": _kmer_counts(PARAMS),
-    "kmer_stranded": _kmer_counts(STRANDED),
+    "fasta_matrix": fasta_matrix,
+    "kmer_canonical": kmer_canonical,
+    "kmer_stranded": kmer_stranded,
+    "kmer_packed": kmer_packed,
     "kmer_count_per_genome": kmer_count_per_genome,
     "kmer_count_global": kmer_count_global,
     "distinct_kmers": distinct_kmers,
@@ -190,7 +287,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csr_row_ptr": csr_row_ptr,
     "matrix_stats": matrix_stats,
     "kmer_prevalence": kmer_prevalence,
-    "csv_roundtrip": csv_roundtrip,
+    "counts_csv": counts_csv,
+    "counts_csv_per_genome": counts_csv_per_genome,
+    "vocabulary_csv": vocabulary_csv,
+    "npy_entries": npy_entries,
+    "npy_rows": npy_rows,
+    "stats_text": stats_text,
 }
 
 
@@ -219,7 +321,9 @@ SQL: dict[str, str] = {
     "dna_runs": _sql("SELECT g AS genome, length(r) AS run_len, count(*) AS n FROM run GROUP BY 1, 2"),
     "kmer_extract": _sql("SELECT g AS genome, count(*) AS n_kmers FROM km GROUP BY 1"),
     "reverse_complement": _sql("SELECT DISTINCT k AS kmer, reverse(translate(k, 'ACGT', 'TGCA')) AS rc FROM km"),
-    "kmer_canonical": _sql(_TOTAL.format(name="n")),
+    "fasta_matrix": _sql("SELECT r AS row, c AS col, f AS value FROM coo"),
+    "kmer_canonical": _sql("SELECT DISTINCT k AS kmer, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS canonical FROM km"),
+    "kmer_packed": _sql("SELECT DISTINCT k AS kmer, cast(translate(k, 'ACGT', '0123') AS BIGINT) AS packed, k AS unpacked FROM gk"),
     "kmer_stranded": _sql(_TOTAL.format(name="n"), fold=False),
     "kmer_count_per_genome": _sql("SELECT g AS genome, k AS kmer, f AS freq FROM gk"),
     "kmer_count_global": _sql(_TOTAL.format(name="total")),
@@ -237,5 +341,10 @@ SQL: dict[str, str] = {
     "csr_row_ptr": _sql("SELECT 0 AS pos, 0 AS ptr UNION ALL SELECT r + 1, cast(sum(n) OVER (ORDER BY r) AS BIGINT) FROM nnz", genome="doc_id"),
     "matrix_stats": _sql("SELECT n_rows, n_cols, nnz, round((1 - nnz / (n_rows * n_cols)) * 100, 6) AS sparsity FROM (SELECT (SELECT count(*) FROM gen) AS n_rows, (SELECT count(*) FROM voc) AS n_cols, (SELECT count(*) FROM coo) AS nnz)"),
     "kmer_prevalence": _sql("SELECT k AS kmer, count(*) AS n_genomes FROM gk GROUP BY k"),
-    "csv_roundtrip": _sql(_TOTAL.format(name="freq")),
+    "counts_csv": _sql(_TOTAL.format(name="freq")),
+    "counts_csv_per_genome": _sql("SELECT r AS row, k AS kmer, f AS freq FROM gk JOIN gen USING (g)"),
+    "vocabulary_csv": _sql('SELECT c AS "index", k AS kmer FROM voc'),
+    "npy_entries": _sql("SELECT row_number() OVER (ORDER BY r, c) - 1 AS pos, c AS col, cast(cast(f AS FLOAT) AS DOUBLE) AS value FROM coo"),
+    "npy_rows": _sql("SELECT 0 AS pos, 0 AS ptr UNION ALL SELECT r + 1, cast(sum(n) OVER (ORDER BY r) AS BIGINT) FROM nnz"),
+    "stats_text": _sql("SELECT unnest(['Sparsity', 'Shape', 'Non-zero values']) AS name, unnest([concat(round((1 - nnz / (n_rows * n_cols)) * 100, 6), '%'), concat(n_rows, ' x ', n_cols), concat(nnz)]) AS value FROM (SELECT (SELECT count(*) FROM gen) AS n_rows, (SELECT count(*) FROM voc) AS n_cols, (SELECT count(*) FROM coo) AS nnz)"),
 }

@@ -31,19 +31,35 @@ def _file_path(uri: F.Column) -> F.Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
-def read_fasta(spark: SparkSession, genomes: DataFrame, upper: bool = True) -> DataFrame:
-    """(row, record_id, header, seq) of every record of the listed FASTA files.
+def fasta_scan(spark: SparkSession, genomes: DataFrame) -> DataFrame | None:
+    """(uri, value): the records of the listed files as they are. Only paths, one per genome, come to the driver: they are the arguments of the scan."""
+    paths = sorted({r.path for r in genomes.select("path").distinct().toLocalIterator()})
+    return spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("uri"), "value") if paths else None
+
+
+def narrow_scan(scan: DataFrame | None) -> int | None:
+    """The number of cores if a scan of files has fewer partitions, else None. For a bare scan only: nothing runs for it.
+
+    Windows take far more work than the text they come from, so input that a scan cannot split (one row
+    group, gzip, a whole chromosome in one record) would keep one core busy.
+    """
+    if scan is None:
+        return None
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return cores if scan.rdd.getNumPartitions() < cores else None
+
+
+def read_fasta(spark: SparkSession, genomes: DataFrame, upper: bool = True, scan: DataFrame | None = None) -> DataFrame:
+    """(row, record_id, header, seq) of every record of the listed FASTA files, which `scan` may have opened before.
 
     Plain, .gz and .bz2 files. A path listed twice is read once and yields its
-    records once per list row. Only paths, one per genome, come to the driver: they are the
-    arguments of the scan.
+    records once per list row.
     """
-    paths = sorted({r.path for r in genomes.select("path").distinct().toLocalIterator()})
-    if not paths:
+    raw = scan if scan is not None else fasta_scan(spark, genomes)
+    if raw is None:
         return spark.createDataFrame([], "row int, record_id long, header string, seq string")
-    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("_at"), "value")
     text = F.regexp_replace("value", "^>", "")
-    body = raw.select(_file_path(F.col("uri")).alias("path"), "_at", text.alias("t")).where(F.trim("t") != "")
+    body = raw.select(_file_path(F.col("uri")).alias("path"), text.alias("t")).where(F.trim("t") != "")
     parts = body.select("path", F.monotonically_increasing_id().alias("record_id"), F.regexp_extract("t", r"^([^\r\n]*)", 1).alias("header"), clean(F.regexp_replace("t", r"^[^\r\n]*", ""), upper).alias("seq"))
     listed = genomes.select("row", _file_path(F.regexp_replace(F.regexp_replace("path", "%", "%25"), "^file:/+", "/")).alias("path"))
     return parts.join(listed, "path").select("row", "record_id", "header", "seq")
@@ -73,10 +89,11 @@ def records_from_table(table: DataFrame, genome: str, record: str, text: str, *,
     return table.select(F.col(genome).alias("genome"), F.col(record).alias("record_id"), seq.alias("seq"))
 
 
-def read_counts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(kmer, freq) of a per-genome count file with header K-mer,Frequency."""
-    got = spark.read.csv(path, header=True, schema="`K-mer` string, Frequency long", enforceSchema=False)
-    return got.select(F.col("K-mer").alias("kmer"), F.col("Frequency").alias("freq"))
+def read_counts_csv(spark: SparkSession, path: str, genome: str | None = None) -> DataFrame:
+    """(kmer, freq) of a per-genome count file with header K-mer,Frequency; with `genome`, of a folder of them, with the value in the name of each file's own folder."""
+    schema = "`K-mer` string, Frequency long" + (f", `{genome}` string" if genome else "")
+    got = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    return got.select(*([F.col(genome)] if genome else []), F.col("K-mer").alias("kmer"), F.col("Frequency").alias("freq"))
 
 
 def read_vocabulary_csv(spark: SparkSession, path: str) -> DataFrame:

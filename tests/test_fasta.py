@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandmatrix import MatrixParams, build_matrix, cli, create_csr_matrix
 from strandmatrix.functions import dna
 from strandmatrix.operators import counting
-from strandmatrix.operators.matrix import sparse_vectors
+from strandmatrix.operators import matrix
 from strandmatrix.params import default_max
 from strandmatrix.sources import genomes as g
 from strandmatrix.sources import sinks
@@ -121,18 +122,65 @@ def test_plan_is_native(spark):
     assert "Python" not in plan and "Cartesian" not in plan and "Inner" in plan
 
 
-def test_sparse_vectors(spark):
-    m = matrix_of(spark, ["ACGTACGTAC", "TTTTTTTTT"], MatrixParams(8))
-    v = {r.row: r.features for r in sparse_vectors(m.coo, m.vocabulary.count()).collect()}
-    assert v[1].values.tolist() == [2.0]
+def test_nothing_runs_before_a_frame_is_used(spark, tmp_path):
+    lst = listed(tmp_path, GOLDEN)
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        m = matrix_of(spark, ["ACGTACGTAC"] * 3, MatrixParams(8))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+        files = create_csr_matrix(spark, lst, 8, 2, 3)
+        listing = set(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy"))
+        assert len(listing) <= 3 and m.entries.columns == files.entries.columns == ["pos", "row", "col", "value"]
+        assert set(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == listing
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert files.coo.count() == 4
+
+
+def test_entries_in_blocks(spark):
+    seqs = ["ACGTTGCAACGGATCCTTAGACCA" * 3, "TTGACCATGCAACGGAT", "", "GGGATTACATCGATCGATTA"]
+    m = matrix_of(spark, seqs, MatrixParams(8))
+    want = [(i, r, c, float(f)) for i, (r, c, f) in enumerate(brute(seqs, 8, 1, 10**9, True))]
+    for block in (1, 5, 65536):
+        assert sorted(map(tuple, matrix.csr_entries(m.coo, m.row_pointer, block).collect())) == want
+
+
+@pytest.mark.parametrize("k", [8, 18, 19, 20, 38, 39, 136])
+def test_packing_keeps_order(spark, k):
+    rng = np.random.default_rng(k)
+    kmers = sorted({"A" * k, "T" * k, *("".join(rng.choice(list("ACGT"), k)) for _ in range(50))})
+    df = spark.createDataFrame([(x,) for x in kmers], "kmer string").select("kmer", *[w.alias(f"w{i}") for i, w in enumerate(dna.pack(F.col("kmer"), k))])
+    words = [c for c in df.columns if c != "kmer"]
+    got = df.select("kmer", *words, dna.unpack([F.col(w) for w in words], k).alias("back")).collect()
+    assert all(r.kmer == r.back for r in got)
+    assert [r.kmer for r in sorted(got, key=lambda r: [r[w] for w in words])] == kmers
+
+
+@pytest.mark.parametrize("k, fold", [(9, True), (19, True), (20, True), (40, True), (40, False)])
+def test_windows_of_every_width(spark, k, fold):
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in (0, k - 1, k, 300)] + ["ACGT" * 30 + "N" + "T" * 90]
+    m = matrix_of(spark, seqs, MatrixParams(k, 1, 3, fold, chunk=7))
+    assert sorted(map(tuple, m.coo.collect())) == brute(seqs, k, 1, 3, fold)
 
 
 def test_csv(spark, tmp_path):
     m = matrix_of(spark, ["ACGTACGTAC"], MatrixParams(8))
     path = sinks.write_vocabulary(m.vocabulary, str(tmp_path), "s")
     assert sorted(map(tuple, g.read_vocabulary_csv(spark, path).collect())) == sorted(map(tuple, m.vocabulary.collect()))
-    m.counts.select(m.counts.kmer.alias("K-mer"), m.counts.freq.alias("Frequency")).write.csv(str(tmp_path / "c"), header=True)
-    assert g.read_counts_csv(spark, str(tmp_path / "c")).count() == m.counts.count()
+    counts = sorted(map(tuple, m.counts.select("kmer", "freq").collect()))
+    assert sorted(map(tuple, g.read_counts_csv(spark, sinks.write_counts_csv(m.counts, str(tmp_path / "c"))).collect())) == counts
+    by_row = g.read_counts_csv(spark, sinks.write_counts_csv(m.counts, str(tmp_path / "d"), "row"), "row").collect()
+    assert sorted((r.row, r.kmer, r.freq) for r in by_row) == [("0", *c) for c in counts]
+    first = next((tmp_path / "c").glob("part-*")).read_text().splitlines()[0]
+    assert first == "K-mer,Frequency"
+
+
+def test_fasta_sink(spark, tmp_path):
+    records = spark.createDataFrame([(0, "a", "ACGT"), (2, "b", None), (0, "c x", "GG"), (1, "d", "T" * 5000)], "row int, header string, seq string")
+    lst = sinks.write_list(sinks.write_fasta(records, str(tmp_path / "f")), str(tmp_path / "l"))
+    got = g.read_fasta(spark, g.genome_list(spark, lst)).collect()
+    assert sorted((r.row, r.header, r.seq) for r in got) == [(0, "a", "ACGT"), (0, "c x", "GG"), (1, "d", "T" * 5000), (2, "b", "")]
 
 
 def test_params():
@@ -151,6 +199,8 @@ def test_cli(spark, tmp_path, capsys):
     assert np.load(tmp_path / "o" / "column_k8_min2_max3_d0.npy").tolist() == [0, 1, 1, 0]
     assert (tmp_path / "o" / "set_of_all_unique_kmers_k8_min2_max3_d0.csv").read_text().splitlines()[:2] == ["index,K-mer", "0,ACGTACGT"]
     assert (tmp_path / "o" / "feature_matrix_stats_k8_min2_max3_d0.txt").read_text().startswith("Sparsity: 50.0%\nK-mer size: 8\n")
+    stats = sinks.read_stats(str(tmp_path / "o" / "feature_matrix_stats_k8_min2_max3_d0.txt"))
+    assert stats["Shape"] == "4 x 2" and float(stats["Peak executor memory"].removesuffix(" GB")) > 0
     for args, code in ((["-k", "7"], 1), (["-k", "x"], 1), (["-k", "8"], 2), ([], 2)):
         with pytest.raises(SystemExit) as e:
             cli.main([*base, *args])
