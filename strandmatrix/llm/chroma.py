@@ -2,7 +2,7 @@
 
 Audio becomes frames of twelve pitch-class energies. Filters, differences of rectangles of that image read off its integral image, are
 quantised to two bits each and packed into one 32-bit integer a frame. Two recordings are aligned by the histogram of
-offsets between their equal integers; at every offset with enough of them the share of differing bits tells whether they are the same.
+offsets between their equal neighbouring integers; at every offset with enough of them the share of differing bits tells whether they are the same.
 """
 
 from __future__ import annotations
@@ -17,15 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from strandmatrix.llm.common import settle
+from strandmatrix.llm.common import expand, join_hot, settle
 
 
 @dataclass(frozen=True)
 class Settings:
     """Samples a second, a frame and a step; pitch range in Hz; and when recordings align: so many equal
-    integers at one offset, so many frames in common, at most this share of differing bits."""
+    pairs of neighbouring integers at one offset, so many frames in common, at most this share of differing bits."""
 
     rate: int = 4000
     frame: int = 1024
@@ -39,7 +38,8 @@ class Settings:
 
 WIDTH = 8  # frames that a filter spans
 PITCHES = 12
-THRESHOLDS = (-0.2, 0.0, 0.2)
+THRESHOLDS = (0.82, 1.0, 1.22)  # of the ratio of two boxes
+FLOOR = 0.02 * (1 << 16)  # added to both: a fiftieth of a frame
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -51,27 +51,33 @@ def filters() -> list[tuple[int, int, int, int]]:
 def _bank(s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(window, spectrum bin -> pitch class weights)."""
     freq = np.fft.rfftfreq(s.frame, 1 / s.rate)
-    weights = np.zeros((len(freq), PITCHES), np.float32)
+    weights = np.zeros((len(freq), PITCHES))
     ok = np.flatnonzero((freq >= s.low) & (freq <= s.high))
     weights[ok, np.round(PITCHES * np.log2(freq[ok] / 440.0)).astype(int) % PITCHES] = 1
     return np.hanning(s.frame).astype(np.float32), weights
 
 
-def chroma(samples: np.ndarray, s: Settings = Settings()) -> np.ndarray:
-    """(frames, 12) pitch-class energies, each frame scaled to a sum of 1; silent frames are zero."""
-    if len(samples) < s.frame:
-        return np.zeros((0, PITCHES), np.float32)
+#: Parts that a frame's energy is counted in: whole numbers, so that sums over an integral image are the same wherever a recording lies in it.
+PARTS = 1 << 16
+
+
+def _frames(samples: np.ndarray, starts: np.ndarray, s: Settings) -> np.ndarray:
+    """(frames, 12) pitch-class energies of the frames at some starts, each scaled to a sum of PARTS and rounded; silent frames are zero."""
     window, weights = _bank(s)
-    n = 1 + (len(samples) - s.frame) // s.step
-    out = np.empty((n, PITCHES), np.float32)
-    samples = np.ascontiguousarray(samples, np.float32)
-    for i in range(0, n, 2048):  # long recordings in runs of frames
-        m = min(2048, n - i)
-        frames = np.lib.stride_tricks.as_strided(samples[i * s.step :], (m, s.frame), (4 * s.step, 4))
-        power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-        out[i : i + m] = power.astype(np.float32) @ weights
-    total = out.sum(1, keepdims=True)
-    return np.where(total > 1e-6, out / np.maximum(total, 1e-6), 0)
+    out = np.zeros((len(starts), PITCHES), np.int64)
+    for i in range(0, len(starts), 2048):
+        frames = np.lib.stride_tricks.sliding_window_view(samples, s.frame)[starts[i : i + 2048]] * window
+        bins = np.fft.rfft(frames, axis=1)
+        power = (bins.real**2 + bins.imag**2).astype(np.float64) @ weights
+        total = power.sum(1, keepdims=True)
+        out[i : i + 2048] = np.where(total > 1e-6, np.rint(power * (PARTS / np.maximum(total, 1e-6))), 0)
+    return out
+
+
+def chroma(samples: np.ndarray, s: Settings = Settings()) -> np.ndarray:
+    """(frames, 12) pitch-class energies of a recording."""
+    count = max(0, 1 + (len(samples) - s.frame) // s.step)
+    return _frames(np.ascontiguousarray(samples, np.float32), np.arange(count) * s.step, s)
 
 
 def prints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +85,11 @@ def prints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(image) - WIDTH + 1
     if n <= 0:
         return np.zeros(0, np.uint32), np.zeros(0, bool)
-    wrapped = np.concatenate((image, image), 1)  # pitch classes are a circle
-    integral = np.zeros((len(image) + 1, 2 * PITCHES + 1))
-    integral[1:, 1:] = wrapped.cumsum(0).cumsum(1)
-    t = np.arange(n)
+    integral = np.zeros((2 * PITCHES + 1, len(image) + 1), np.int64)
+    integral[1:, 1:] = np.concatenate((image, image), 1).T.cumsum(0).cumsum(1)  # pitch classes are a circle
 
     def box(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return integral[t + t1, p1] - integral[t + t0, p1] - integral[t + t1, p0] + integral[t + t0, p0]
+        return integral[p1, t1 : t1 + n] - integral[p1, t0 : t0 + n] - integral[p0, t1 : t1 + n] + integral[p0, t0 : t0 + n]
 
     out = np.zeros(n, np.uint32)
     gray = np.array([0, 1, 3, 2], np.uint32)
@@ -102,9 +106,22 @@ def prints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         else:
             third = w // 4
             a, b = 2 * box(third, w - third, p, p + h), box(0, third, p, p + h) + box(w - third, w, p, p + h)
-        ratio = np.log((a + 0.02) / (b + 0.02))
-        out = out << np.uint32(2) | gray[np.digitize(ratio, THRESHOLDS)]
-    return out, integral[t + WIDTH, PITCHES] - integral[t, PITCHES] > 0
+        code, b = np.zeros(n, np.uint8), b + FLOOR
+        for x in THRESHOLDS:
+            code += a + FLOOR >= x * b
+        out = out << np.uint32(2) | gray[code]
+    return out, box(0, WIDTH, 0, PITCHES) > 0
+
+
+def prints_of(recordings: list[np.ndarray], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """prints(chroma(x)) of every recording, over one integral image for all of them: windows across two are left out."""
+    sizes = np.array([len(x) for x in recordings], np.int64)
+    frames = np.maximum(0, 1 + (sizes - s.frame) // s.step)
+    samples = np.concatenate([np.zeros(0, np.float32), *recordings]).astype(np.float32)
+    image = _frames(samples, np.repeat(np.cumsum(sizes) - sizes, frames) + expand(np.zeros(len(frames), np.int64), frames) * s.step, s)
+    p, sound = prints(image)
+    first, count = np.cumsum(frames) - frames, np.maximum(0, frames - WIDTH + 1)
+    return [(p[a : a + n], sound[a : a + n]) for a, n in zip(first.tolist(), count.tolist())]
 
 
 def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
@@ -155,23 +172,29 @@ def wav_samples(s: Settings) -> Callable:
 
 
 NOTE = 96  # samples of a note
-#: Notes of a word of a turn: four words are 4608 samples, 15 frames, and have the 8 prints that a pair needs.
-TURN_NOTES = 12
+#: How a turn of a conversation is rendered and fingerprinted: a frame a word, with rests at both ends so that a window at
+#: an end has five words or more. A turn of five words has the four prints that a pair needs.
+TURN, TURN_NOTE, TURN_REST = Settings(frame=256, step=256, hits=2, overlap=4), 256, 3
 
 
-def sonify(s: Settings, each: int = 1) -> Callable:
-    """Samples of a text: each word so many short notes whose pitches are hashes of the word. Stands in for audio where a table has none."""
-    t = np.arange(NOTE) / s.rate
-    pitch = 110.0 * 2 ** (np.arange(36) / 12)
-    notes = (np.sin(2 * np.pi * pitch[:, None] * t) * np.hanning(NOTE)).astype(np.float32)
+def sonify(s: Settings, note: int = NOTE, rest: int = 0) -> Callable:
+    """Samples of a text: each word a note of two pitches that a hash of the word picks, between `rest` notes of silence. Stands in for audio where a table has none."""
+    t = np.arange(note) / s.rate
+    tone = np.sin(2 * np.pi * 880.0 * 2 ** (np.arange(PITCHES) / PITCHES)[:, None] * t)
+    notes = ((2 * tone[:, None] + tone[None]) / 3 * np.hanning(note)).reshape(-1, note).astype(np.float32)
+    quiet = np.zeros(rest * note, np.float32)
 
     def samples(text):
-        at = [zlib.crc32(w, i) % 36 for w in (text or "").encode().split() for i in range(each)]
-        return notes[at].ravel() if at else np.zeros(0, np.float32)
+        at = [zlib.crc32(w) % len(notes) for w in (text or "").encode().split()]
+        return np.concatenate((quiet, notes[at].ravel(), quiet)) if at else np.zeros(0, np.float32)
 
     return samples
 
 
+#: Samples of recordings that are fingerprinted together; a longer one goes by itself.
+TOGETHER = 1 << 21
+
+
 def fingerprints(df: DataFrame, id_col: str, media_col: str, s: Settings = Settings(), samples: Callable | None = None) -> DataFrame:
     """(rec_id, prints binary, sound binary, fp long): the packed integers of every row's recording, without a shuffle.
 
@@ -179,16 +202,24 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, s: Settings = Setti
     """
     read = samples or wav_samples(s)
 
+    def row(heard, p, sound):
+        raw = p.astype("<u4").tobytes()
+        fp = _digest(raw) if raw else _digest(b"samples" + heard.tobytes()) if len(heard) else None
+        return raw, sound.astype(np.uint8).tobytes(), fp
+
     def rows(batches):
         for b in batches:
-            out = [], [], []
-            for x in b[1].to_pylist():
-                heard = read(x)
-                p, sound = prints(chroma(heard, s))
-                raw = p.astype("<u4").tobytes()
-                fp = _digest(raw) if raw else _digest(b"samples" + heard.tobytes()) if len(heard) else None
-                for c, v in zip(out, (raw, sound.astype(np.uint8).tobytes(), fp)):
-                    c.append(v)
+            media = b[1].dictionary_encode()  # a recording that repeats in a batch is heard once
+            done, part, size = [], [], 0
+            for x in media.dictionary.to_pylist():
+                part.append(read(x))
+                size += len(part[-1])
+                if size > TOGETHER:
+                    done += [row(h, *p) for h, p in zip(part, prints_of(part, s))]
+                    part, size = [], 0
+            done += [row(h, *p) for h, p in zip(part, prints_of(part, s))]
+            none = row(np.zeros(0, np.float32), np.zeros(0, np.uint32), np.zeros(0, bool))
+            out = list(zip(*(none if i is None else done[i] for i in media.indices.to_pylist()))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["rec_id", "prints", "sound", "fp"])
 
     return df.select(F.col(id_col).cast("long").alias("_id"), F.col(media_col).alias("_media")).mapInArrow(rows, "rec_id long, prints binary, sound binary, fp long")
@@ -201,13 +232,13 @@ def _digest(raw: bytes) -> int:
 
 
 def _keys(batches):
-    """(key, class, at, query) rows: each sounding integer of a class, once where it repeats side by side."""
+    """(key, class, at, query) rows: each two neighbouring sounding integers of a class as one long, since single ones also agree by chance."""
     for b in batches:
         cols = [], [], [], []
         for cls, raw, sound, query in zip(b["class_id"].to_pylist(), b["prints"].to_pylist(), b["sound"].to_pylist(), b["query"].to_pylist()):
-            p, ok = np.frombuffer(raw, "<u4"), np.frombuffer(sound, np.uint8).astype(bool)
-            at = np.flatnonzero(ok)
-            cols[0].append(p[at].astype(np.int64))
+            p, ok = np.frombuffer(raw, "<u4").astype(np.int64), np.frombuffer(sound, np.uint8).astype(bool)
+            at = np.flatnonzero(ok[:-1] & ok[1:])
+            cols[0].append(p[at] << 32 | p[at + 1])
             cols[1].append(np.full(len(at), cls))
             cols[2].append(at)
             cols[3].append(np.full(len(at), query))
@@ -232,27 +263,28 @@ def match(df: DataFrame, id_col: str, media_col: str, query: F.Column, s: Settin
 
     members: (rec_id, n_prints, class_id, is_query), one row for each input row; recordings with equal fingerprints are one class, named by its
     smallest id (one too short for integers is classed by equal samples, one without samples has its own id; null ids come last). pairs: (query_class, class_id, offset, frames, bit_error) for
-    each other class that shares at least s.hits integers with a query's class at an offset, over s.overlap frames, with at most
+    each other class that shares at least s.hits pairs of integers with a query's class at an offset, over s.overlap frames, with at most
     s.errors of the bits differing; of several such offsets the one with the smallest share of them (then the longest, then the smallest). `query` is a condition on rec_id. Empty in, empty out.
     """
     raw = settle(fingerprints(df, id_col, media_col, s, samples).withColumn("is_query", F.coalesce(query, F.lit(False))), "prints")
     has = raw.where("fp is not null")
     classes = settle(has.groupBy("fp").agg(F.min("rec_id").alias("class_id"), F.max("is_query").alias("query"), F.min("prints").alias("prints"), F.min("sound").alias("sound")).where("class_id is not null"), "classes")
-    named = raw.join(classes.select("fp", "class_id"), "fp", "left")
+    named = join_hot(raw, classes.select("fp", "class_id"), "fp", "rec_id", "left")
     members = named.select("rec_id", (F.octet_length("prints") / 4).cast("long").alias("n_prints"), F.when(F.col("fp").isNotNull(), F.col("class_id")).otherwise(F.col("rec_id")).alias("class_id"), "is_query")
     keys = classes.select("class_id", "prints", "sound", "query").mapInArrow(_keys, "key long, class_id long, at int, query boolean")
     asked = keys.where("query").select("key", F.col("class_id").alias("query_class"), F.col("at").alias("q_at"))
-    hits = asked.join(keys.select("key", "class_id", "at"), "key").where("class_id <> query_class")
+    hits = join_hot(keys.select("key", "class_id", "at"), asked, "key", "class_id").where("class_id <> query_class")
     counts = hits.groupBy("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n")).where(F.col("n") >= s.hits)
     best = counts.groupBy("query_class", "class_id").agg(F.collect_list("offset").alias("offsets"))
     texts = classes.select("class_id", F.col("prints").alias("rp"))
-    both = best.join(texts, "class_id").join(texts.select(F.col("class_id").alias("query_class"), F.col("rp").alias("qp")), "query_class")
+    asking = classes.where("query").select(F.col("class_id").alias("query_class"), F.col("prints").alias("qp"))
+    both = join_hot(best.join(texts, "class_id"), asking, "query_class", "class_id")
     return members, both.select("query_class", "class_id", "offsets", "qp", "rp").mapInArrow(_check(s), "query_class long, class_id long, offset int, frames int, bit_error double")
 
 
 def summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(rec_id, n_prints, class_id, n_links, best_query, best_offset, bit_error), one row for each recording: the query classes its class aligns with, and the closest."""
-    first = W.partitionBy("class_id").orderBy("bit_error", "query_class")
-    ranked = pairs.withColumn("_r", F.row_number().over(first)).withColumn("_n", F.count("*").over(W.partitionBy("class_id")))
-    best = ranked.where("_r = 1").select("class_id", F.col("_n").alias("n_links"), F.col("query_class").alias("best_query"), F.col("offset").alias("best_offset"), "bit_error")
-    return members.join(best, "class_id", "left").select("rec_id", "n_prints", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_query", "best_offset", "bit_error")
+    found = F.min(F.struct("bit_error", "query_class", "offset"))
+    best = pairs.groupBy("class_id").agg(F.count("*").alias("n_links"), found.alias("b"))
+    best = best.select("class_id", "n_links", F.col("b.query_class").alias("best_query"), F.col("b.offset").alias("best_offset"), F.col("b.bit_error").alias("bit_error"))
+    return join_hot(members, best, "class_id", "rec_id", "left").select("rec_id", "n_prints", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_query", "best_offset", "bit_error")

@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pathlib
+import sys
 import tempfile
-import uuid
 import zipfile
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="strandmatrix-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+from strandmatrix.sources.shared import fresh
 
 
 _shipped: set[str] = set()
@@ -47,12 +38,58 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # else shuffle files of what was settled before stay until the driver happens to collect its garbage
-    return spark.read.schema(df.schema).parquet(path)
+    if jvm := getattr(spark.sparkContext, "_jvm", None):
+        jvm.System.gc()  # shuffle files of what was settled before may go earlier; nothing depends on it
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes settled frames that nothing reads any more; where pyarrow knows no such file system they stay."""
+    for df in frames:
+        try:
+            system, path = fs.FileSystem.from_uri(df._settled)
+            system.delete_dir(path)
+        except (OSError, pa.ArrowInvalid, NotImplementedError):
+            pass
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed to the system: Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(work):
+    """A function for groups of one, two or three arguments that gives memory back when it has ended."""
+
+    def done(out):
+        give_back()
+        return out
+
+    n = work.__code__.co_argcount
+    return (lambda t: done(work(t))) if n == 1 else (lambda a, b: done(work(a, b))) if n == 2 else (lambda a, b, c: done(work(a, b, c)))
+
+
+def sliced(batches, rows: int = 1024):
+    """Batches of few rows, so that Python copies of their texts stay small; memory is given back at the end."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    give_back()
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", ways: int = 16) -> DataFrame:
+    """many joined with the smaller `one`: rows of a key are dealt by a hash of `by` to so many tasks, each with its copy of one's rows."""
+    dealt = many.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(ways)))
+    copies = one.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
+    return dealt.join(copies, [key, "_deal"], how).drop("_deal")
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,6 +124,14 @@ def listed(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column whose values are the bytes of runs of a flat array, of so many items each."""
+    flat = np.ascontiguousarray(flat)
+    offsets = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+
 def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start+1, ... start+size-1 of every range, concatenated."""
     total = int(sizes.sum())
@@ -117,23 +162,25 @@ def keep_caches():
 class WordCache(dict):
     """Results by word, filled on demand by make(word).
 
-    Holds two generations of at most `most` entries: a full one becomes the old one, from which
+    Holds two generations of about `most` bytes: a full one becomes the old one, from which
     words still in use move up. Words over `longest` characters are not kept. Both bound memory
     only: results do not depend on them.
     """
 
-    def __init__(self, make, most: int = 200_000, longest: int = 64):
+    def __init__(self, make, most: int = 32 << 20, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
+        self.make, self.most, self.longest, self.old, self.used = make, most, longest, {}, 0
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
         if len(word) <= self.longest:
-            if len(self) >= self.most:
+            if self.used >= self.most:
                 self.old = dict(self)
                 self.clear()
+                self.used = 0
+            self.used += sys.getsizeof(word) + sys.getsizeof(value) + 100  # and its place in the table
             self[word] = value
         return value
 

@@ -35,7 +35,7 @@ def op5_chroma_prints(spark, d):
     """Every turn of every conversation is a recording, rendered from its text, as no table holds audio; turns of conversations with an id divisible by 50 are the queries."""
     turns = _table(spark, d, "conversations").select((F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("rec_id"), "text")
     query = (F.shiftright("rec_id", 32) % 50) == 0
-    return chroma.summary(*chroma.match(turns, "rec_id", "text", query, samples=chroma.sonify(chroma.Settings(), chroma.TURN_NOTES)))
+    return chroma.summary(*chroma.match(turns, "rec_id", "text", query, chroma.TURN, chroma.sonify(chroma.TURN, chroma.TURN_NOTE, chroma.TURN_REST)))
 
 
 def op6_quality(spark, d):
