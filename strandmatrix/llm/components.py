@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import settle
+from strandmatrix.llm.common import discard, settle
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,21 +40,21 @@ def _contract(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of a (u, v) table of long pairs: root is the component's smallest node, also for itself.
 
-    A round points every node's larger neighbours to its smallest, then its smaller ones; it ends when a round changes
-    nothing. Minima are combined map-side; a hot node costs a row a neighbour, dealt by the neighbour.
+    A round points every node's larger neighbours to its smallest, then its smaller ones; it ends when every node points to one
+    that points to none. Minima are combined map-side, and their joins with a hot node's rows can be split, as nodes are unique on one side.
     """
     e = settle(links.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long").distinct(), "links")
-    sign = None
     while True:
+        up = e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        chained = e.select(F.col("v").alias("u")).join(up, "u", "left_semi").select("u")
+        if up.where("m < x").select("u").union(chained).isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = settle(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(now) == sign:
-            break
-        sign = tuple(now)
+        before, e = e, settle(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
+        discard(before)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(roots)

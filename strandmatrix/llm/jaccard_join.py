@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandmatrix.llm.common import mix, settle, text_bytes, utf8
+from strandmatrix.llm.common import discard, join_hot, lean, mix, settle, text_bytes, utf8
 from strandmatrix.llm.components import components
 from strandmatrix.llm.repeats import _range, word_tokens
 
@@ -65,16 +65,21 @@ def edges(percent: int, most: int = 1 << 40) -> np.ndarray:
 
 @lru_cache(100_000)
 def sketch_size(band: int, percent: int) -> tuple[int, int]:
-    """(words, largest difference) for pairs whose smaller set is in a band.
+    """(words, largest difference) for pairs whose smaller set is in a band: so many words that a set of the band has the fewest keys.
 
-    Words in excess of the difference outweigh the zero words that the band's smallest set leaves by chance, by three deviations.
+    A sketch of m words serves if fewer than m - d of them are zero; else another follows. The zero words that the band's smallest
+    set leaves by chance are taken as normal, with the mean and variance of empty cells, so m over that chance is least.
     """
     n, a = int(edges(percent)[band]), int(edges(percent)[band + 1]) - 1
     d = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-    words = d + 1
-    while words - d < (z := words * math.exp(-n / words)) + 3 * math.sqrt(z) + 1 and words < 4 * a + 64:
+    best, words = (math.inf, d + 1), d + 1
+    while words < best[0]:
+        one, two = (math.exp(n * math.log1p(-x / words)) if words > x else 0.0 for x in (1, 2))
+        mean, var = words * one, max(words * one + words * (words - 1) * two - (words * one) ** 2, 1e-9)
+        serves = 0.5 * math.erfc((mean - (words - d - 0.5)) / math.sqrt(2 * var))
+        best = min(best, (words / max(serves, 1e-9), words))
         words += 1 + words // 64
-    return words, d
+    return best[1], d
 
 
 def shingles(tokens: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -291,35 +296,38 @@ def _pairs(s: Settings, budget: int | None, labelled: bool):
     """
 
     def find(t: pa.Table) -> pa.Table:
-        cols = {c: [] for c in ("key", "node", "label", "size", "g", "i", "u", "hid")}
-        logs, bits, stars = [], [], []
-        for r in t.to_pylist():
-            if r["stars"]:
-                stars.append(np.concatenate((np.frombuffer(r["stars"], np.int64).reshape(6, -1), [np.full(len(r["stars"]) // 48, r["_g"])])))
-                continue
-            many = np.frombuffer(r["counts"], np.uint32)
-            rep = lambda raw, kind: np.repeat(np.frombuffer(raw, kind).astype(np.int64), many)
-            cols["key"].append(np.frombuffer(r["keys"], np.uint64))
-            cols["node"].append(rep(r["nodes"], np.int64))
-            cols["label"].append(rep(r["labels"], np.int64) if labelled else cols["node"][-1])
-            cols["size"].append(rep(r["sizes"], np.uint32))
-            cols["g"].append(np.full(int(many.sum()), r["_g"], np.int64))
-            cols["i"].append(rep(r["docs"], np.uint32))
-            cols["hid"].append(rep(r["hidden"], np.uint8))
-            cols["u"].append(np.repeat(len(bits) + np.arange(len(many)), many))
-            if labelled:
-                own = np.frombuffer(r["logs"], np.uint8).astype(np.int64)
-                ends = np.cumsum(1 << own - 3)
-                logs.append(own)
-                bits += [r["parity"][x - (1 << k - 3) : x] for x, k in zip(ends.tolist(), own.tolist())]
-            else:
-                bits += [b""] * len(many)
-        c = {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k == "key" else np.int64) for k, v in cols.items()}
+        of: dict[str, list] = {c: [] for c in ("node", "label", "size", "g", "i", "hid")}  # of sets
+        flat, users, logs, bits, stars, base = [], [], [], [], [], 0
+        for b in t.to_batches():
+            for row in range(b.num_rows):
+                raw = lambda name, kind: np.frombuffer(b[name][row].as_buffer(), kind)  # noqa: E731, B023
+                g = b["_g"][row].as_py()
+                if len(x := raw("stars", np.int64)):
+                    stars.append(np.concatenate((x.reshape(6, -1), [np.full(len(x) // 6, g)])))
+                    continue
+                many = raw("counts", np.uint32)
+                flat.append(raw("keys", np.uint64))
+                users.append(np.repeat(np.arange(base, base + len(many), dtype=np.int32), many))
+                base += len(many)
+                for name, column, kind in (("node", "nodes", np.int64), ("label", "labels" if labelled else "nodes", np.int64), ("size", "sizes", np.uint32), ("i", "docs", np.uint32), ("hid", "hidden", np.uint8)):
+                    of[name].append(raw(column, kind).astype(np.int64))
+                of["g"].append(np.full(len(many), g))
+                if labelled:
+                    own = raw("logs", np.uint8).astype(np.int64)
+                    ends, parities = np.cumsum(1 << own - 3), memoryview(b["parity"][row].as_buffer())
+                    logs.append(own)
+                    bits += [parities[x - (1 << k - 3) : x] for x, k in zip(ends.tolist(), own.tolist())]
+        key, u = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((flat, np.uint64), (users, np.int32)))
+        del flat, users
+        of = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in of.items()}
         parity = ParityTable(np.concatenate(logs), bits) if labelled and logs else None
-        _, inv, n = np.unique(c["key"], return_inverse=True, return_counts=True)
-        c = {k: v[n[inv] > 1] for k, v in c.items()}
-        order = np.lexsort((c["i"], c["g"], c["node"], c["key"]))
-        c = {k: v[order] for k, v in c.items()}
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order  # keys of two or more
+        key, u = key[order], u[order]
+        order = np.lexsort((of["i"][u], of["g"][u], of["node"][u], key))
+        key, u = key[order], u[order]
+        c = {"key": key, "u": u, **{k: v[u] for k, v in of.items()}}
         new = np.ones(len(order), bool)
         new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["node"][1:] != c["node"][:-1]) | (c["hid"][1:] > 0) & (c["g"][1:] != c["g"][:-1])
         c = {k: v[new] for k, v in c.items()}  # a set once a word, by its first copy; one that stands for others, once a block
@@ -508,7 +516,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words its whole sequence. Two documents link when the Jaccard index of their sets is `percent` hundredths or more; component_id is
     the smallest id reachable by links. A null or wordless text has no shingles, links with nothing and has its own id.
     Null ids count for nothing when the smallest is taken (a component of only null ids has a null one); repeated rows each
-    get a row. An empty table gives an empty result. Sets are compared by 64-bit hashes of their shingles.
+    get a row. Texts count whole, whatever their length; other columns are not read. An empty table gives an empty result. Sets are compared by 64-bit hashes of their
+    shingles, into which words of up to 7 bytes go one to one.
     """
     s = Settings(shingle, percent)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -516,29 +525,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks, ranges = 1 + total // BLOCK_BYTES, 1 + total // RANGE_BYTES
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")).withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int"))
     by_block = docs.groupBy("_g")
-    found = settle(by_block.applyInArrow(_documents(s), "doc_id long, n_shingles long, node long"), "sets")
+    found = settle(by_block.applyInArrow(lean(_documents(s)), "doc_id long, n_shingles long, node long"), "sets")
     emit = _keys(s, ranges)
     emit_again = _keys(s, 1 + ranges // 4)  # fewer sets take part, and each sends its parity bits to every range it has a word in
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select("ag", "a", "ai", "bg").distinct()
-        sent = by_block.cogroup(asked.groupBy("ag")).applyInArrow(_send(s), "_g int, a long, bi int, b long, set binary")
+        sent = by_block.cogroup(asked.groupBy("ag")).applyInArrow(lean(_send(s)), "_g int, a long, bi int, b long, set binary")
         asks = pairs.select(F.col("bg").alias("_g"), "a", "bi", "b", F.lit(None).cast("binary").alias("set"))
-        return by_block.cogroup(sent.union(asks).groupBy("_g")).applyInArrow(_verify(s), "u long, v long")
+        return by_block.cogroup(sent.union(asks).groupBy("_g")).applyInArrow(lean(_verify(s)), "u long, v long")
 
-    keys = by_block.applyInArrow(lambda t: emit(t, None), _KEYS)
-    star = settle(keys.groupBy("rng").applyInArrow(_pairs(s, 1, False), _PAIRS).dropDuplicates(["a", "b"]), "pairs")
+    keys = by_block.applyInArrow(lean(lambda t: emit(t, None)), _KEYS)
+    star = settle(keys.groupBy("rng").applyInArrow(lean(_pairs(s, 1, False)), _PAIRS).dropDuplicates(["a", "b"]), "pairs")
     one = W.partitionBy("b").orderBy("a")
     places = settle(star.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ag").alias("_g"), F.col("ai").alias("i")), F.struct(F.col("b").alias("node"), F.col("bg").alias("_g"), F.col("bi").alias("i")))).alias("x")).select("x.*").distinct(), "places")
     tried = star.where("ok").withColumn("_k", F.row_number().over(one)).where("_k <= 2").drop("_k")
     tried = settle(tried, "tried")
+    discard(star)
     links = settle(verified(tried), "verified")
-    labels = components(links)
+    labels, spent = components(links), [links, places, tried]
     opened = None  # labels of giant components that are to travel whole, as they share words with other giant ones
     rounds = [*BUDGETS, None]
     while rounds:
         budget = rounds.pop(0)
         labels = settle(labels, "labels")
+        spent.append(labels)
         giants = labels.groupBy(F.col("root").alias("label")).count().where(F.col("count") > GIANT).select("label", F.lit(True).alias("hidden"))
         giants = giants if opened is None else giants.join(opened, "label", "left_anti")
         known = places.join(labels, "node", "left").select("_g", "i", "node", F.coalesce("root", "node").alias("label"))
@@ -548,31 +559,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols = [lab[c].to_pylist() for c in ("i", "node", "label", "hidden")]
             return emit_again(t, {i: (n, x, h) for i, n, x, h in zip(*cols)})
 
-        keys = by_block.cogroup(known.groupBy("_g")).applyInArrow(again, _KEYS)
-        out = settle(keys.groupBy("rng").applyInArrow(_pairs(s, budget, True), _FOUND), "found")
+        keys = by_block.cogroup(known.groupBy("_g")).applyInArrow(lean(again), _KEYS)
+        out = settle(keys.groupBy("rng").applyInArrow(lean(_pairs(s, budget, True)), _FOUND), "found")
         sent = out.where("sets is not null").select("_g", F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("node"), "label", F.lit(None).cast("boolean").alias("hidden"), "sets")
         stayed = known.where("hidden").select("*", F.lit(None).cast("binary").alias("sets"))
-        home = by_block.cogroup(stayed.union(sent).groupBy("_g")).applyInArrow(_at_home(s, budget), _PAIRS)
+        home = by_block.cogroup(stayed.union(sent).groupBy("_g")).applyInArrow(lean(_at_home(s, budget)), _PAIRS)
         pairs = out.where("sets is null and ag >= 0").select(*tried.columns)
         if not giants.isEmpty():
             pairs = pairs.union(home.select(*tried.columns))
         pairs = settle(pairs.dropDuplicates(["a", "b"]).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*tried.columns), "pairs")
         links = settle(verified(pairs), "verified")
+        spent += [pairs, links]
         tried = tried.union(pairs)
         labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").union(links))
         if budget is None:
             clash = out.where("ag = -1").select(F.col("a").alias("label")).distinct()
             if not clash.isEmpty():
                 opened = settle(clash if opened is None else clash.union(opened), "opened")
+                spent.append(opened)
                 rounds = [None]
-    return _named(found, settle(labels, "labels"))
+        discard(known, out)
+    labels = settle(labels, "labels")
+    discard(*spent)
+    return _named(found, labels)
 
 
 def _named(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each document with its component's smallest id. Minima are combined map-side; the join back has unique keys on one side, so a hot component can be split."""
+    """Each document with its component's smallest id. Minima are combined map-side; documents of a hot component are dealt to several tasks for the join back, which only components of several need."""
     rooted = found.where("n_shingles > 0").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = rooted.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = join_hot(rooted, least, "root", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return linked.union(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
