@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import expand, mix, text_bytes, utf8
+from strandmatrix.llm.common import binaries, expand, lean, mix, text_bytes, utf8
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose anchors one range takes; bounds the windows that a task sorts at a time.
 RANGE_BYTES = 6 << 20
 CHUNK = 1 << 17
-NO_ID = np.iinfo(np.int64).max
 _POSITION = np.uint64(CHUNK * 2 - 1)
 
 
@@ -53,47 +52,39 @@ class Block:
     def __init__(self, table: pa.Table, scheme: Scheme):
         ids = table["_id"].combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+        none, known = ids.is_null().to_pylist(), ids.fill_null(0).to_pylist()
         raw = table["_text"].to_pylist()
-        self.order = np.array(sorted(range(len(raw)), key=lambda i: (self.ids[i], raw[i])), np.int64)
-        self.ids = self.ids[self.order]
-        self.table = table.take(pa.array(self.order))
+        order = sorted(range(len(raw)), key=lambda i: (none[i], known[i], raw[i]))
+        self.ids, self.none = np.array([known[i] for i in order], np.int64), np.array([none[i] for i in order], np.int64)
+        same = (self.ids[1:] == self.ids[:-1]) & (self.none[1:] == self.none[:-1])
+        self.owner = np.cumsum(np.concatenate(([True], ~same))) if len(raw) else np.zeros(0, np.int64)  # rows that share an id are one owner
+        self.table = table.take(pa.array(order, pa.int64()))
         self.bytes, self.byte_at = utf8(self.table["_text"])
         if scheme.words:
-            self.tokens, self.at = word_tokens(self.bytes, self.byte_at)
+            self.starts, self.ends, self.at = word_bounds(self.bytes, self.byte_at)
+            self.tokens = word_hashes(self.bytes, self.starts, self.ends)
         else:
             self.tokens, self.at = self.bytes, self.byte_at
 
 
 _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words of up to so many bytes are their own hash, mixed one to one.
+_WHOLE = 7
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, inverse)]
-    return _powers[0][:n], _powers[1][:n]
-
-
-def word_tokens(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, word offsets of the documents) of a block's bytes; words are runs of other than ASCII white space."""
-    letter = _LETTER.copy()
-    if lower:
-        letter[65:91] = _LETTER[97:123]
-    n_docs, hashes, counts = len(at) - 1, [], np.zeros(len(at) - 1, np.int64)
+def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, word offsets of the documents) of the words of a block's bytes; words are runs of other than ASCII white space."""
+    n_docs, starts, ends, counts = len(at) - 1, [], [], np.zeros(len(at) - 1, np.int64)
     lo = 0
     while lo < n_docs:
         hi = max(int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1, lo + 1)
         part = raw[at[lo] : at[hi]]
-        n = len(part)
-        if n:
+        if len(part):
             gap = _SPACE[part]
             first = ~gap
             last = first.copy()
@@ -103,14 +94,37 @@ def word_tokens(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[n
             first[begins] = ~gap[begins]
             before = begins[begins > 0] - 1
             last[before] = ~gap[before]
-            s, e = np.flatnonzero(first), np.flatnonzero(last)
-            up, down = _power(n)
-            total = np.cumsum(letter[part] * up)
-            word = (total[e] - total[s] + letter[part[s]] * up[s]) * down[s]
-            hashes.append(mix(word ^ (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+            s = np.flatnonzero(first)
+            starts.append(s + at[lo])
+            ends.append(np.flatnonzero(last) + 1 + at[lo])
             counts[lo:hi] = np.diff(np.searchsorted(s, at[lo : hi + 1] - at[lo]))
         lo = hi
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(counts)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends]), np.concatenate(([0], np.cumsum(counts)))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of every word: one to one for short words, xxh3 of the bytes for others."""
+    import xxhash
+
+    raw = np.concatenate((_LOWER[raw] if lower else raw, np.zeros(8, np.uint8)))
+    sizes, out = ends - starts, np.empty(len(starts), np.uint64)
+    rows = np.lib.stride_tricks.as_strided(raw, (max(len(raw) - 7, 0), 8), (1, 1))
+    for i in range(0, len(starts), CHUNK):
+        n = np.minimum(sizes[i : i + CHUNK], _WHOLE).astype(np.uint64)
+        word = np.ascontiguousarray(rows[starts[i : i + CHUNK]]).view("<u8").ravel()
+        out[i : i + CHUNK] = mix(word & ((np.uint64(1) << (n << np.uint64(3))) - np.uint64(1)) | n << np.uint64(56))
+    wide = np.flatnonzero(sizes > _WHOLE)
+    if len(wide):
+        data, digest = raw.tobytes(), xxhash.xxh3_64_intdigest
+        out[wide] = np.fromiter((digest(data[a:b]) for a, b in zip(starts[wide].tolist(), ends[wide].tolist())), np.uint64, len(wide))
+    return out
+
+
+def word_tokens(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, word offsets of the documents) of a block's bytes."""
+    starts, ends, of = word_bounds(raw, at)
+    return word_hashes(raw, starts, ends, lower), of
 
 
 def grams(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -178,44 +192,40 @@ def _anchors(s: Scheme, ranges: int):
         h, n = np.unique(runs(b.tokens, b.at, s)[2], return_counts=True)
         r = _range(h, ranges)
         cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
-        g, n = t["_g"][0].as_py(), np.minimum(n, 65535).astype(np.uint16)
-        pairs = list(zip(cuts[:-1], cuts[1:]))
-        return pa.table({"rng": pa.array([r[x] for x, _ in pairs], pa.int32()), "_g": pa.array([g] * len(pairs), pa.int32()), "hashes": pa.array([h[x:y].tobytes() for x, y in pairs], pa.binary()), "counts": pa.array([n[x:y].tobytes() for x, y in pairs], pa.binary())})
+        many = np.diff(cuts)
+        return pa.table({"rng": pa.array(r[cuts[:-1]], pa.int32()), "_g": pa.array(np.full(len(many), t["_g"][0].as_py()), pa.int32()), "hashes": binaries(h, many), "counts": binaries(np.minimum(n, 65535).astype(np.uint16), many)})
 
     return block
 
 
 def _repeats(s: Scheme):
     def resolve(t: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x.as_py(), np.uint64) for x in t["hashes"]]
-        h, n = np.concatenate(hashes), np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in t["counts"]]).astype(np.int64)
+        raw, at = utf8(t["hashes"])
+        h, n = raw.view(np.uint64), utf8(t["counts"])[0].view(np.uint16).astype(np.int64)
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
         total = np.empty(len(h), np.int64)
         total[order] = np.repeat(np.add.reduceat(n[order], starts), np.diff(np.append(starts, len(h))))
-        out_h, out_f, at = [], [], 0
-        for x in hashes:
-            k = total[at : at + len(x)]
-            at += len(x)
-            out_h.append(x[k > 1].tobytes())
-            out_f.append((k[k > 1] > s.hot).astype(np.uint8).tobytes())
-        return pa.table({"_g": t["_g"], "hashes": pa.array(out_h, pa.binary()), "flags": pa.array(out_f, pa.binary())})
+        keep = total > 1
+        many = np.diff(np.concatenate(([0], np.cumsum(keep)))[at // 8])
+        some = many > 0
+        return pa.table({"_g": pa.array(t["_g"].to_numpy()[some], pa.int32()), "hashes": binaries(h[keep], many[some]), "flags": binaries((total[keep] > s.hot).astype(np.uint8), many[some])})
 
     return resolve
 
 
-_SEGMENTS = "rng int, _g int, anchors binary, sizes binary, data binary, places binary, owners binary, done binary"
+_SEGMENTS = "rng int, _g int, anchors binary, sizes binary, lens binary, data binary, places binary, owners binary, done binary"
 
 
 def _segments(s: Scheme, ranges: int):
-    """Each distinct run once: its anchor, number of windows, tokens, and the (document id, document, start) of its first place
+    """Each distinct run once: its anchor, number of windows, bytes (words with one space between), and the (document id, document, start) of its first place
     (all places in the first document, if its own earlier text does not count). Later places repeat the first whatever
     other blocks hold; they are done, and their spans ride along with any range, so that a hot run meets in none.
     """
 
     def cut(key, t: pa.Table, rep: pa.Table) -> pa.Table:
-        names = ["rng", "_g", "anchors", "sizes", "data", "places", "owners", "done"]
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 6
+        names = ["rng", "_g", "anchors", "sizes", "lens", "data", "places", "owners", "done"]
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 7
         if not len(t) or not len(rep):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         known = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rep["hashes"]])
@@ -234,12 +244,13 @@ def _segments(s: Scheme, ranges: int):
             again = np.argsort(start, kind="stable")
             start, size, anchor = start[again], size[again], anchor[again]
         doc = np.searchsorted(b.at, start, "right") - 1
-        item, data = b.tokens.itemsize, b.tokens.tobytes()
+        data, end = b.bytes.tobytes(), start + size + s.length - 1
+        lo, hi = (b.starts[start], b.ends[end - 1]) if s.words else (start, end)
         seen: dict[bytes, list[int]] = {}
-        for i, (x, n) in enumerate(zip(start.tolist(), (size + s.length - 1).tolist())):
-            seen.setdefault(data[x * item : (x + n) * item], []).append(i)
+        for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())):
+            seen.setdefault(b" ".join(data[x:y].split()) if s.words else data[x:y], []).append(i)
         parts: dict[int, list] = {}
-        where, of, later = _range(anchor, ranges).tolist(), b.ids[doc].tolist(), []
+        where, of, later = _range(anchor, ranges).tolist(), b.owner[doc].tolist(), []
         for text, places in seen.items():  # places are in the order of document, then start
             n = 1
             while n < len(places) and not s.within and of[places[n]] == of[places[0]]:
@@ -250,13 +261,13 @@ def _segments(s: Scheme, ranges: int):
         for r, found in parts.items():
             lead = np.array([p[0] for _, p in found])
             flat = np.array([i for _, p in found for i in p])
-            place = np.stack([b.ids[doc[flat]], doc[flat], start[flat] - b.at[doc[flat]]])
-            for c, v in zip(rows, (r, key[0].as_py(), anchor[lead].tobytes(), size[lead].astype(np.uint32).tobytes(), b"".join(x for x, _ in found), place.astype(np.int64).tobytes(), np.array([len(p) for _, p in found], np.uint32).tobytes(), b"")):
+            place = np.stack([b.ids[doc[flat]], doc[flat] | b.none[doc[flat]] << 40, start[flat] - b.at[doc[flat]]])
+            for c, v in zip(rows, (r, key[0].as_py(), anchor[lead].tobytes(), size[lead].astype(np.uint32).tobytes(), np.array([len(x) for x, _ in found], np.uint32).tobytes(), b"".join(x for x, _ in found), place.astype(np.int64).tobytes(), np.array([len(p) for _, p in found], np.uint32).tobytes(), b"")):
                 c.append(v)
         if later:
             done = np.stack([doc[later], start[later] - b.at[doc[later]], size[later] + s.length - 1])
             g = key[0].as_py()
-            for c, v in zip(rows, (g % ranges, g, b"", b"", b"", b"", b"", done.astype(np.uint32).tobytes())):
+            for c, v in zip(rows, (g % ranges, g, b"", b"", b"", b"", b"", b"", done.astype(np.uint32).tobytes())):
                 c.append(v)
         return pa.table([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
@@ -270,13 +281,14 @@ def hash_bytes(raw: bytes) -> int:
 
 
 def _resolve(s: Scheme, method):
-    """method(tokens, starts, sizes, keys, length) -> the smallest key of every window of the given runs, concatenated."""
+    """method(tokens, starts, sizes, keys, length) -> the smallest key of every window of the given runs, concatenated.
+
+    Runs are equal when their bytes are, and words get numbers by their bytes: hashes only choose what meets here.
+    """
 
     def meet(t: pa.Table) -> pa.Table:
         ready = [x.as_py() for x in t["done"]]
         ready = pa.table({"_g": pa.array([g for g, x in zip(t["_g"].to_pylist(), ready) if x], pa.int32()), "spans": pa.array([x for x in ready if x], pa.binary())})
-        kind = np.uint64 if s.words else np.uint8
-        item = np.dtype(kind).itemsize
         runs_of: dict[bytes, int] = {}
         entry, anchors, sizes = [], [], []
         places, owner_entry, block = [], [], []
@@ -284,9 +296,9 @@ def _resolve(s: Scheme, method):
             a, n = np.frombuffer(row["anchors"], np.uint64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
             at = 0
             mine = []
-            for x, k in zip(a.tolist(), n.tolist()):
-                text = row["data"][at : at + (k + s.length - 1) * item]
-                at += len(text)
+            for x, k, long in zip(a.tolist(), n.tolist(), np.frombuffer(row["lens"], np.uint32).tolist()):
+                text = row["data"][at : at + long]
+                at += long
                 e = runs_of.setdefault(text, len(runs_of))
                 if e == len(entry):
                     entry.append(text)
@@ -302,26 +314,33 @@ def _resolve(s: Scheme, method):
             return ready
         del runs_of
         p, g, e = np.concatenate(places, 1), np.concatenate(block), np.concatenate(owner_entry)
-        if s.within:  # places in the order of document, then start
-            key = np.empty(len(g), np.int64)
-            key[np.lexsort((p[2], p[1], g, p[0]))] = np.arange(len(g))
-        else:
-            key = p[0]
+        none, doc, at = p[1] >> 40, p[1] & (1 << 40) - 1, p[2]
+        # in the order of document, then start; without starts those of one document are equal
+        order = np.lexsort((at, doc, g, p[0], none) if s.within else (p[0], none))
+        new = np.ones(len(g), np.int64)
+        if not s.within:
+            new[1:] = (p[0][order][1:] != p[0][order][:-1]) | (none[order][1:] != none[order][:-1])
+        key = np.empty(len(g), np.int64)
+        key[order] = np.cumsum(new)
         sizes, anchors = np.array(sizes, np.int64), np.array(anchors, np.uint64)
-        first = np.full(len(entry), NO_ID, np.int64)
+        first = np.full(len(entry), len(g) + 1, np.int64)
         np.minimum.at(first, e, key)
         _, group, many = np.unique(anchors, return_inverse=True, return_counts=True)
         shared = np.flatnonzero(many[group] > 1)
         least: dict[int, np.ndarray] = {}
         if len(shared):
-            tokens = np.frombuffer(b"".join(entry[i] for i in shared), kind)
+            if s.words:
+                numbers: dict[bytes, int] = {}
+                tokens = np.array([numbers.setdefault(w, len(numbers)) for i in shared for w in entry[i].split(b" ")], np.int64)
+            else:
+                tokens = np.frombuffer(b"".join(entry[i] for i in shared), np.uint8)
             long = sizes[shared] + s.length - 1
             starts = np.cumsum(long) - long
             best = method(tokens, starts, sizes[shared], first[shared], s.length)
             cuts = np.concatenate(([0], np.cumsum(sizes[shared])))
             for j, i in enumerate(shared.tolist()):
                 least[i] = best[cuts[j] : cuts[j + 1]]
-        doc, at, own = p[1], p[2], key == first[e]
+        own = key == first[e]
         later = np.flatnonzero(~own)
         out = [np.stack([g[later], doc[later], at[later], sizes[e[later]] + s.length - 1])]
         partial = []
@@ -365,13 +384,13 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, s: Scheme, method,
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), *rest)
     docs = docs.withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int"))
     by_block = docs.groupBy("_g")
-    anchors = by_block.applyInArrow(_anchors(s, ranges), "rng int, _g int, hashes binary, counts binary")
-    repeats = anchors.groupBy("rng").applyInArrow(_repeats(s), "_g int, hashes binary, flags binary")
-    segments = by_block.cogroup(repeats.groupBy("_g")).applyInArrow(_segments(s, ranges), _SEGMENTS)
-    spans = segments.groupBy("rng").applyInArrow(_resolve(s, method), "_g int, spans binary")
+    anchors = by_block.applyInArrow(lean(_anchors(s, ranges)), "rng int, _g int, hashes binary, counts binary")
+    repeats = anchors.groupBy("rng").applyInArrow(lean(_repeats(s)), "_g int, hashes binary, flags binary")
+    segments = by_block.cogroup(repeats.groupBy("_g")).applyInArrow(lean(_segments(s, ranges)), _SEGMENTS)
+    spans = segments.groupBy("rng").applyInArrow(lean(_resolve(s, method)), "_g int, spans binary")
 
     def final(key, t: pa.Table, found: pa.Table) -> pa.Table:
         b = Block(t, s)
         return apply(b, covered(b, found))
 
-    return by_block.cogroup(spans.groupBy("_g")).applyInArrow(final, schema)
+    return by_block.cogroup(spans.groupBy("_g")).applyInArrow(lean(final), schema)

@@ -30,29 +30,65 @@ def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Groups of up to so many suffixes are ordered by the next character at once.
+SMALL = 12
+
+
 def shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, group starts): suffixes sorted to `depth` bytes and where groups that agree on them begin.
 
-    Level by level, every group of two or more is partitioned by its next 8-byte character, all groups of a
-    level at once. The text must have 8 bytes after each compared position.
+    Multikey quicksort: a group is parted around a pivot, the median of three of its 8-byte characters, into smaller, equal and larger
+    ones, and only the equal go on to the next character. All groups are parted in step. The text must have 8 bytes after each compared position.
     """
-    order = np.arange(len(starts))
-    heads = np.array([0]) if len(starts) else np.zeros(0, np.int64)
-    active = np.arange(len(starts))
-    for level in range(0, depth, 8):
-        if not len(active):
+    order, lo, size, level = np.arange(len(starts)), np.zeros(1, np.int64), np.array([len(starts)]), np.zeros(1, np.int64)
+    char = _words(text, starts)  # of each place in the order, at its group's level
+    done = [np.zeros(0, np.int64)]
+    while True:
+        go = (size > 1) & (level < depth)
+        done.append(lo[~go & (size > 0)])
+        lo, size, level = lo[go], size[go], level[go]
+        if not len(lo):
             break
-        group = np.searchsorted(heads, active, "right") - 1
-        char = _words(text, starts[order[active]] + level)
-        by = np.lexsort((char, group))
-        order[active] = order[active][by]
-        char, group = char[by], group[by]
-        new = active[1:][(char[1:] != char[:-1]) & (group[1:] == group[:-1])]
-        heads = np.union1d(heads, new)
-        sizes = np.diff(np.append(heads, len(starts)))
-        big = sizes > 1
-        active = expand(heads[big], sizes[big])
-    return order, heads
+        at, head, group = expand(lo, size), np.cumsum(size) - size, np.repeat(np.arange(len(lo)), size)
+        c = char[at]
+        few = size <= SMALL
+        side = np.zeros(len(at), np.int64)
+        a, b, z = c[head], c[head + size // 2], c[head + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), z))[group]
+        side = (c >= pivot).astype(np.int8) + (c > pivot)
+        place = np.empty(len(at), np.int64)
+        counts = np.zeros((len(lo), 3), np.int64)
+        for k in range(3):
+            mine = side == k
+            run = np.cumsum(mine)
+            before = run[head] - mine[head]
+            counts[:, k] = np.append(run[head[1:]] - mine[head[1:]], run[-1]) - before
+            which = np.flatnonzero(mine)
+            place[which] = lo[group[which]] + counts[group[which], :k].sum(1) + run[which] - 1 - before[group[which]]
+        if few.any():  # an insertion sort's part
+            which = np.flatnonzero(few[group])
+            by = which[np.lexsort((c[which], group[which]))]
+            place[by] = at[which]
+        order[place], char[place] = order[at], c
+        new_lo = (lo[:, None] + np.cumsum(counts, 1) - counts)[~few].ravel()
+        new_size, new_level = counts[~few].ravel(), (level[:, None] + np.array([0, 8, 0]))[~few].ravel()
+        if few.any():
+            at, group = at[few[group]], group[few[group]]
+            first = np.ones(len(at), bool)
+            first[1:] = (char[at][1:] != char[at][:-1]) | (group[1:] != group[:-1])
+            f = np.flatnonzero(first)
+            new_lo, new_size, new_level = np.append(new_lo, at[f]), np.append(new_size, np.diff(np.append(f, len(at)))), np.append(new_level, level[group[f]] + 8)
+            fresh = np.zeros(len(new_lo), bool)
+            fresh[len(new_lo) - len(f) :] = True
+        else:
+            fresh = np.zeros(len(new_lo), bool)
+        fresh[: int((~few).sum()) * 3] |= np.tile([False, True, False], int((~few).sum()))
+        lo, size, level = new_lo, new_size, new_level
+        on = fresh & (size > 1) & (level < depth)
+        if on.any():  # the next character
+            at = expand(lo[on], size[on])
+            char[at] = _words(text, starts[order[at]] + np.repeat(level[on], size[on]))
+    return order, np.sort(np.concatenate(done))
 
 
 class BlindTrie:
@@ -177,7 +213,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every byte covered by a `length`-byte string that also starts earlier, in a document with a smaller id or before it in
     the same one, is removed; matches never cross documents and are judged on the input. Null text counts as empty. A null id comes after all
-    others; rows that share an id follow each other in an order fixed by their content. An empty table gives an empty result.
+    others; rows that share an id follow each other in an order fixed by their content. Texts count whole, whatever their length; other columns are
+    not read. An empty table gives an empty result.
     """
 
     def digest(b: Block, gone: np.ndarray) -> pa.Table:
