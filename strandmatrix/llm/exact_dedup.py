@@ -1,10 +1,11 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Every partition sorts its texts' digests into runs, cut by digest range, each distinct
+Every partition sorts its texts' digests into runs, cut into a few digest ranges, each distinct
 digest once with its best identifier and its number of copies. Runs of a range then meet in rounds of a
-binomial tree (fan_in partitions a round): a multiway merge of sorted runs that keeps, of equal
-digests, the best identifier. A range's last run holds the verdict, which goes back to each
-partition's run of that range, aligned with it. A text with many copies costs one
+tree (fan_in partitions a round): a multiway merge of sorted runs that keeps, of equal
+digests, the best identifier, and the partitions that hold it. A merged run is cut into as many ranges as runs went into it, so runs
+stay as long as a partition's whatever the table's size, and no task holds more than fan_in of them. From the last
+runs the verdicts on digests that several partitions hold go back to those. A text with many copies costs one
 entry per partition, however many copies there are, so no task gathers a hot text.
 """
 
@@ -15,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import listed, settle
+from strandmatrix.llm.common import binaries, expand, give_back, lean, settle, utf8
 
 #: SHA-256, then a second hash and the length: digests merge only if all three agree.
 WIDTH = 48
-RANGE_ROWS = 250_000
+#: Digest ranges of a partition's own runs.
+FIRST = 8
 FAN_IN = 8
-_RUN = "rng int, node int, fps binary, best array<long>, home array<int>, copies array<long>"
+_RUN = "rng long, node int, fps binary, best binary, home binary, copies binary, many binary, homes binary"
 
 
 def fingerprint(text: F.Column) -> F.Column:
@@ -36,27 +38,34 @@ def _rank(ids: pa.Array, keep: str) -> np.ndarray:
     return np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, rank)
 
 
-def merge_runs(fps: np.ndarray, best: np.ndarray, home: np.ndarray, copies: np.ndarray):
-    """Merges concatenated sorted runs: of equal fingerprints the best rank stays, then the lowest home.
+def merge_runs(fps: np.ndarray, best: np.ndarray, home: np.ndarray, copies: np.ndarray, many: np.ndarray, homes: np.ndarray):
+    """Merges concatenated sorted runs: of equal fingerprints the best rank stays, then the lowest home. many: of each entry, how many of `homes` hold it.
 
     numpy's stable sort of strings is a timsort, which finds the runs and merges them pairwise.
     """
     order = np.argsort(fps, kind="stable")
-    fps, best, home, copies = fps[order], best[order], home[order], copies[order]
+    holders = homes[expand((np.cumsum(many) - many)[order], many[order])]
+    fps, best, home, copies, many = fps[order], best[order], home[order], copies[order], many[order]
     starts = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1])))
     top = np.maximum.reduceat(best, starts)
     sizes = np.diff(np.append(starts, len(fps)))
     tied = np.where(best == np.repeat(top, sizes), home, np.iinfo(np.int32).max)
-    return fps[starts], top, np.minimum.reduceat(tied, starts), np.add.reduceat(copies, starts)
+    return fps[starts], top, np.minimum.reduceat(tied, starts), np.add.reduceat(copies, starts), np.add.reduceat(many, starts), holders
 
 
-def _local_runs(ranges: int, keep: str):
-    def run(batches):
-        import os
+def _cuts(fps: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(range of each stretch of sorted fingerprints, where the stretches begin and the last ends): ranges by the leading 4 bytes."""
+    lead = fps.view(np.uint8).reshape(-1, WIDTH)[:, :4].astype(np.uint64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint64)
+    rng = (lead * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], rng[1:] != rng[:-1], [True])))
+    return rng[cuts[:-1]], cuts
+
 
+def _local_runs(keep: str):
+    def run(batches):
         from pyspark import TaskContext
 
-        node = TaskContext.get().partitionId() if TaskContext.get() else os.getpid()
+        node = TaskContext.get().partitionId() if TaskContext.get() else 0
         tables = [pa.Table.from_batches([b]) for b in batches]
         if not tables:
             return
@@ -68,63 +77,87 @@ def _local_runs(ranges: int, keep: str):
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         rank = _rank(ids, keep)
         order = np.lexsort((~rank, raw))  # best first within equal fingerprints
-        raw = raw[order]
+        raw, rank, ids = raw[order], rank[order], ids.take(pa.array(order))
         starts = np.flatnonzero(np.concatenate(([True], raw[1:] != raw[:-1])))
         sizes = np.diff(np.append(starts, len(raw)))
-        fps, ids = raw[starts], ids.take(pa.array(order))
-        lead = fps.view(np.uint8).reshape(-1, WIDTH)[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-        rng = (lead * ranges) >> 32
-        cuts = np.flatnonzero(np.concatenate(([True], rng[1:] != rng[:-1], [True])))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            lo, hi = starts[a], starts[b] if b < len(starts) else len(raw)
+        fps, best, one = raw[starts], rank[starts], np.ones(len(starts), np.int32)
+        ends = np.append(starts, len(raw))
+        which, cuts = _cuts(fps, FIRST)
+        for r, a, b in zip(which.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            cols = [fps[a:b], best[a:b], node * one[a:b], sizes[a:b].astype(np.int64), one[a:b], node * one[a:b]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rng[a]], pa.int32()), pa.array([node], pa.int32()), pa.array([fps[a:b].tobytes()], pa.binary()), pa.array([rank[order][starts[a:b]].tolist()], pa.list_(pa.int64())), pa.array([[node] * (b - a)], pa.list_(pa.int32())), pa.array([sizes[a:b].tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids[lo:hi])],
-                ["rng", "node", "fps", "best", "home", "copies", "ids"],
+                [pa.array([r], pa.int64()), pa.array([node], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), pa.ListArray.from_arrays(pa.array([0, ends[b] - ends[a]], pa.int32()), ids[ends[a] : ends[b]])],
+                ["rng", "node", "fps", "best", "home", "copies", "many", "homes", "ids"],
             )
+        give_back()
 
     return run
 
 
-def _merged(t: pa.Table):
-    cat = lambda name, kind: np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in t[name]]).astype(kind)
-    return merge_runs(np.frombuffer(b"".join(t["fps"].to_pylist()), f"S{WIDTH}"), cat("best", np.int64), cat("home", np.int32), cat("copies", np.int64))
+_KINDS = {"fps": f"S{WIDTH}", "best": np.int64, "home": np.int32, "copies": np.int64, "many": np.int32, "homes": np.int32}
+
 
+def _columns(t: pa.Table) -> list[np.ndarray]:
+    """A run's arrays, those of several rows one behind the other."""
+    return [np.frombuffer(utf8(t[c])[0].tobytes(), kind) for c, kind in _KINDS.items()]
+
+
+def _round(fan_in: int, ranges: int):
+    """Merges the runs that meet and cuts the result into the next round's ranges."""
 
-def _round(fan_in: int):
     def merge(t: pa.Table) -> pa.Table:
-        fps, best, home, copies = _merged(t)
-        n = np.array([len(fps)])
-        return pa.table([t["rng"][:1], pa.array([t["node"][0].as_py() // fan_in], pa.int32()), pa.array([fps.tobytes()], pa.binary()), listed(best, n, pa.int64()), listed(home, n, pa.int32()), listed(copies, n, pa.int64())], names=["rng", "node", "fps", "best", "home", "copies"])
+        *run, holders = merge_runs(*_columns(t))
+        which, cuts = _cuts(run[0], ranges)
+        held = np.concatenate(([0], np.cumsum(run[4])))
+        many = np.diff(cuts)
+        cols = [binaries(x.astype(kind), many) for x, kind in zip(run, _KINDS.values())] + [binaries(holders, np.diff(held[cuts]))]
+        node = t["node"][0].as_py() // fan_in
+        return pa.table([pa.array(which), pa.array(np.full(len(many), node), pa.int32()), *cols], names=["rng", "node", *_KINDS])
 
     return merge
 
 
-def _answer(key, asked: pa.Table, run: pa.Table) -> pa.Table:
-    fps = np.frombuffer(run["fps"][0].as_py(), f"S{WIDTH}")
-    best, home, copies = (run[x][0].values.to_numpy(zero_copy_only=False) for x in ("best", "home", "copies"))
-    rows = [np.searchsorted(fps, np.frombuffer(x.as_py(), f"S{WIDTH}")) for x in asked["fps"]]
-    sizes, at = np.array([len(x) for x in rows]), np.concatenate(rows)
-    return pa.table([asked["rng"], asked["node"], listed(best[at], sizes, pa.int64()), listed(home[at], sizes, pa.int32()), listed(copies[at], sizes, pa.int64())], names=["rng", "node", "keep_best", "keep_home", "group"])
+_VERDICT = "node int, fps binary, best binary, home binary, copies binary"
+
+
+def _verdicts(batches):
+    """For each partition the final entries of its digests that others hold too."""
+    for b in batches:
+        fps, best, home, copies, many, holders = _columns(pa.Table.from_batches([b]))
+        shared = np.repeat(many > 1, many)
+        entry, node = np.repeat(np.arange(len(many)), many)[shared], holders[shared]
+        if not len(node):
+            continue
+        order = np.argsort(node, kind="stable")
+        entry, node = entry[order], node[order]
+        cuts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
+        yield pa.RecordBatch.from_arrays([pa.array(node[cuts[:-1]], pa.int32()), *(binaries(x[entry], np.diff(cuts)) for x in (fps, best, home, copies))], ["node", "fps", "best", "home", "copies"])
 
 
 def _expand(keep: str):
-    def rows(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                node, home = b["node"][i].as_py(), b["keep_home"][i].values.to_numpy()
-                best, group = b["keep_best"][i].values.to_numpy(), b["group"][i].values.to_numpy()
-                sizes, ids = b["copies"][i].values.to_numpy(), b["ids"][i].values
-                fps = np.frombuffer(b["fps"][i].as_py(), np.uint8).reshape(-1, WIDTH)
-                none = best == np.iinfo(np.int64).min
-                keep_id = pa.array(best if keep == "max" else ~best, mask=none)
-                of = np.repeat(np.arange(len(sizes)), sizes)
-                first = np.zeros(len(of), bool)
-                first[np.cumsum(sizes) - sizes] = True
-                own = _rank(ids, keep)
-                kept = first & (home == node)[of] & (own == best[of])
-                at = pa.array(of)
-                hexes = pa.array([x.tobytes().hex() for x in fps[:, :32]])
-                yield pa.RecordBatch.from_arrays([ids, keep_id.take(at), pa.array(group[of]), pa.array(kept), hexes.take(at), pa.array([x.tobytes() for x in fps], pa.binary()).take(at)], ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "fp"])
+    """A partition's rows with the verdicts: those that came back, else its own."""
+
+    def rows(key, local: pa.Table, told: pa.Table) -> pa.Table:
+        node = key[0].as_py()
+        fps, best, home, copies, _, _ = _columns(local)
+        ids = pa.concat_arrays([x.values for x in local["ids"]]) if len(local) else pa.array([], pa.int64())
+        sizes, best, home, group = copies, best.copy(), home.copy(), copies.copy()
+        if len(told) and len(local):
+            got = [np.frombuffer(utf8(told[c])[0].tobytes(), _KINDS[c]) for c in ("fps", "best", "home", "copies")]
+            order = np.argsort(fps, kind="stable")
+            at = order[np.searchsorted(fps[order], got[0])]
+            best[at], home[at], group[at] = got[1:]
+        none = best == np.iinfo(np.int64).min
+        keep_id = pa.array(best if keep == "max" else ~best, mask=none)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.zeros(len(of), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        own = _rank(ids, keep)
+        kept = first & (home == node)[of] & (own == best[of])
+        at = pa.array(of)
+        whole = fps.view(np.uint8).reshape(-1, WIDTH)
+        hexes = pa.array([x.tobytes().hex() for x in whole[:, :32]], pa.string())
+        return pa.table([ids, keep_id.take(at), pa.array(group[of]), pa.array(kept), hexes.take(at), pa.array([x.tobytes() for x in whole], pa.binary()).take(at)], names=["doc_id", "keep_id", "group_size", "kept", "text_sha256", "fp"])
 
     return rows
 
@@ -141,19 +174,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         raise ValueError("keep must be 'min' or 'max'")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     prints = df.select(F.col(id_col).cast("long").alias("_id"), fingerprint(text).alias("fp"))
-    ranges = 1 + df.select(id_col).count() // RANGE_ROWS
-    local = settle(prints.mapInArrow(_local_runs(ranges, keep), f"{_RUN}, ids array<long>"), "digest-runs")
-    nodes = (local.agg(F.max("node")).first()[0] or 0) + 1
-    runs = local.select("rng", "node", "fps", "best", "home", "copies")
+    local = settle(prints.mapInArrow(_local_runs(keep), f"{_RUN}, ids array<long>"), "digest-runs")
+    nodes, ranges = (local.agg(F.max("node")).first()[0] or 0) + 1, FIRST
+    runs = local.drop("ids")
     while True:
-        runs = runs.groupBy("rng", (F.col("node") / fan_in).cast("int").alias("up")).applyInArrow(_round(fan_in), _RUN)
+        ranges = min(ranges * fan_in, 1 << 31)
+        runs = runs.groupBy("rng", (F.col("node") / fan_in).cast("int").alias("up")).applyInArrow(lean(_round(fan_in, ranges)), _RUN)
         nodes = -(-nodes // fan_in)
         if nodes <= 1:
             break
-    asked = local.select("rng", "node", "fps")
-    verdict = asked.groupBy("rng").cogroup(runs.groupBy("rng")).applyInArrow(_answer, "rng int, node int, keep_best array<long>, keep_home array<int>, group array<long>")
-    joined = local.select("rng", "node", "fps", "copies", "ids").join(verdict, ["rng", "node"])
-    return joined.mapInArrow(_expand(keep), "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, fp binary")
+    told = runs.mapInArrow(_verdicts, _VERDICT)
+    return local.groupBy("node").cogroup(told.groupBy("node")).applyInArrow(lean(_expand(keep)), "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, fp binary")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
