@@ -11,7 +11,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandmatrix.llm.common import WordCache, keep_caches, plain_lines, texts
+from strandmatrix.llm.common import WordCache, keep_caches, plain_lines, sliced, texts
 
 _BITS = 8  # bits of a rank within a word of the bitmap
 _LOW = (1 << _BITS) - 1
@@ -183,19 +183,23 @@ def load(path: str, pattern: str) -> BytePairs:
 
 
 class TextEncoder:
-    """BytePairs over whole texts, with what words gave before at hand."""
+    """BytePairs over whole texts, with what words gave before at hand.
+
+    That words may be split one by one is known of the public pattern only; with any other, whole texts are.
+    """
 
     def __init__(self, pairs: BytePairs):
         self.pairs = pairs
-        self.piece = WordCache(lambda p: tuple(pairs.merge(p.encode())), 800_000)
-        self.first, self.next = WordCache(self.pieces), WordCache(lambda w: self.pieces(" " + w), 400_000)
+        self.piece = WordCache(lambda p: tuple(pairs.merge(p.encode())), 80 << 20)
+        self.first, self.next = WordCache(self.pieces, 24 << 20), WordCache(lambda w: self.pieces(" " + w), 56 << 20)
         self.newline = self.pieces("\n")
+        self.by_words = pairs.pattern.pattern == vocabulary()[1]
 
     def pieces(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.piece.__getitem__, self.pairs.pattern.findall(text))))
 
     def __call__(self, text: str) -> list[int]:
-        lines = plain_lines(text) if text else []
+        lines = (plain_lines(text) if self.by_words else None) if text else []
         if lines is None:
             return list(self.pieces(text))
         parts, get = [], self.next.__getitem__
@@ -240,14 +244,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode()'s output, taken where it is made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode()'s output, taken where it is made; its cases are encode()'s. Other columns are not read."""
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
 
     def rows(batches):
         with keep_caches():
             enc = _encoder(path, pattern)
             names = [str(i) for i in range(len(enc.pairs.tokens))]
-            for b in batches:
+            for b in sliced(batches):
                 n, a, d = [], [], []
                 for text in b[1].to_pylist():
                     ids = enc(text)

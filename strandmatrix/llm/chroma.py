@@ -264,7 +264,7 @@ def match(df: DataFrame, id_col: str, media_col: str, query: F.Column, s: Settin
     members: (rec_id, n_prints, class_id, is_query), one row for each input row; recordings with equal fingerprints are one class, named by its
     smallest id (one too short for integers is classed by equal samples, one without samples has its own id; null ids come last). pairs: (query_class, class_id, offset, frames, bit_error) for
     each other class that shares at least s.hits pairs of integers with a query's class at an offset, over s.overlap frames, with at most
-    s.errors of the bits differing; of several such offsets the one with the smallest share of them (then the longest, then the smallest). `query` is a condition on rec_id. Empty in, empty out.
+    s.errors of the bits differing; of several such offsets the one with the smallest share of them (then the longest, then the smallest). `query` is a condition on rec_id. Recordings count whole, whatever their length; other columns are not read. Empty in, empty out.
     """
     raw = settle(fingerprints(df, id_col, media_col, s, samples).withColumn("is_query", F.coalesce(query, F.lit(False))), "prints")
     has = raw.where("fp is not null")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import WordCache, keep_caches, texts
+from strandmatrix.llm.common import WordCache, keep_caches, sliced, texts
 from strandmatrix.llm.quality import crc32_text
 
 UNKNOWN = "und"
@@ -158,14 +158,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row for each input row, without a shuffle.
 
-    A null text, or one without letters, is `und` with score 0; so is every text if nothing was learned. Identifiers may repeat or be null.
+    A null text, or one without letters, is `und` with score 0; so is every text if nothing was learned. Texts count whole, whatever their length; of
+    languages with equal shares the first in order of name is predicted. Identifiers may repeat or be null; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def rows(batches):
         with keep_caches():
             one = sent.value.predictor()
-            for b in batches:
+            for b in sliced(batches):
                 got = [one(t) for t in b[1].to_pylist()]
                 yield pa.RecordBatch.from_arrays([b[0], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 

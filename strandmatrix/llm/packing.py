@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import texts
+from strandmatrix.llm.common import settle, sliced, texts
 
 WINDOW = 1024
-#: Rows that one task packs together: so many that few of its windows stay open.
+#: Rests that one task packs together: so many that few of its windows stay open.
 GROUP_ROWS = 40_000
+#: Numbers of the sequences that hold one full window begin here; those of groups of rests lie below.
+FULL = 1 << 62
 
 
 class CapacityTree:
@@ -143,7 +145,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end: int, windo
 
     def rows(batches):
         hub, tail = _hub(path), np.array([end], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             out = [], [], [], [], []
             for doc, ids in zip(b[0].to_pylist(), hub.batch(b[1].to_pylist())):
                 ids += tail
@@ -161,17 +163,19 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece.
 
     A text's ids (null: an empty text) and the end id are cut into full windows, each a
-    sequence by itself, and a rest. Rests are dealt into groups of about GROUP_ROWS by hash and
+    sequence by itself where it was made, and a rest. Rests are dealt into groups of about GROUP_ROWS by hash and
     packed by best-fit decreasing within a group: every sequence holds at most `window` ids, gapless from 0.
-    Repeated rows and null identifiers are packed like others; an empty table gives an empty result.
+    Repeated rows and null identifiers are packed like others, texts of any length are cut; an empty table gives an empty result. Other columns are not read.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    groups = 1 + df.select(id_col).count() // GROUP_ROWS
-    cut = pieces(df, id_col, text_col, path, end, window)
-    dealt = cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32"), F.lit(groups)).cast("int"))
+    cut = settle(pieces(df, id_col, text_col, path, end, window), "pieces")
+    full = cut.where(F.col("length") == window).select("*", (F.lit(FULL) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = cut.where(F.col("length") < window)
+    groups = 1 + rests.count() // GROUP_ROWS
+    dealt = rests.withColumn("_g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32"), F.lit(groups)).cast("int"))
 
     def place(t: pa.Table) -> pa.Table:
         order = np.lexsort([t[c].to_numpy() for c in ("ids_crc32", "start")] + [t["doc_id"].fill_null(0).to_numpy()])
@@ -181,4 +185,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         base = t["_g"][0].as_py() << 32
         return t.drop_columns(["_g"]).append_column("sequence_id", pa.array(base + which)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("_g").applyInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return full.unionAll(dealt.groupBy("_g").applyInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

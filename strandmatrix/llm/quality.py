@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.llm.common import WordCache, keep_caches, texts
+from strandmatrix.llm.common import WordCache, keep_caches, sliced, texts
 
 
 @dataclass(frozen=True)
 class Settings:
     """max_docs and max_bytes bound the labelled sample that is fitted, whatever the table's size.
 
-    Rows come in the order of a hash of their id. A sampled text over max_chars is left out of fitting (never out of scoring).
+    Rows come in the order of a hash of their id, of those whose text has at most max_chars (longer ones are scored like others).
     """
 
     max_docs: int = 6000
@@ -58,7 +58,7 @@ def _pseudo(words: list[str]) -> list[tuple[str, int]]:
 
 def features(text: str, s: Settings, cache: WordCache | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights summing to 1) of a text."""
-    cache = cache if cache is not None else WordCache(lambda w: word_features(w, s), 50_000)
+    cache = cache if cache is not None else WordCache(lambda w: word_features(w, s))
     words = text.split()
     flat = [b for w in words for b in cache[w]]
     for w, times in _pseudo(words):
@@ -97,14 +97,20 @@ class Model:
 
 
 def train(rows: list[tuple[str, int]], s: Settings = Settings()) -> Model:
-    """SGD over (text, 0/1) pairs, one text a step, the rate falling to 0. Without both labels scores are the share of 1s."""
+    """A model of (text, 0/1) pairs: the trained vectors folded into a number a feature."""
+    table, out, bias = vectors(rows, s)
+    return Model(s, (table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+
+
+def vectors(rows: list[tuple[str, int]], s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector of each bucket, output layer, its bias) by SGD, one text a step, the rate falling to 0. Without both labels all vectors are zero, and scores the share of 1s."""
     rng = np.random.default_rng(s.seed)
     labels = np.array([y for _, y in rows], np.int64)
     share = (labels.sum() + 1) / (len(labels) + 2)
     prior = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
-        return Model(s, np.zeros(s.buckets, np.float32), prior)
-    cache = WordCache(lambda w: word_features(w, s), 50_000)
+        return np.zeros((s.buckets, s.dim), np.float32), np.zeros((2, s.dim), np.float32), np.array([0, prior], np.float32)
+    cache = WordCache(lambda w: word_features(w, s))
     data = [features(t, s, cache) for t, _ in rows]
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out, bias = np.zeros((2, s.dim), np.float32), np.array([0, prior], np.float32)
@@ -123,7 +129,7 @@ def train(rows: list[tuple[str, int]], s: Settings = Settings()) -> Model:
             out -= rate * np.outer(p, h)
             bias -= 0.1 * rate * p
             table[ids] -= (rate * len(ids) ** 0.5) * np.outer(w, back)
-    return Model(s, (table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    return table, out, bias
 
 
 def crc32_text(column: F.Column) -> F.Column:
@@ -133,8 +139,9 @@ def crc32_text(column: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Trains on a bounded sample of labelled rows outside the held-out fold. Null labels and ids do not take part; of an id's several labels the lowest counts."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").where(F.pmod(crc32_text(F.col("_id")), F.lit(folds)) != held_out)
-    picked = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id", F.lit(s.seed)), "_id").limit(s.max_docs)
     d = texts(docs, id_col, text_col).where(F.col("_id").isNotNull() & (F.length("_text") <= s.max_chars))
+    one = known.groupBy("_id").agg(F.min("_y").alias("_y")).join(d.select("_id"), "_id", "left_semi")
+    picked = one.orderBy(F.xxhash64("_id", F.lit(s.seed)), "_id").limit(s.max_docs)
     rows = d.join(F.broadcast(picked), "_id").select("_id", "_text", "_y").collect()  # at most max_docs rows of max_chars
     return train([(r._text, r._y) for r in sorted(rows, key=lambda r: (r._id, r._text))], s)
 
@@ -142,14 +149,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each input row, without a shuffle.
 
-    Null counts as empty; an empty text has the score of the pseudo-word for it. Identifiers may repeat or be null (fold of the empty string).
+    Null counts as empty; an empty text has the score of the pseudo-word for it. Texts count whole, whatever their length. Identifiers may
+    repeat or be null (fold of the empty string); other columns are not read. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def rows(batches):
         with keep_caches():
             one = sent.value.scorer()
-            for b in batches:
+            for b in sliced(batches):
                 yield pa.RecordBatch.from_arrays([b[0], pa.array([one(t) for t in b[1].to_pylist()], pa.float64())], ["doc_id", "score"])
 
     got = texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, score double")
@@ -164,7 +172,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     def rows(batches):
         with keep_caches():
             one = sent.value.scorer()
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([one(t or "") >= threshold for t in b[at].to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(rows, schema)
