@@ -13,6 +13,7 @@ outweighs the rest of the page by far.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -29,6 +30,8 @@ FURNITURE = frozenset("aside form fieldset search".split())
 HARD = frozenset("nav footer button menu dialog label".split())
 IMPLIED = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 STOPS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
+#: A paragraph outside of the innermost of these stays open when a block begins in it.
+HOLDS = ("td", "th", "li", "div", "article", "section", "main", "body")
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 GROUPS = frozenset("ul ol dl menu table div section article main body center".split())
 SIDE = frozenset("div center".split())
@@ -40,8 +43,14 @@ MARKS = frozenset("ad ads advert adverts advertisement adsense banner sponsor sp
 #: Words that may stand beside them in one name, as in ad-slot; any other word makes it another name, as in search-results.
 BESIDE = frozenset("site page top bottom left right list item items box bar block slot unit link links button buttons posts icons".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Those that on a paragraph, heading or table of an article rather say what it is about.
+TOPICS = frozenset("search form alert notice header footer menu dialog toolbar widget banner overlay login hidden".split())
+PROSE = TITLES | frozenset("p table tbody thead tr td th caption blockquote pre figure figcaption li dt dd em strong b i span code".split())
+
+#: A name, then perhaps = and a value; a quote opens a value only right after =.
+_ONE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+"""
+_ATTR = re.compile(_ONE)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ONE.replace('(', '(?:').replace('(?:?:', '(?:')})*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.,;:!?。，،]")
 
@@ -82,14 +91,14 @@ class Node:
     marks: int = 0
 
 
-def _marked(tag: str, attrs: str) -> int:
+def _marked(tag: str, attrs: str, main: bool) -> int:
     if tag in HARD:
         return 2
     if tag in FURNITURE:
         return 1
     if not attrs or tag in ("html", "body", "article", "main"):
         return 0
-    soft = 0
+    soft, names = 0, MARKS - TOPICS if main and tag in PROSE else MARKS
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -97,10 +106,10 @@ def _marked(tag: str, attrs: str) -> int:
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
                 return 2
-        else:
+        elif name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _NAMES.findall(token)]
-                if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+                if any(w in names for w in words) and all(w in names or w in BESIDE for w in words):
                     soft = 1
     return soft
 
@@ -109,18 +118,27 @@ def blocks(html: str) -> tuple[list[Node], list[Element]]:
     """Text nodes, one a block, in page order, and the elements, parents first; number 0 is the page.
 
     Unclosed elements end with their parent, the head where something else begins, end tags without a start are skipped, a paragraph ends where a block begins.
+    No step looks through the open elements one by one, so the time is linear whatever is left open.
     """
     stack: list[tuple[str, int]] = []  # tag, number
+    places: dict[str, list[int]] = {}  # of each open tag, where on the stack
+    walls: list[int] = []  # where open blocks are
     tree = [Element("")]
     paths: dict[tuple[int, str], int] = {}
     out: list[Node] = []
-    node, at, anchors, size = None, 0, 0, len(html)
+    node, at, size = None, 0, len(html)
     low = None
+    anchors = places.setdefault("a", [])
+
+    def last(tags) -> int:
+        return max([places[t][-1] for t in tags if places.get(t)], default=-1)
 
     def pop_to(i: int) -> None:
-        nonlocal anchors
-        anchors -= sum(x[0] == "a" for x in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in BLOCK:
+                walls.pop()
 
     def put(raw: str) -> None:
         nonlocal node
@@ -128,7 +146,7 @@ def blocks(html: str) -> tuple[list[Node], list[Element]]:
             if not raw.strip():
                 return
             if stack and stack[-1][0] == "head":
-                stack.pop()
+                pop_to(len(stack) - 1)
             e = stack[-1][1] if stack else 0
             node = Node(e, tree[e].path)
             out.append(node)
@@ -151,12 +169,9 @@ def blocks(html: str) -> tuple[list[Node], list[Element]]:
         if m[1]:
             if tag in BLOCK:
                 node = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            here = last((tag,))
+            if here >= 0 and (tag in BLOCK or not walls or here > walls[-1]):
+                pop_to(here)
             continue
         if tag in RAW:
             low = html.lower() if low is None else low
@@ -171,32 +186,25 @@ def blocks(html: str) -> tuple[list[Node], list[Element]]:
                 node.parts.append(" ")
             continue
         if stack and stack[-1][0] == "head" and tag not in VOID:
-            stack.pop()
+            pop_to(len(stack) - 1)
         if tag in BLOCK:
             node = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] in ("td", "th", "li", "div", "article", "section", "main", "body"):
-                    break
+            if (here := last(("p",))) > last(HOLDS):
+                pop_to(here)
             if tag in IMPLIED:
-                closes, stops = IMPLIED[tag].split(), STOPS[tag].split()
-                first = None
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stops:
-                        break
-                    if stack[i][0] in closes:
-                        first = i
-                if first is not None:
-                    pop_to(first)
+                stop = last(STOPS[tag].split())
+                closed = [places[t][i] for t in IMPLIED[tag].split() if t in places and (i := bisect_right(places[t], stop)) < len(places[t])]
+                if closed:
+                    pop_to(min(closed))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         up = stack[-1][1] if stack else 0
         of, e = tree[up], len(tree)
-        mark = _marked(tag, m[3]) or int(tag == "header" and not of.main)
+        mark = _marked(tag, m[3], bool(of.main)) or int(tag == "header" and not of.main)
         tree.append(Element(tag, up, paths.setdefault((of.path, tag), len(paths) + 1), e if tag in ("article", "main") else of.main, e if tag in GROUPS else of.group, tag in TITLES or of.title and tag not in BLOCK, mark))
-        anchors += tag == "a"
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            walls.append(len(stack))
         stack.append((tag, e))
     return out, tree
 
