@@ -71,6 +71,25 @@ def test_components(spark, monkeypatch, seed, size, percent, giant):
     assert sorted(map(tuple, got), key=repr) == brute(rows, size, percent)
 
 
+def test_small_sets_with_common_shingles(spark):
+    """Many sets of 5 to 40 shingles that share frequent phrases, one very long text, and columns named as those made inside."""
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(9)) for i in range(4)]
+    rows = []
+    for i in range(220):
+        words = " ".join([rng.choice(phrases)] + [f"x{rng.randrange(60)}" for _ in range(rng.randrange(32))] + [rng.choice(phrases)] * rng.randrange(2)).split()
+        rows.append((2 * i, " ".join(words)))
+        words[rng.randrange(len(words))] = rng.choice(["other", words[-1]])
+        rows.append((2 * i + 1, " ".join(words[: len(words) - rng.randrange(2)])))
+    rows.append((1000, " ".join(f"w{i % 7000}" for i in range(200_000))))
+    rows.append((1001, rows[-1][1] + " more"))
+    df = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "doc_id long, text string, _text string, node string, component_id int").repartition(3)
+    got = J.near_duplicates(df, shingle=5, percent=80).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 5, 80)
+    keys = [len(J.sketch_keys(x, 80)) for x in (np.unique(np.random.default_rng(i).integers(0, 1 << 64, 30, np.uint64)) for i in range(50))]
+    assert np.mean(keys) < 30
+
+
 def test_sketch_pigeonhole():
     """Every pair of similar sets shares a key, at sizes small and large."""
     rng = np.random.default_rng(4)

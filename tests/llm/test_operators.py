@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -26,7 +27,7 @@ def frame(spark, rows, schema="doc_id long, text string"):
 @pytest.mark.parametrize("keep", ["min", "max"])
 @pytest.mark.parametrize("fan_in", [2, 8])
 def test_exact(spark, monkeypatch, keep, fan_in):
-    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 40)
+    monkeypatch.setattr(exact_dedup, "FIRST", 3)
     rng = random.Random(fan_in)
     rows = [(i, rng.choice(["same", "b", "", None, f"u{i}", "x" * 5000])) for i in range(150)] + [(None, "same"), (None, "only"), (None, "only"), (3, "twice"), (3, "twice"), (-5, "b")]
     got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), keep=keep, fan_in=fan_in).collect()
@@ -48,6 +49,23 @@ def test_exact_rows(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).collect() == [] and exact_dedup.drop_copies(df.limit(0)).collect() == []
 
 
+def test_runs_stay_long():
+    """Whatever the table's size: a run is cut into few ranges, and merged ones into as many as went in."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    made = []
+    for part in range(16):
+        fp = [rng.bytes(exact_dedup.WIDTH) for _ in range(4000)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(fp, pa.binary())], ["_id", "fp"])
+        made += [b.drop_columns(["ids"]) for b in exact_dedup._local_runs("min")(iter([batch]))]
+    sizes = [len(b["fps"][0].as_py()) // exact_dedup.WIDTH for b in made]
+    assert min(sizes) > 100 and sum(sizes) == 16 * 4000
+    merged = [exact_dedup._round(8, 64)(pa.Table.from_batches([made[i] for i in range(r, 64, 8)])) for r in range(8)]
+    sizes = [len(x.as_py()) // exact_dedup.WIDTH for t in merged for x in t["fps"]]
+    assert min(sizes) > 100 and sum(sizes) == 8 * 4000 and max(sizes) < 1000
+
+
 # byte-level BPE
 
 
@@ -153,9 +171,83 @@ def test_ids_equal_the_library(tmp_path):
     assert other.ranked is None and all(other(t).tolist() == lib.encode(t, add_special_tokens=False).ids for t in texts if t)
 
 
+def test_full_windows_stay_where_they_are(spark):
+    rows = [(1, "the " * 5000), (2, "short"), (None, "the " * 1023)]
+    got = packing.pack(frame(spark, [(*r, 1, 2, "x") for r in rows], "doc_id long, text string, length int, _g int, offset string")).collect()
+    full = [r for r in got if r.length == packing.WINDOW]
+    assert full and all(r.offset == 0 and r.sequence_id >= packing.FULL for r in full) and len({r.sequence_id for r in full}) == len(full)
+    assert all(r.sequence_id < packing.FULL for r in got if r.length < packing.WINDOW)
+
+
+@pytest.mark.parametrize("op", ["bpe", "packing", "langid", "quality", "exact"])
+def test_very_long_texts_repeats_and_clashing_columns(spark, op):
+    """One text of a million words beside small ones, repeated rows, ties, and columns named as those made inside: a row each."""
+    long = "the of and " * 330_000
+    rows = [(1, long, "en"), (2, "x", "en"), (2, "x", "en"), (3, None, None), (None, "the", "en")]
+    df = spark.createDataFrame([(*r, "a", "b", 1, 2, 3) for r in rows], "doc_id long, text string, lang string, _text string, _id string, score int, n_tokens int, start int")
+    if op == "bpe":
+        got = sorted((r.doc_id or 0, r.n_tokens) for r in bpe.digests(df).collect())
+        assert got[0][1] > 0 and [n for d, n in got if d == 3] == [0] and [n for d, n in got if d == 1][0] >= 900_000
+    elif op == "packing":
+        got = packing.pack(df).collect()
+        assert sum(r.length for r in got if r.doc_id == 1) == next(r.doc_tokens for r in got if r.doc_id == 1) and sorted(r.doc_id or 0 for r in got if r.doc_id != 1) == [0, 2, 2, 3]
+    elif op == "langid":
+        got = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.train([("the of and", "en"), ("der die das", "de")])).collect()}
+        assert got == {1: "en", 2: got[2], 3: "und", None: "en"}
+    elif op == "quality":
+        got = quality.score(df, quality.train([("the of", 1), ("bad", 0)] * 10)).collect()
+        assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    else:
+        got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()}
+        assert got == {(1, 1, 1), (2, 2, 2), (3, 3, 1), (None, None, 1)}
+
+
 # learned models
 
 
+def test_scores_equal_unfolded_vectors():
+    """Folding changes nothing: the mean of a text's vectors through the softmax layer, by hand."""
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice(["good", "fine", "text,", "Words"] if y else ["BAD!!", "buy", "now", "text,"]) for _ in range(rng.randrange(1, 30))), y) for y in (0, 1) * 60]
+    s = quality.Settings(buckets=1 << 10)
+    table, out, bias = quality.vectors(rows, s)
+    one = quality.train(rows, s).scorer()
+    for text, _ in [*rows, ("", 0), ("new words here", 0), ("buy " * 3000, 0)]:
+        ids, w = quality.features(text, s)
+        z = out @ sum(x * table[i].astype(np.float64) for i, x in zip(ids, w)) + bias
+        assert one(text) == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), abs=1e-4)
+
+
+def test_sample_comes_from_texts_that_qualify(spark):
+    docs = frame(spark, [(i, "good text" if i % 2 else "bad stuff") for i in range(40)] + [(100 + i, "w" * 50) for i in range(200)])
+    labels = frame(spark, [(i, i % 2) for i in range(40)] + [(100 + i, 0) for i in range(200)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, s=quality.Settings(max_docs=40, max_chars=20))
+    one = model.scorer()
+    assert one("good text") > 0.6 > 0.4 > one("bad stuff")
+
+
+def test_language_against_plain_sets():
+    """The filter's shares, corrected, against those of plain sets of n-grams."""
+    rng = random.Random(10)
+    vocab = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(60)] for lang, letters in (("a", "abcdefg"), ("b", "efghijk"), ("c", "abxyz"))}
+    rows = [(" ".join(rng.choice(w) for _ in range(20)), lang) for lang, w in vocab.items() for _ in range(30)]
+    s = langid.Settings(max_docs=30, min_docs=3)
+    one = langid.train(rows, s).predictor()
+    sets = {}
+    for lang in vocab:
+        count = defaultdict(int)
+        for t in (t for t, x in rows if x == lang):
+            for g in {g for w in langid.letters(t) for g in langid.ngrams(w, s.ngrams)}:
+                count[g] += 1
+        sets[lang] = {g for g, n in count.items() if n >= 3}
+    for text in [t for t, _ in rows] + [" ".join(rng.choice(sum(vocab.values(), [])) for _ in range(9)) for _ in range(100)]:
+        grams = [g for w in langid.letters(text) for g in langid.ngrams(w, s.ngrams)]
+        share = sorted(((sum(g in x for g in grams) / len(grams), lang) for lang, x in sets.items()), reverse=True)
+        lang, score = one(text)
+        assert score == pytest.approx(0.5 + (share[0][0] - share[1][0]) / 2, abs=0.01)
+        assert lang == share[0][1] or share[0][0] - dict((y, x) for x, y in share)[lang] < 0.01
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_quality_and_language_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -283,6 +375,96 @@ def test_broken_pages(page):
     assert "q" not in text or page == "plain words"
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div class='layout no-sidebar'><article><p>{LONG}</p></article></div>", ["LONG"]),
+        (f"<article><p>LONG, it is.</p><p title='the hidden valley'>{LONG}</p></article>", ["LONG, it is.", "LONG"]),
+        ("<article><p data-class='ad' data-x=hidden>One line, of text.</p></article>", ["One line, of text."]),
+        ("<article><p>Some <a title='5' tall\">x</a>, and words.</p></article>", ["Some x, and words."]),
+        ("<article><p data-x=it's>Hello there.</p><p>And it's two.</p></article>", ["Hello there.", "And it's two."]),
+        ("<article><p class=search>Of search.</p><table class=form><tr><td>Form, of a kind.</table><p class='alert'>An alert.</p><div class='entry-header'><h1>Head</h1></div></article>", ["Of search.", "Form, of a kind.", "An alert.", "Head"]),
+    ],
+)
+def test_attributes_lose_no_text(body, want):
+    assert extracted(body) == want
+
+
+@pytest.mark.parametrize("page", ["<b>" * 330_000 + "x", "<i><div>" + "<b></i>" * 150_000 + "x", "<p><div>" * 100_000 + "x", "<li>" * 250_000 + "x", "<a href='" + "<p " * 300_000, "<div a=" * 140_000, "<table><tr><td>" * 70_000 + "x", "</p>" * 250_000 + "x"])
+def test_a_megabyte_of_open_tags(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 20
+
+
+def test_path_table_against_brute_force():
+    """Ratios of every tag path, smoothed and fused, from a parse by the standard library."""
+    from html.parser import HTMLParser
+
+    rng = random.Random(4)
+    words = ["alpha", "beta,", "gamma.", "delta", "one; two", "three!"]
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "<p>" + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) + "</p>"
+        tag = rng.choice(["div", "section", "blockquote"])
+        return f"<{tag}>" + "".join(some(depth - 1) for _ in range(rng.randrange(1, 4))) + f"</{tag}>"
+
+    class Paths(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.table = [], {}
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            row = self.table.setdefault(tuple(self.stack), [0, 0, 0])
+            row[0] += len(data)
+            row[1] += sum(data.count(c) for c in ".,;:!?")
+            row[2] += 1
+
+    for _ in range(20):
+        page = "<body>" + "".join(some(4) for _ in range(4)) + "</body>"
+        brute, s = Paths(), html_extract.Settings()
+        brute.feed(page)
+        nodes, tree = html_extract.blocks(page)
+        for n in nodes:
+            n.text = "".join(n.parts)
+            n.marks = len(html_extract._SENTENCE.findall(n.text))
+        names = {}
+        for e in tree[1:]:
+            names[e.path] = (*names.get(tree[e.parent].path, ()), e.tag)
+        got = html_extract.ratios(nodes, tree, s)
+        rows = list(brute.table.values())
+        for i, (path, (chars, marks, count)) in enumerate(brute.table.items()):
+            number = next(k for k, v in names.items() if v == path)
+            assert got.raw[number] == pytest.approx((chars / count * (marks + 1) / count) ** 0.5)
+            near = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows)]
+            fused = 1.0
+            for own, others in ((chars / count, [c / n for c, _, n in near]), ((marks + 1) / count, [(m + 1) / n for _, m, n in near])):
+                fused *= own if not others else own + s.smooth * max(0, sum(others) / len(others) - own)
+            assert got.fused[number] == pytest.approx(fused**0.5)
+
+
+def test_the_ratio_step_chooses(monkeypatch):
+    """With all ratios equal, boxes of fragments pass for content."""
+    fragments = "<div><span>Buy now</span></div><div><span>On sale</span></div>"
+    page = f"<article><p>{LONG}</p><p>{LONG}</p>{fragments}</article>"
+    assert extracted(page) == ["LONG", "LONG"]
+    monkeypatch.setattr(html_extract, "fuse", lambda chars, marks, nodes: 1.0)
+    assert extracted(page) != ["LONG", "LONG"]
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "a", 2, "b"), (1, "u", PAGE, "a", 2, "b"), (None, None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long, _html string")
+    got = sorted(((r.page_id or 0, r.n_chars) for r in html_extract.extract_pages(df).collect()))
+    assert got == [(0, 0), *[(1, len(html_extract.extract(PAGE)))] * 2]
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = html_extract.extract_pages(df).collect()
@@ -333,8 +515,9 @@ def test_match_against_brute_force(spark):
     for q in (q for q, is_query in reps.items() if is_query):
         for r in reps:
             n = defaultdict(int)
-            for i, x in enumerate(own[q][0]):
-                for j in np.flatnonzero((own[r][0] == x) & own[r][1]) if own[q][1][i] else ():
+            (a, heard), (b, there) = own[q], own[r]
+            for i in range(len(a) - 1):
+                for j in np.flatnonzero((b[:-1] == a[i]) & (b[1:] == a[i + 1]) & there[:-1] & there[1:]) if heard[i] and heard[i + 1] else ():
                     n[int(j) - i] += 1
             if q != r and n and max(n.values()) >= s.hits:
                 o = min(o for o, c in n.items() if c == max(n.values()))
@@ -354,10 +537,10 @@ def test_every_offset_with_hits_is_tried(spark, monkeypatch):
     s = chroma.Settings()
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 32, 40, dtype=np.uint64).astype("<u4")
-    # the first four integers also stand where the rest differs, with as many hits as the true place has
+    # the first five integers also stand where the rest differs, with as many hits as the true place has
     near = x.copy()
-    near[4:] ^= np.uint32(1)
-    y = np.concatenate((x[:4], rng.integers(0, 1 << 32, 46, dtype=np.uint64).astype("<u4"), near))
+    near[5:] ^= np.uint32(1)
+    y = np.concatenate((x[:5], rng.integers(0, 1 << 32, 45, dtype=np.uint64).astype("<u4"), near))
     table = {0.0: x, 1.0: y}
     df = spark.createDataFrame([(50, 0.0), (1, 1.0)], "rec_id long, media double")
 
@@ -375,22 +558,43 @@ def test_short_turns_have_prints_and_classes(spark, tmp_path):
 
     rng = random.Random(5)
     words = [f"w{rng.randrange(5000)}" for _ in range(60)]
-    turns = {(50, 0): words[:4], (1, 0): words[:4], (50, 1): words[20:30], (2, 0): words[20:29] + ["other"], (3, 0): words[10:50], (4, 0): ["hi", "you"], (5, 0): ["hi", "you"], (6, 0): ["hi", "they"], (7, 0): []}
+    turns = {(50, 0): words[:5], (1, 0): words[:5], (50, 1): words[20:32], (2, 0): words[20:31] + ["other"], (3, 0): words[10:50], (4, 0): ["hi", "you"], (5, 0): ["hi", "you"], (6, 0): ["hi", "they"], (7, 0): []}
     spark.createDataFrame([(c, t, " ".join(w)) for (c, t), w in turns.items()], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.rec_id >> 32, r.rec_id & 7): r for r in queries.op5_chroma_prints(spark, str(tmp_path)).collect()}
-    assert all(got[k].n_prints >= chroma.Settings().overlap for k, w in turns.items() if len(w) >= 4)
+    assert all(got[k].n_prints >= chroma.TURN.overlap for k, w in turns.items() if len(w) >= 5)
     assert got[50, 0].class_id == got[1, 0].class_id == got[1, 0].rec_id
     assert got[4, 0].class_id == got[5, 0].class_id == got[4, 0].rec_id != got[6, 0].class_id
     assert got[2, 0].best_query == got[3, 0].best_query == got[50, 1].rec_id and got[7, 0].class_id == got[7, 0].rec_id
 
 
 def test_integral_image_equals_direct_sums():
-    image = np.random.default_rng(1).random((30, 12)).astype(np.float32)
+    image = np.random.default_rng(1).integers(0, 9000, (30, 12))
     wide = np.concatenate((image, image), 1)
     kind, p, h, w = chroma.filters()[0]
     assert kind == 1
     got, _ = chroma.prints(image)
     gray = np.array([0, 1, 3, 2])
     for t in range(len(got)):
-        a, b = wide[t : t + w, p : p + h // 2].sum(), wide[t : t + w, p + h // 2 : p + h].sum()
-        assert int(got[t]) >> 30 == gray[np.digitize(np.log((a + 0.02) / (b + 0.02)), chroma.THRESHOLDS)]
+        a, b = wide[t : t + w, p : p + h // 2].sum() + chroma.FLOOR, wide[t : t + w, p + h // 2 : p + h].sum() + chroma.FLOOR
+        assert int(got[t]) >> 30 == gray[sum(a >= x * b for x in chroma.THRESHOLDS)]
+
+
+def test_prints_do_not_depend_on_the_neighbours():
+    s = chroma.Settings()
+    x = [song(i, n) for i, n in enumerate((3, 40, 0, 400, 9, 41))] + [np.zeros(5000, np.float32)]
+    for (p, ok), y in zip(chroma.prints_of(x, s), x):
+        q, fine = chroma.prints(chroma.chroma(y, s))
+        assert p.tolist() == q.tolist() and ok.tolist() == fine.tolist()
+    assert chroma.prints_of([], s) == []
+
+
+def test_recordings_of_all_kinds(spark):
+    """A very long recording, repeated rows, ties, an empty table and columns whose names clash with those made inside."""
+    from pyspark.sql import functions as F
+
+    long = song(7, 40_000)
+    rows = [(50, wav(long), 1, 2, 3), (1, wav(long), 4, 5, 6), (1, wav(long), 4, 5, 6), (3, wav(long[256 * 1000 :]), 7, 8, 9), (4, None, 0, 0, 0), (4, None, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "rec_id long, audio binary, class_id long, _deal long, prints long")
+    got = chroma.summary(*chroma.match(df, "rec_id", "audio", F.col("rec_id") % 50 == 0)).collect()
+    assert sorted((r.rec_id, r.class_id, r.n_links, r.best_offset) for r in got) == [(1, 1, 0, None), (1, 1, 0, None), (3, 3, 1, -1000), (4, 4, 0, None), (4, 4, 0, None), (50, 1, 0, None)]
+    assert chroma.summary(*chroma.match(df.limit(0), "rec_id", "audio", F.col("rec_id") % 50 == 0)).collect() == []

@@ -71,6 +71,22 @@ def test_stages_keep_the_columns(spark):
         assert out.count() <= docs.count()
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and empty texts, a null id, repeated rows, columns whose names clash, and no rows at all."""
+    good = [r for r in spark.read.parquet(f"{DIR}/documents.parquet").collect() if r.n_chars > 2000][:6]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "g", 1, 2) for r in good]
+    odd = [(900, None, "en", "s", None, "g", 1, 2), (901, "", "en", "s", 0, "g", 1, 2), (902, "", "en", "s", 0, "g", 1, 2), (None, good[0].text, "en", "s", 1, "g", 1, 2), rows[1]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _g string, _key int, rng int"
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    for name, some in (("odd", rows + odd), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ids = [r.doc_id for r in got if r.start == 0]
+        assert len(ids) == len(set(ids)) and (set(ids) <= {r[0] for r in some})
+        assert not some or {r.doc_id for r in good} & set(ids)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()

@@ -110,6 +110,76 @@ def test_deep_shallow_orders_suffixes():
     assert [a == b for a, b in zip(cut, cut[1:])] == (np.diff(group) == 0).tolist()
 
 
+def test_shallow_sort_is_a_sort():
+    rng = np.random.default_rng(6)
+    for n, letters in ((0, 2), (1, 2), (5, 2), (300, 2), (3000, 4), (3000, 200)):
+        text = np.concatenate((rng.integers(60, 60 + letters, n), np.tile(rng.integers(60, 62, 40), n // 80))).astype(np.uint8)
+        padded = np.concatenate((text, np.zeros(32, np.uint8)))
+        order, heads = suffix_dedup.shallow_sort(padded, np.arange(len(text)), 24)
+        raw = padded.tobytes()
+        cut = [raw[i : i + 24] for i in order]
+        assert cut == sorted(cut) and sorted(order.tolist()) == list(range(len(text)))
+        assert heads.tolist() == [i for i in range(len(cut)) if not i or cut[i] != cut[i - 1]]
+
+
+def test_factors_are_the_longest_matches():
+    rng = random.Random(7)
+    for trial in range(40):
+        base = [rng.randrange(4) for _ in range(60)]
+        runs = [base[(a := rng.randrange(40)) : a + rng.randrange(1, 20)] + [rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(12)]
+        keys = [rng.randrange(6) for _ in runs]
+        longs = np.array([len(r) for r in runs])
+        starts = np.cumsum(longs) - longs
+        tokens = np.array([x for r in runs for x in r])
+
+        def match(x, y):
+            n = 0
+            while n < min(len(x), len(y)) and x[n] == y[n]:
+                n += 1
+            return n
+
+        want = []
+        for r, (run, key) in enumerate(zip(runs, keys)):
+            p = 0
+            while p < len(run):
+                n = max((match(run[p:], other[q:]) for other, k in zip(runs, keys) if k < key for q in range(len(other))), default=0)
+                if n:
+                    want.append((int(starts[r]) + p, n))
+                p += n or 1
+        got, _, _ = rlz_dedup.factors(tokens, starts, longs, np.array(keys))
+        assert [(p, n) for p, n, _ in got] == want
+        flat, of = tokens.tolist(), np.repeat(np.arange(len(runs)), longs)
+        for p, n, q in got:
+            assert flat[p : p + n] == flat[q : q + n] and of[q] == of[q + n - 1] and keys[of[q]] < keys[of[p]]
+
+
+def test_smaller_before():
+    rng = np.random.default_rng(8)
+    for k in (rng.integers(0, 50, 400), np.append(np.arange(300), 0), np.arange(300)[::-1], np.zeros(50), np.tile(np.append(np.arange(200), [0]), 3), np.zeros(0)):
+        want = [max((j for j in range(i) if k[j] < k[i]), default=-1) for i in range(len(k))]
+        assert rlz_dedup._smaller(k).tolist() == want
+
+
+def test_words_that_collide_are_told_apart(spark):
+    """Long words of two letters that a polynomial hash cannot tell apart, and a largest id beside a null one."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    shared = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*shared, a])), (2, " ".join([*shared, b])), (3, " ".join([*shared, "x", a])), (4, " ".join([*shared, a, "y"]))]
+    got = {r.doc_id: r.n_removed for r in rlz_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 50}
+    text = " ".join([*shared, "end"])
+    rows = [(None, text), (2**63 - 1, text), (None, text + " more")]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rlz_dedup.substring_dedup(frame(spark, rows)).collect()) == [(0, 50), (0, 50), (2**63 - 1, 0)]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x " * 200, 1, "a", "b", 2), (2, "x " * 200, 3, "c", "d", 4)], "doc_id long, text string, _g int, _text string, _row string, rng int")
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(df).collect()) == [(1, 398), (2, 400)]
+    assert sorted((r.doc_id, r.n_removed) for r in rlz_dedup.substring_dedup(df).collect()) == [(1, 0), (2, 200)]
+
+
 def test_whole_long_text_and_empty_table(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
