@@ -36,13 +36,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: With this, Spark deletes the shuffle files of a query when the query ends, not when the driver's collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: lineage ends in files that outlive executors."""
+    """Writes a frame to the shared folder and reads it back: lineage ends in files that outlive executors, and its shuffle files go with the write."""
     spark, path = df.sparkSession, fresh(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     if jvm := getattr(spark.sparkContext, "_jvm", None):
-        jvm.System.gc()  # shuffle files of what was settled before may go earlier; nothing depends on it
+        jvm.System.gc()  # shuffle files of what was computed before may go earlier; nothing depends on it
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out

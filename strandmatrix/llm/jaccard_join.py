@@ -12,6 +12,9 @@ Links between candidates of one component are not needed: each round verifies pa
 each document with one other of a word, then with its nearest few by parity bits, at last all candidates left, so that groups of copies
 take about a verification for each document.
 
+A set's parity bits go to every range that it has a word in, and the more ranges the fewer words share a copy. So before the rounds on labels, blocks send
+words and labels alone, and only words that sets of several components share go on with parity bits.
+
 No word gathers a hot group. In the first round a block pairs its sets that share a word with the first of them, and
 only that one travels. Later a set of a giant component stays in its block: one of each block stands for it
 at the word, and sets of other components that share the word go to those blocks to be compared there.
@@ -194,14 +197,71 @@ def _documents(s: Settings):
 _KEYS = "rng int, _g int, docs binary, nodes binary, labels binary, sizes binary, counts binary, keys binary, logs binary, parity binary, hidden binary, stars binary"
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as many bytes each as the largest needs; _widen reads them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _widen(raw: np.ndarray, n: int) -> np.ndarray:
+    return raw.view(f"<u{len(raw) // n}") if n else raw
+
+
+_SHARED = "rng int, _g int, labels binary, counts binary, keys binary"
+
+
+def _labelled_keys(s: Settings, ranges: int):
+    """Each label's distinct keys in a block, dealt by key; labels is document -> (node, label, whether its component is giant)."""
+
+    def emit(t: pa.Table, labels: dict[int, tuple[int, int, bool]]) -> pa.Table:
+        rows = [[] for _ in range(5)]
+        only = np.array(sorted(labels), np.int64)
+        keys = [sketch_keys(x, s.percent) for x in Sets(t, s, only).sets] if len(t) and len(only) else []
+        if any(map(len, keys)):
+            flat = np.concatenate(keys)
+            label = np.repeat(np.array([labels[i][1] for i in only.tolist()], np.int64), [len(k) for k in keys])
+            r = _range(flat, ranges)
+            order = np.lexsort((flat, label, r))
+            flat, label, r = flat[order], label[order], r[order]
+            new = np.concatenate(([True], (flat[1:] != flat[:-1]) | (label[1:] != label[:-1])))
+            flat, label, r = flat[new], label[new], r[new]
+            cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1], [True])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                u, c = np.unique(label[a:b], return_counts=True)
+                for col, v in zip(rows, (int(r[a]), t["_g"][0].as_py(), u.tobytes(), _narrow(c), flat[a:b].tobytes())):
+                    col.append(v)
+        return pa.table([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(rows)], names=["rng", "_g", "labels", "counts", "keys"])
+
+    return emit
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """For each block its keys in a range that sets of two labels or more have."""
+    keys = [np.frombuffer(x.as_py(), np.uint64) for x in t["keys"]]
+    labels = [np.frombuffer(x.as_py(), np.int64) for x in t["labels"]]
+    counts = [_widen(np.frombuffer(x.as_py(), np.uint8), len(n)) for x, n in zip(t["counts"], labels)]
+    flat = np.concatenate(keys)
+    of = np.concatenate([np.repeat(x, n) for x, n in zip(labels, counts)])
+    order = np.argsort(flat)
+    heads = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+    many = np.minimum.reduceat(of[order], heads) != np.maximum.reduceat(of[order], heads)
+    live = np.empty(len(flat), bool)
+    live[order] = np.repeat(many, np.diff(np.append(heads, len(flat))))
+    out, at = [], 0
+    for g, k in zip(t["_g"].to_pylist(), keys):
+        if len(x := np.unique(k[live[at : at + len(k)]])):
+            out.append((g, x.tobytes()))
+        at += len(k)
+    return pa.table({"_g": pa.array([g for g, _ in out], pa.int32()), "keys": pa.array([x for _, x in out], pa.binary())})
+
+
 def _keys(s: Settings, ranges: int):
     """Each distinct set's keys, dealt by key: of a block's sets with a key only the first, the others paired with it as `stars`.
 
-    With labels, document -> (node, label, whether its component is giant), only of the sets that have one; of giant
-    components the first of each label and key, of others all.
+    With labels, document -> (node, label, whether its component is giant), only of the sets that have one, and only the keys in
+    `live`; of giant components the first of each label and key, of others all.
     """
 
-    def emit(t: pa.Table, labels: dict[int, tuple[int, int, bool]] | None) -> pa.Table:
+    def emit(t: pa.Table, labels: dict[int, tuple[int, int, bool]] | None, live: np.ndarray | None = None) -> pa.Table:
         only = None if labels is None else np.array(sorted(labels), np.int64)
         sets = Sets(t, s, only).sets if only is None or len(only) else []
         g, seen = t["_g"][0].as_py() if len(t) else 0, set()
@@ -212,6 +272,8 @@ def _keys(s: Settings, ranges: int):
                 continue
             seen.add(n)
             k = sketch_keys(x, s.percent)
+            if live is not None:
+                k = k[np.isin(k, live)]
             if len(k):
                 doc.append(i)
                 node.append(n)
@@ -245,10 +307,10 @@ def _keys(s: Settings, ranges: int):
             order = np.argsort(r, kind="stable")
             flat, of, r = flat[order], of[order], r[order]
             cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1], [True])))
-            doc, node, label, size, logs = np.array(doc, np.uint32), np.array(node, np.int64), np.array(label, np.int64), np.array(size, np.uint32), np.array(logs, np.uint8)
+            doc, node, label, size, logs = np.array(doc), np.array(node, np.int64), np.array(label, np.int64), np.array(size), np.array(logs, np.uint8)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 u, c = np.unique(of[a:b], return_counts=True)
-                for col, v in zip(out, (int(r[a]), g, doc[u].tobytes(), node[u].tobytes(), label[u].tobytes() if labels is not None else b"", size[u].tobytes(), c.astype(np.uint32).tobytes(), flat[a:b].tobytes(), logs[u].tobytes(), b"".join(parity[x] for x in u.tolist()), hidden[u].astype(np.uint8).tobytes(), b"")):
+                for col, v in zip(out, (int(r[a]), g, _narrow(doc[u]), node[u].tobytes(), label[u].tobytes() if labels is not None else b"", _narrow(size[u]), _narrow(c), flat[a:b].tobytes(), *((logs[u].tobytes(), b"".join(parity[x] for x in u.tolist()), hidden[u].astype(np.uint8).tobytes()) if labels is not None else (b"", b"", b"")), b"")):
                     col.append(v)
             if stars:
                 for col, v in zip(out, (g % ranges, g, *[b""] * 9, stars)):
@@ -305,13 +367,17 @@ def _pairs(s: Settings, budget: int | None, labelled: bool):
                 if len(x := raw("stars", np.int64)):
                     stars.append(np.concatenate((x.reshape(6, -1), [np.full(len(x) // 6, g)])))
                     continue
-                many = raw("counts", np.uint32)
+                node = raw("nodes", np.int64)
+                n = len(node)
                 flat.append(raw("keys", np.uint64))
-                users.append(np.repeat(np.arange(base, base + len(many), dtype=np.int32), many))
-                base += len(many)
-                for name, column, kind in (("node", "nodes", np.int64), ("label", "labels" if labelled else "nodes", np.int64), ("size", "sizes", np.uint32), ("i", "docs", np.uint32), ("hid", "hidden", np.uint8)):
-                    of[name].append(raw(column, kind).astype(np.int64))
-                of["g"].append(np.full(len(many), g))
+                users.append(np.repeat(np.arange(base, base + n, dtype=np.int32), _widen(raw("counts", np.uint8), n)))
+                base += n
+                of["node"].append(node)
+                of["label"].append(raw("labels", np.int64) if labelled else node)
+                of["hid"].append(raw("hidden", np.uint8).astype(np.int64) if labelled else np.zeros(n, np.int64))
+                for name, column in (("size", "sizes"), ("i", "docs")):
+                    of[name].append(_widen(raw(column, np.uint8), n).astype(np.int64))
+                of["g"].append(np.full(n, g))
                 if labelled:
                     own = raw("logs", np.uint8).astype(np.int64)
                     ends, parities = np.cumsum(1 << own - 3), memoryview(b["parity"][row].as_buffer())
@@ -527,7 +593,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_block = docs.groupBy("_g")
     found = settle(by_block.applyInArrow(lean(_documents(s)), "doc_id long, n_shingles long, node long"), "sets")
     emit = _keys(s, ranges)
-    emit_again = _keys(s, 1 + ranges // 4)  # fewer sets take part, and each sends its parity bits to every range it has a word in
+    emit_labels, emit_again = _labelled_keys(s, 1 + ranges // 4), _keys(s, 1 + ranges // 4)  # fewer sets take part
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select("ag", "a", "ai", "bg").distinct()
@@ -543,7 +609,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = settle(tried, "tried")
     discard(star)
     links = settle(verified(tried), "verified")
-    labels, spent = components(links), [links, places, tried]
+    labels, spent, live = components(links), [links, places, tried], None
     opened = None  # labels of giant components that are to travel whole, as they share words with other giant ones
     rounds = [*BUDGETS, None]
     while rounds:
@@ -555,11 +621,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         known = places.join(labels, "node", "left").select("_g", "i", "node", F.coalesce("root", "node").alias("label"))
         known = settle(known.join(giants, "label", "left").select("_g", "i", "node", "label", F.coalesce("hidden", F.lit(False)).alias("hidden")), "known")
 
-        def again(key, t: pa.Table, lab: pa.Table) -> pa.Table:
-            cols = [lab[c].to_pylist() for c in ("i", "node", "label", "hidden")]
-            return emit_again(t, {i: (n, x, h) for i, n, x, h in zip(*cols)})
+        def labelled(lab: pa.Table) -> dict[int, tuple[int, int, bool]]:
+            lab = lab.filter(lab["keys"].is_null()) if "keys" in lab.column_names else lab
+            return {i: (n, x, h) for i, n, x, h in zip(*(lab[c].to_pylist() for c in ("i", "node", "label", "hidden")))}
 
-        keys = by_block.cogroup(known.groupBy("_g")).applyInArrow(lean(again), _KEYS)
+        def first(key, t: pa.Table, lab: pa.Table) -> pa.Table:
+            return emit_labels(t, labelled(lab))
+
+        def again(key, t: pa.Table, lab: pa.Table) -> pa.Table:
+            got = [np.frombuffer(x, np.uint64) for x in lab["keys"].drop_null().to_pylist()]
+            return emit_again(t, labelled(lab) if got else {}, np.concatenate(got) if got else None)
+
+        if live is None:  # components only grow, so a key that one of them has alone stays so
+            live = settle(by_block.cogroup(known.groupBy("_g")).applyInArrow(lean(first), _SHARED).groupBy("rng").applyInArrow(lean(_shared), "_g int, keys binary"), "shared")
+            spent.append(live)
+        told = known.select("*", F.lit(None).cast("binary").alias("keys")).unionByName(live, allowMissingColumns=True)
+        keys = by_block.cogroup(told.groupBy("_g")).applyInArrow(lean(again), _KEYS)
         out = settle(keys.groupBy("rng").applyInArrow(lean(_pairs(s, budget, True)), _FOUND), "found")
         sent = out.where("sets is not null").select("_g", F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("node"), "label", F.lit(None).cast("boolean").alias("hidden"), "sets")
         stayed = known.where("hidden").select("*", F.lit(None).cast("binary").alias("sets"))

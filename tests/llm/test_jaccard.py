@@ -162,3 +162,30 @@ def test_hot_word_without_links_makes_few_pairs():
     got = {(int(i), int(j)) for x, y in J._near(s, J.ParityTable(np.array(logs), list(bits)).rows(np.arange(6)), np.array([len(x) for x in near]), np.arange(6), None) for i, j in zip(x, y)}
     for i in range(1, 6):
         assert all((i, j) in got for j in range(6) if j != i)
+
+
+def test_parity_bits_only_where_components_meet(spark, monkeypatch, tmp_path):
+    """Words that one component has alone take no parity bits along, however many ranges there are."""
+    keys, folder = J._keys, str(tmp_path)
+
+    def watched(s, ranges):
+        emit = keys(s, ranges)
+
+        def run(t, labels, *live):
+            out = emit(t, labels, *live)
+            if labels is not None:
+                with open(f"{folder}/{t['_g'][0].as_py()}", "a") as f:
+                    f.write(f"{sum(map(len, out['parity'].to_pylist()))}\n")
+            return out
+
+        return run
+
+    monkeypatch.setattr(J, "_keys", watched)
+    monkeypatch.setattr(J, "BLOCK_BYTES", 9000)
+    monkeypatch.setattr(J, "RANGE_BYTES", 2500)
+    rows = [(10 * g + k, " ".join([f"g{g}w{i}" for i in range(100)] + [f"end{k}"])) for g in range(6) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = J.near_duplicates(df, shingle=3, percent=90).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 3, 90)
+    sent = [int(x) for p in tmp_path.iterdir() for x in p.read_text().split()]
+    assert sent and sum(sent) == 0
