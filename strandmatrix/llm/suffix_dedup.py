@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandmatrix.llm.common import expand
-from strandmatrix.llm.repeats import Block, Scheme, remove_repeats
+from strandmatrix.llm.common import expand, mix
+from strandmatrix.llm.repeats import Block, Scheme, grams, remove_repeats
 
 LENGTH = 100
 #: Bytes to which multikey quicksort goes; a multiple of its 8-byte characters.
@@ -169,15 +169,26 @@ def deep_shallow(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, np.cumsum(new) - 1
 
 
+def alike(text: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Which windows share a hash of their bytes with another one: equal windows do, and few others."""
+    if not len(windows):
+        return np.zeros(0, np.int64)
+    size = 1 << length.bit_length() - 1
+    h = grams(text, size)
+    h = h[windows] + mix(h[windows + length - size])  # two grams that cover the window
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    return np.sort(order[np.append(same, False) | np.append(False, same)])
+
+
 def first_owners(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
-    """The smallest key of the runs that hold each window, by sorting all windows' suffixes."""
-    windows = expand(starts, sizes)
-    order, group = deep_shallow(tokens, windows, length)
-    key = np.repeat(keys, sizes)[order]
+    """The smallest key of the runs that hold each window, by sorting the suffixes of all windows but those that a hash tells from every other."""
+    windows, out = expand(starts, sizes), np.repeat(keys, sizes)
+    again = alike(tokens, windows, length)
+    order, group = deep_shallow(tokens, windows[again], length)
     least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, key)
-    out = np.empty(len(windows), np.int64)
-    out[order] = least[group]
+    np.minimum.at(least, group, out[again[order]])
+    out[again[order]] = least[group]
     return out
 
 

@@ -1,6 +1,7 @@
 """Repeated-passage removal against brute force."""
 
 import hashlib
+from collections import Counter
 import random
 
 import numpy as np
@@ -200,3 +201,22 @@ def test_drop_repeats_keeps_columns(spark):
     out = {r.doc_id: (r.text, r["_g"], r.n_chars) for r in got.collect()}
     assert out[3] == (None, None, None) and out[2] == ("zz", "v", 2)
     assert out[1] == ("é", "u", 1)  # every window after the first two starts repeats one of them
+
+
+def test_only_windows_with_an_equal_are_sorted(monkeypatch):
+    """Windows that begin alike and end otherwise are told apart before the suffix sort, whose owners are those of brute force."""
+    sorted_, deep = [], suffix_dedup.deep_shallow
+    monkeypatch.setattr(suffix_dedup, "deep_shallow", lambda text, starts, n: sorted_.append(len(starts)) or deep(text, starts, n))
+    rng = np.random.default_rng(5)
+    for length in (16, 48, 100):
+        head, same = rng.integers(97, 101, 300).astype(np.uint8), rng.integers(97, 101, length + 20).astype(np.uint8)
+        parts = [np.concatenate((head[: length - 1], rng.integers(97, 123, 40).astype(np.uint8), same[: length + k])) for k in (0, 5, 20, 20)]
+        text, long = np.concatenate(parts), np.array([len(x) for x in parts])
+        starts, sizes, keys = np.cumsum(long) - long, long - length + 1, np.array([4, 2, 9, 7])
+        got = suffix_dedup.first_owners(text, starts, sizes, keys, length)
+        least, windows = {}, [(bytes(p[i : i + length]), k) for p, k in zip(parts, keys.tolist()) for i in range(len(p) - length + 1)]
+        for w, k in windows:
+            least[w] = min(k, least.get(w, k))
+        assert got.tolist() == [least[w] for w, _ in windows]
+        assert sorted_.pop() == sum(n for n in Counter(w for w, _ in windows).values() if n > 1)
+    assert suffix_dedup.first_owners(text, starts[:0], sizes[:0], keys[:0], 48).tolist() == []
