@@ -11,6 +11,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,12 @@ class MaskFilter:
         got = np.bitwise_and.reduce(self.table[at], axis=1)
         return got[:, 0] if self.words == 1 else got
 
+    def rows(self) -> list[int]:
+        """Each slot's languages as one integer, for looking up n-grams one by one."""
+        if self.words == 1:
+            return self.table[:, 0].tolist()
+        return [int.from_bytes(x.tobytes(), "little") for x in self.table.astype("<u8")]
+
     def false_rate(self, languages: int) -> np.ndarray:
         """Chance, for each language, that an n-gram it lacks shows its bit."""
         fill = np.array([np.count_nonzero(self.table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(languages)]) / self.slots
@@ -96,11 +104,13 @@ class Model:
         false = self.filter.false_rate(k)
         wide, field = [1 << FIELD * (i + 1) for i in range(k)], (1 << FIELD) - 1
 
-        def gram(g: str) -> int:
-            mask = int.from_bytes(self.filter.masks([g])[0].astype("<u8").tobytes(), "little")
+        slots, at = self.filter.rows(), self.filter._at
+
+        @lru_cache(1 << 16)
+        def counters(mask: int) -> int:
             return 1 + sum(w for i, w in enumerate(wide) if mask >> i & 1)
 
-        grams = WordCache(gram, 200_000)
+        grams = WordCache(lambda g: counters(reduce(and_, [slots[i] for i in at(g)])))
         cache = WordCache(lambda w: sum(map(grams.__getitem__, ngrams(w, s.ngrams))))
         raw = WordCache(lambda w: sum(cache[x] for x in letters(w)))
 

@@ -598,3 +598,16 @@ def test_recordings_of_all_kinds(spark):
     got = chroma.summary(*chroma.match(df, "rec_id", "audio", F.col("rec_id") % 50 == 0)).collect()
     assert sorted((r.rec_id, r.class_id, r.n_links, r.best_offset) for r in got) == [(1, 1, 0, None), (1, 1, 0, None), (3, 3, 1, -1000), (4, 4, 0, None), (4, 4, 0, None), (50, 1, 0, None)]
     assert chroma.summary(*chroma.match(df.limit(0), "rec_id", "audio", F.col("rec_id") % 50 == 0)).collect() == []
+
+
+def test_language_ngrams_are_looked_up_once(monkeypatch):
+    """More n-grams than some thousand stay at hand: texts of new words with known n-grams look none up again."""
+    calls, at = [], langid.MaskFilter._at
+    model = langid.train([("the of and", "en"), ("der die das", "de")])
+    monkeypatch.setattr(langid.MaskFilter, "_at", lambda self, g: calls.append(g) or at(self, g))
+    rng = random.Random(3)
+    one = model.predictor()
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8000)]
+    for i in range(3):
+        one(" ".join(w.upper() if i == 1 else w.title() if i == 2 else w for w in words))
+    assert len(calls) == len(set(calls)) > 10_000
