@@ -192,15 +192,3 @@ class WordCache(dict):
             self.used += sys.getsizeof(word) + sys.getsizeof(value) + 100  # and its place in the table
             self[word] = value
         return value
-
-
-def plain_lines(text: str) -> list[list[str]] | None:
-    """Words by line if white space is single spaces and newlines between words only, else None.
-
-    In such a text a word with the space before it, a line's first word, and a
-    newline are each split by a GPT-style pattern the same way alone as in place:
-    no match of it spans white space after a word.
-    """
-    if text.split() != text.replace("\n", " ").split(" "):
-        return None
-    return [line.split(" ") for line in text.split("\n")]

@@ -105,6 +105,77 @@ def test_bpe_frames(spark):
     assert bpe.digests(frame(spark, [])).collect() == []
 
 
+def test_words_are_merged_together(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    pairs = bpe.load(*bpe.vocabulary())
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pairs.ranks, special_tokens={})
+    rng, alone = random.Random(4), []
+    merge = pairs.merge
+    monkeypatch.setattr(pairs, "merge", lambda piece: alone.append(piece) or merge(piece))
+    enc = bpe.TextEncoder(pairs)
+    alone.clear()
+    text = " ".join("".join(rng.choice("thaenrio") for _ in range(rng.randrange(1, 25))) + rng.choice(["", ",", ".\nIn", "'s", "é!"]) for _ in range(3000))
+    assert enc(text) == lib.encode_ordinary(text) and not alone
+    long = "x" + "thth" * 80
+    assert enc(long) == lib.encode_ordinary(long) and alone == [long.encode()]
+
+
+@pytest.mark.parametrize("written", [1, 300, 1 << 20])
+def test_texts_are_encoded_together(monkeypatch, written):
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "WRITTEN", written)
+    pairs = bpe.load(*bpe.vocabulary())
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pairs.ranks, special_tokens={})
+    enc, rng = bpe.TextEncoder(pairs), random.Random(5)
+    texts = [*TRICKY, "", "\u180e a", "a\u2003b c", "\x00 \x00\n\x00", "", ""]
+    texts += [" ".join(rng.choice(["the", "thereating", "é\n12", "a  b", "", "I'll"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+    got = [ids[b:e].tolist() for ids, begins, ends in enc.parts(pa.array(texts)) for b, e in zip(begins, ends)]
+    assert got == [lib.encode_ordinary(t) for t in texts]
+
+
+def test_uneven_white_space_is_what_python_splits_at():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = pc.match_substring_regex(pa.array([f"a{c}b" for c in chars]), bpe.UNEVEN).to_pylist()
+    assert [c for c, x in zip(chars, found) if x] == [c for c in chars if c.isspace() and c not in " \n"]
+    assert pc.match_substring_regex(pa.array([" a", "a ", "\na", "a\n", "a  b", "a \nb", "a\n\nb"]), bpe.UNEVEN).to_pylist() == [True] * 7
+    assert pc.match_substring_regex(pa.array(["a", "a b\nc"]), bpe.UNEVEN).to_pylist() == [False] * 2
+
+
+def test_bytes_without_a_rank():
+    """Pairs of bytes without ranks of their own merge; a byte that stays alone has no id."""
+    pairs = bpe.BytePairs({b"a": 3, b"xy": 1, b"axy": 2, b"ya": 0}, r"\S*|\s+")
+    enc = bpe.TextEncoder.__new__(bpe.TextEncoder)
+    enc.pairs, enc.newline, enc.by_words = pairs, 0, False
+    for t in ("xya", "axyxy", "a", "", "xyaxy"):
+        try:
+            want = [x for p in pairs.pattern.findall(t) for x in pairs.merge(p.encode())]
+        except KeyError:
+            with pytest.raises(KeyError):
+                enc(t)
+        else:
+            assert enc(t) == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_merging_together_is_merging_alone(seed):
+    """Also where a merge makes a pair of a lower rank than its own."""
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    tokens = {b"a", b"b", b"c"} | {bytes(rng.choices(b"abc", k=rng.randrange(2, 7))) for _ in range(150)}
+    pairs = bpe.BytePairs({t: r for r, t in enumerate(rng.sample(sorted(tokens), len(tokens)))}, ".+")
+    words = [bytes(rng.choices(b"abc", [8, 3, 1], k=rng.randrange(1, rng.choice([9, 70, 300])))) for _ in range(500)]
+    assert pairs.merge_all(pa.array(words, pa.large_binary())).to_pylist() == [pairs.merge(w) for w in words]
+
+
 # packing
 
 
