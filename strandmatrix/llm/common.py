@@ -4,57 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import pathlib
 import sys
-import tempfile
-import zipfile
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.sources.shared import fresh
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the Python workers, once an application, so that they need no path set up for it."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        top = pathlib.Path(__file__).resolve().parent.parent
-        target = pathlib.Path(tempfile.mkdtemp(prefix="ship-")) / "strandmatrix_workers.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        sc.addPyFile(str(target))
-        _shipped.add(sc.applicationId)
-    return spark
-
-
-#: With this, Spark deletes the shuffle files of a query when the query ends, not when the driver's collector finds them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: lineage ends in files that outlive executors, and its shuffle files go with the write."""
-    spark, path = df.sparkSession, fresh(df.sparkSession, what)
-    gc.collect()
-    if jvm := getattr(spark.sparkContext, "_jvm", None):
-        jvm.System.gc()  # shuffle files of what was computed before may go earlier; nothing depends on it
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled = path
-    return out
+from strandmatrix.sources.shared import CLEANUP, settle, ship  # noqa: F401
 
 
 def discard(*frames: DataFrame) -> None:

@@ -15,6 +15,11 @@ def coordinates(counts: DataFrame, vocab: DataFrame, row: str = "row") -> DataFr
     return counts.join(vocab, "kmer", "inner").select(F.col(row).alias("row"), F.col("index").alias("col"), "freq")
 
 
+def unfolded(placed: DataFrame) -> DataFrame:
+    """(genome, index, kmer, freq) of (index, kmer, genomes, freqs), a row for each entry of a column."""
+    return placed.select("index", "kmer", F.inline(F.arrays_zip("genomes", "freqs")).alias("genome", "freq")).select("genome", "index", "kmer", "freq")
+
+
 def vocab_right_join(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(index, kmer, freq): every count, index null outside the vocabulary."""
     return vocab.join(counts, "kmer", "right").select("index", "kmer", "freq")
@@ -22,7 +27,11 @@ def vocab_right_join(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def row_nnz(genomes: DataFrame, coo: DataFrame) -> DataFrame:
     """(row, nnz) of every genome, those without a kept k-mer included."""
-    nnz = coo.groupBy("row").agg(F.count("*").alias("nnz"))
+    return of_every_row(genomes, coo.groupBy("row").agg(F.count("*").alias("nnz")))
+
+
+def of_every_row(genomes: DataFrame, nnz: DataFrame) -> DataFrame:
+    """(row, nnz) of every genome, 0 where nnz has no row."""
     return genomes.select("row").join(nnz, "row", "left").select("row", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"))
 
 
@@ -59,7 +68,12 @@ def csr_entries(coo: DataFrame, pointer: DataFrame, block: int = BLOCK) -> DataF
 
 def stats(genomes: DataFrame, vocab: DataFrame, coo: DataFrame) -> DataFrame:
     """One row (n_rows, n_cols, nnz, sparsity); sparsity in percent, 0 for an empty shape."""
-    n = genomes.agg(F.count("*").alias("n_rows")).crossJoin(vocab.agg(F.count("*").alias("n_cols"))).crossJoin(coo.agg(F.count("*").alias("nnz")))
+    return stats_of(genomes, vocab.agg(F.count("*").alias("n_cols")).crossJoin(coo.agg(F.count("*").alias("nnz"))))
+
+
+def stats_of(genomes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """As stats, with one row (n_cols, nnz) of sizes."""
+    n = genomes.agg(F.count("*").alias("n_rows")).crossJoin(sizes)
     cells = F.col("n_rows") * F.col("n_cols")
     return n.select("n_rows", "n_cols", "nnz", F.when(cells > 0, (1 - F.col("nnz") / cells) * 100).otherwise(F.lit(0.0)).alias("sparsity"))
 

@@ -89,6 +89,11 @@ def records_from_table(table: DataFrame, genome: str, record: str, text: str, *,
     return table.select(F.col(genome).alias("genome"), F.col(record).alias("record_id"), seq.alias("seq"))
 
 
+def prose_from_table(table: DataFrame, genome: str, text: str) -> DataFrame:
+    """(genome, seq) of a table of prose: lower-case, without spaces and newlines, as records_from_table has it before letters become bases."""
+    return table.select(F.col(genome).alias("genome"), F.replace(F.replace(F.lower(text), F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")).alias("seq"))
+
+
 def read_counts_csv(spark: SparkSession, path: str, genome: str | None = None) -> DataFrame:
     """(kmer, freq) of a per-genome count file with header K-mer,Frequency; with `genome`, of a folder of them, with the value in the name of each file's own folder."""
     schema = "`K-mer` string, Frequency long" + (f", `{genome}` string" if genome else "")
