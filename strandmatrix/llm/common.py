@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import sys
 from contextlib import contextmanager
@@ -13,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmatrix.sources.shared import CLEANUP, settle, ship  # noqa: F401
+from strandmatrix.sources.shared import CLEANUP, give_back, settle, ship  # noqa: F401
 
 
 def discard(*frames: DataFrame) -> None:
@@ -26,14 +25,6 @@ def discard(*frames: DataFrame) -> None:
             pass
 
 
-def give_back() -> None:
-    """Returns memory that this process has freed to the system: Python workers live on and would keep it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim:
-        trim(0)
-
-
 def lean(work):
     """A function for groups of one, two or three arguments that gives memory back when it has ended."""
 

@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from strandmatrix.functions import windows
 from strandmatrix.params import MatrixParams
-from strandmatrix.sources.shared import ship
+from strandmatrix.sources.shared import give_back, ship
 
 #: Window starts of a piece, of a step whose arrays stay in a core's cache, and of what is sorted at once.
-PIECE, STEP, SORTED = 1 << 14, 1 << 16, 1 << 23
+PIECE, STEP, SORTED = 1 << 14, 1 << 16, 1 << 22
 #: Bytes of input whose k-mers one bucket takes, the fewest and most buckets (as bits), and the bytes of an input that does not tell.
 BUCKET_BYTES, FEWEST, MOST, UNTOLD = 2 << 20, 4, 16, 1 << 31
 
@@ -63,7 +63,9 @@ def _sorted_runs(words: list[np.ndarray], g: np.ndarray, genomes: int, bits: int
     """Distinct (words, genome) in order, with their numbers."""
     wide = max(genomes - 1, 0).bit_length()
     if len(words) == 1 and bits + wide <= 64:
-        key = words[0] << np.uint64(wide) | g.astype(np.uint64)
+        key = words.pop()
+        key <<= np.uint64(wide)
+        key |= g
         key.sort()
         at = _heads(key)
         counts = np.diff(np.append(at, len(key)))
@@ -110,9 +112,10 @@ def _dealt(k: int, fold: bool, bits: int, table: np.ndarray):
             all_names = pa.concat_arrays(names).dictionary_encode()
             to = all_names.indices.to_numpy().astype(np.uint32)
             joined = [np.concatenate(w) for w in zip(*words)]
-            g = np.concatenate(places)
-            words.clear(), places.clear(), names.clear()
-            yield from _rows(joined, to[g], all_names.dictionary, k, bits)
+            words.clear()
+            g = to[np.concatenate(places)]
+            places.clear(), names.clear()
+            yield from _rows(joined, g, all_names.dictionary, k, bits)
 
         for b in batches:
             if not b.num_rows:
@@ -141,6 +144,7 @@ def _dealt(k: int, fold: bool, bits: int, table: np.ndarray):
             known += len(coded.dictionary)
         if held:
             yield from out()
+        give_back()
 
     return run
 
@@ -225,6 +229,7 @@ class Tally:
 
         def work(t: pa.Table) -> pa.Table:
             out = make(_merge(t, k, bits))
+            give_back()
             return pa.table([out[c] if isinstance(out[c], pa.Array) else pa.array(out[c], pa.int64()) for c in names], names=names)
 
         return self.dealt.groupBy("_b").applyInArrow(work, schema)

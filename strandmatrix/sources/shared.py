@@ -1,13 +1,15 @@
-"""The folder that the driver and all executors see."""
+"""What the driver and all executors share: a folder, this package; and memory that workers give back."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pathlib
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,3 +67,11 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed to the system: Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
