@@ -39,6 +39,10 @@ from strandmatrix.llm.repeats import _range, word_tokens
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose sketch words one task takes.
 RANGE_BYTES = 8 << 20
+#: Characters whose shingles a task makes at a time.
+STEP_CHARS = 1 << 19
+#: Bytes that a task holds of the sets of a range of words that several components share; each entry takes ENTRY_BYTES besides its parity bits.
+SHARED_BYTES, ENTRY_BYTES = 64 << 20, 300
 #: Partners that a document outside its words' main component tries in each round between the first and the last, which has no limit.
 BUDGETS = (2,)
 #: Sets of a component from which a block sends only one for a word; the others are compared where they are.
@@ -181,9 +185,14 @@ class Sets:
         order = sorted(range(len(raw)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
         if only is not None:
             order = [order[i] for i in only.tolist()]
-        self.ids = [ids[i] for i in order]
-        data, at = utf8(pa.array([raw[i] for i in order], pa.large_string()))
-        self.sets = shingles(*word_tokens(data, at, lower=True), s.shingle)
+        self.ids, self.sets = [ids[i] for i in order], []
+        part, held = [], 0
+        for j, i in enumerate(order):  # arrays of words are many times a text's size, so they are made for some texts at a time
+            part.append(raw[i])
+            held += len(raw[i])
+            if held >= STEP_CHARS or j + 1 == len(order):
+                self.sets += shingles(*word_tokens(*utf8(pa.array(part, pa.large_string())), lower=True), s.shingle)
+                part, held = [], 0
 
 
 def _documents(s: Settings):
@@ -235,7 +244,7 @@ def _labelled_keys(s: Settings, ranges: int):
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """For each block its keys in a range that sets of two labels or more have."""
+    """For each block its keys in a range that sets of two labels or more have, and how many entries they are, counting a key once a label."""
     keys = [np.frombuffer(x.as_py(), np.uint64) for x in t["keys"]]
     labels = [np.frombuffer(x.as_py(), np.int64) for x in t["labels"]]
     counts = [_widen(np.frombuffer(x.as_py(), np.uint8), len(n)) for x, n in zip(t["counts"], labels)]
@@ -248,10 +257,23 @@ def _shared(t: pa.Table) -> pa.Table:
     live[order] = np.repeat(many, np.diff(np.append(heads, len(flat))))
     out, at = [], 0
     for g, k in zip(t["_g"].to_pylist(), keys):
-        if len(x := np.unique(k[live[at : at + len(k)]])):
-            out.append((g, x.tobytes()))
+        here = k[live[at : at + len(k)]]
+        if len(here):
+            out.append((g, np.unique(here).tobytes(), len(here)))
         at += len(k)
-    return pa.table({"_g": pa.array([g for g, _ in out], pa.int32()), "keys": pa.array([x for _, x in out], pa.binary())})
+    return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.int64()))], names=["_g", "keys", "n"])
+
+
+def _shared_ranges(s: Settings, least: int, found: DataFrame, live: DataFrame) -> int:
+    """Into how many ranges shared words are dealt, `least` or more, so that no task holds much of them.
+
+    A set's parity bits go to each range that it has a word in. With few ranges its words share a copy, with many each has its own, and the more sets
+    there are the more words they share: so a fixed share of the texts for each range would grow with the input.
+    """
+    n = F.col("n_shingles").cast("double")
+    most = found.agg((F.sum(n * n) / F.sum(n)).alias("x")).first().x or 0  # shingles of an entry's set, as sets have words by their sizes
+    entries = live.agg(F.sum("n").alias("x")).first().x or 0
+    return max(least, 1 + int(entries * (ENTRY_BYTES + 2 * most * (100 - s.percent) / 100)) // SHARED_BYTES)
 
 
 def _keys(s: Settings, ranges: int):
@@ -593,7 +615,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_block = docs.groupBy("_g")
     found = settle(by_block.applyInArrow(lean(_documents(s)), "doc_id long, n_shingles long, node long"), "sets")
     emit = _keys(s, ranges)
-    emit_labels, emit_again = _labelled_keys(s, 1 + ranges // 4), _keys(s, 1 + ranges // 4)  # fewer sets take part
+    emit_labels = _labelled_keys(s, ranges)  # the more texts, the larger the part of them that shares a word with another
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select("ag", "a", "ai", "bg").distinct()
@@ -633,9 +655,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return emit_again(t, labelled(lab) if got else {}, np.concatenate(got) if got else None)
 
         if live is None:  # components only grow, so a key that one of them has alone stays so
-            live = settle(by_block.cogroup(known.groupBy("_g")).applyInArrow(lean(first), _SHARED).groupBy("rng").applyInArrow(lean(_shared), "_g int, keys binary"), "shared")
+            live = settle(by_block.cogroup(known.groupBy("_g")).applyInArrow(lean(first), _SHARED).groupBy("rng").applyInArrow(lean(_shared), "_g int, keys binary, n long"), "shared")
             spent.append(live)
-        told = known.select("*", F.lit(None).cast("binary").alias("keys")).unionByName(live, allowMissingColumns=True)
+            emit_again = _keys(s, _shared_ranges(s, 1 + ranges // 4, found, live))
+        told = known.select("*", F.lit(None).cast("binary").alias("keys")).unionByName(live.drop("n"), allowMissingColumns=True)
         keys = by_block.cogroup(told.groupBy("_g")).applyInArrow(lean(again), _KEYS)
         out = settle(keys.groupBy("rng").applyInArrow(lean(_pairs(s, budget, True)), _FOUND), "found")
         sent = out.where("sets is not null").select("_g", F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("node"), "label", F.lit(None).cast("boolean").alias("hidden"), "sets")

@@ -189,3 +189,26 @@ def test_parity_bits_only_where_components_meet(spark, monkeypatch, tmp_path):
     assert sorted(map(tuple, got), key=repr) == brute(rows, 3, 90)
     sent = [int(x) for p in tmp_path.iterdir() for x in p.read_text().split()]
     assert sent and sum(sent) == 0
+
+
+def test_shared_words_are_dealt_by_their_entries(spark, monkeypatch):
+    rows, dealt, keys = corpus(5), [], J._keys
+    monkeypatch.setattr(J, "SHARED_BYTES", 20_000)
+    monkeypatch.setattr(J, "_keys", lambda s, ranges: dealt.append(ranges) or keys(s, ranges))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.near_duplicates(df).collect()), key=repr) == brute(rows, 5, 80)
+    assert dealt[0] == 1 and max(dealt) > 1  # a fixed share of the texts a range left them in one
+
+
+def test_sets_are_made_for_some_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    rows, most = corpus(6), []
+    t = pa.table({"_id": pa.array([i for i, _ in rows], pa.int64()), "_text": pa.array([x or "" for _, x in rows], pa.string())})
+    whole, tokens = J.Sets(t, J.Settings()), J.word_tokens
+    monkeypatch.setattr(J, "STEP_CHARS", 100)
+    monkeypatch.setattr(J, "word_tokens", lambda data, at, lower: most.append(len(data)) or tokens(data, at, lower=lower))
+    parts = J.Sets(t, J.Settings())
+    assert parts.ids == whole.ids and all(map(np.array_equal, parts.sets, whole.sets)) and len(parts.sets) == len(rows)
+    assert max(most) < 100 + max(len(x or "") for _, x in rows)  # not the whole block
+    assert len(J.Sets(t.slice(0, 0), J.Settings()).sets) == 0
